@@ -76,4 +76,38 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, la
 FROM w LEFT JOIN a USING (rid)"""
 
 
-ORACLES = {"op9_license_scan": _op9(), "op10_quality_rules": _op10()}
+def _op1() -> str:
+    return f"""
+WITH b AS (SELECT item_id::VARCHAR AS item, {words("text")} AS ws FROM benchmark WHERE text IS NOT NULL),
+p AS (SELECT DISTINCT item, array_to_string(ws[i:least(i + 9, len(ws))], ' ') AS gram, least(10, len(ws)) AS m
+      FROM b, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS u(i) WHERE len(ws) > 0),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {words("coalesce(text, '')")} AS ws FROM documents),
+g AS (SELECT rid, i, k.m AS m, array_to_string(ws[i:i + k.m - 1], ' ') AS gram
+      FROM d, (SELECT DISTINCT m FROM p) k, unnest(range(1, greatest(len(ws) - k.m + 1, 0) + 1)) AS u(i)),
+h AS (SELECT rid, i, m, item FROM g JOIN p USING (m, gram)),
+c AS (SELECT rid, count(DISTINCT x) AS n_hit FROM (SELECT DISTINCT rid, i, m FROM h), unnest(range(i, i + m)) AS u(x) GROUP BY rid),
+n AS (SELECT rid, count(DISTINCT item) AS n_items, sha256(string_agg(DISTINCT item, ',' ORDER BY item)) AS sha FROM h GROUP BY rid)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (rid) LEFT JOIN n USING (rid)"""
+
+
+def _op2() -> str:
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT rid, i, ls[i] AS line,
+        translate(trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS k
+      FROM d, unnest(range(1, len(ls) + 1)) AS u(i)),
+f AS (SELECT k FROM l WHERE k <> '' GROUP BY k HAVING count(DISTINCT rid) >= 10),
+m AS (SELECT rid, i, line, f.k IS NOT NULL AS dropped FROM l LEFT JOIN f USING (k)),
+s AS (SELECT rid, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256 FROM m GROUP BY rid)
+SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM d JOIN s USING (rid)"""
+
+
+ORACLES = {
+    "op1_decontaminate": _op1(),
+    "op2_line_dedup": _op2(),
+    "op9_license_scan": _op9(),
+    "op10_quality_rules": _op10(),
+}
