@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliospark.llm import decontaminate, license_scan, line_dedup, quality_rules
+from foliospark.llm import decontaminate, license_scan, line_dedup, quality_rules, simhash
 from foliospark.llm.common import table
 
 
@@ -17,6 +17,11 @@ def op2_line_dedup(spark, sf_dir):
     return line_dedup.digest(docs, line_dedup.keep_bitmaps(docs))
 
 
+def op6_simhash(spark, sf_dir):
+    made = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
+
+
 def op10_quality_rules(spark, sf_dir):
     made = quality_rules.measure(table(spark, sf_dir, "documents"))
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -30,4 +35,4 @@ def op9_license_scan(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op9_license_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op6_simhash, op9_license_scan, op10_quality_rules)}
