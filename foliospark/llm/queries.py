@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
-from foliospark.llm import decontaminate, license_scan, line_dedup, quality_rules, simhash
+from foliospark.llm import decontaminate, license_scan, line_dedup, quality_rules, simhash, token_store
 from foliospark.llm.common import table
 
 
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer's file, of the package that holds them or of the folder in TOKENIZERS_DIR."""
+    if at := os.environ.get("TOKENIZERS_DIR"):
+        return os.path.join(at, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_decontaminate(spark, sf_dir):
     return decontaminate.digest(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -17,6 +28,12 @@ def op2_line_dedup(spark, sf_dir):
     return line_dedup.digest(docs, line_dedup.keep_bitmaps(docs))
 
 
+def op3_token_store(spark, sf_dir):
+    """Written and read back within the query; the files are in the session's shared folder."""
+    path = token_store.write_store(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
+    return token_store.digest(token_store.read_store(spark, path))
+
+
 def op6_simhash(spark, sf_dir):
     made = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return made.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
@@ -35,4 +52,4 @@ def op9_license_scan(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op6_simhash, op9_license_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_token_store, op6_simhash, op9_license_scan, op10_quality_rules)}
