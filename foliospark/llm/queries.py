@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from foliospark.llm import decontaminate, license_scan, line_dedup, quality_rules, simhash, token_store
+from foliospark.llm import decontaminate, license_scan, line_dedup, quality_rules, sentencepieces, simhash, token_counts, token_store
 from foliospark.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op3_token_store(spark, sf_dir):
     return token_store.digest(token_store.read_store(spark, path))
 
 
+def op4_sentencepieces(spark, sf_dir):
+    return sentencepieces.digest(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op6_simhash(spark, sf_dir):
     made = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return made.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
@@ -48,8 +52,13 @@ def op10_quality_rules(spark, sf_dir):
     )
 
 
+def op7_token_counts(spark, sf_dir):
+    lengths = token_counts.token_lengths(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
+    return token_counts.suffix_sums(lengths)
+
+
 def op9_license_scan(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_token_store, op6_simhash, op9_license_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_token_store, op4_sentencepieces, op6_simhash, op7_token_counts, op9_license_scan, op10_quality_rules)}
