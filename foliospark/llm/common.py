@@ -12,6 +12,7 @@ Conventions that every operator keeps:
 from __future__ import annotations
 
 import atexit
+import builtins
 import tempfile
 import uuid
 
@@ -53,6 +54,14 @@ def same_document(left: DataFrame, right: DataFrame) -> Column:
     return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["text_hash"] == right["text_hash"])
 
 
+def per_process(key: tuple, make):
+    """``make()`` once for each worker process and key: Spark hands its Python workers from task to task."""
+    kept = builtins.__dict__.setdefault("_foliospark_kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where the session names none, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from foliospark.llm.common import keyed
+from foliospark.llm.common import keyed, per_process
 
 #: Lengths in one block of the suffix sums.
 BLOCK = 1024
@@ -20,7 +20,7 @@ BLOCK = 1024
 def token_lengths(docs: DataFrame, ranks_file: str) -> DataFrame:
     """doc_id, n_tokens of every text in byte-level BPE. Null and empty texts have 0; repeated rows each their row."""
 
-    def run(batches):
+    def load():
         import base64
 
         import public_tokenizers
@@ -28,9 +28,12 @@ def token_lengths(docs: DataFrame, ranks_file: str) -> DataFrame:
 
         with open(ranks_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        encode = tiktoken.Encoding(
+        return tiktoken.Encoding(
             "counts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         ).encode_ordinary
+
+    def run(batches):
+        encode = per_process(("token_counts", ranks_file), load)
         for batch in batches:
             n = [len(encode(t.as_py())) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(

@@ -14,6 +14,7 @@ them alone. Blocks decode independently of each other: each starts at its checkp
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from itertools import accumulate
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import fresh_path, keyed, saved
+from foliospark.llm.common import fresh_path, keyed, per_process, saved
 
 MAX_BITS = 20
 BLOCK = 512
@@ -145,42 +146,66 @@ def _plain(text: str) -> bool:
     return all(c not in odd and (c < "\x80" or "\xc0" <= c <= "ſ") for c in set(text))
 
 
-def encoder(vocabulary: str, end_id: int | None):
-    """A function from text to its ids as little-endian bytes of ``width``, and that width (2 or 4).
+#: Characters of texts whose unknown words are encoded together.
+_TOGETHER = 1_000_000
 
-    The ids of a word don't depend on its neighbours, so those that the library gave for a word are kept by word. Texts
-    with characters outside of ``_plain`` go to the library whole.
-    """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import re
-
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(vocabulary)
-    tokenizer.encode_special_tokens = True
-    dtype = np.dtype("<u2") if tokenizer.get_vocab_size() <= 1 << 16 and (end_id or 0) < 1 << 16 else np.dtype("<u4")
-
-    def whole(text: str) -> bytes:
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype=dtype).tobytes()
 
-    class Cache(dict):
-        def __missing__(self, word):
-            if len(self) >= _CACHE_WORDS:
-                self.clear()
-            made = whole(word)
-            if len(word) <= 64:
-                self[word] = made
-            return made
+class Encoder:
+    """From texts to their ids as little-endian bytes of ``width`` (2 or 4).
 
-    cache, split = Cache(), re.compile(_WORD_SPLIT).findall
-    end = b"" if end_id is None else np.array([end_id], dtype=dtype).tobytes()
-
-    def encode(text: str) -> bytes:
-        if not _plain(text):
-            return whole(text) + end
-        return b"".join(map(cache.__getitem__, split(text.lower()))) + end
+    The ids of a word don't depend on its neighbours, so those that the library gave for a word are kept by word, and
+    unknown words are given to it many at a time. Texts with characters outside of ``_plain`` go to the library whole.
+    """
 
-    return encode, dtype.itemsize
+    def __init__(self, vocabulary: str, end_id: int | None):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.tokenizer.encode_special_tokens = True
+        names = self.tokenizer.get_vocab()
+        top = max([*names.values(), end_id or 0])
+        self.dtype = np.dtype("<u2") if top < 1 << 16 else np.dtype("<u4")
+        self.width = self.dtype.itemsize
+        self.ends_word = np.zeros(top + 1, dtype=bool)
+        self.ends_word[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        self.split = re.compile(_WORD_SPLIT).findall
+        self.end = b"" if end_id is None else np.array([end_id], dtype=self.dtype).tobytes()
+        self.cache: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
+
+    def _learn(self, words: list[str]) -> None:
+        ids = self.whole(" ".join(words))
+        ends = (np.flatnonzero(self.ends_word[ids]) + 1) * self.width
+        if len(ends) == len(words):
+            raw, begin = ids.tobytes(), 0
+            for word, end in zip(words, ends.tolist()):
+                self.cache[word] = raw[begin:end]
+                begin = end
+        else:
+            self.cache.update((w, self.whole(w).tobytes()) for w in words)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out, lo = [], 0
+        while lo < len(texts):
+            hi, size = lo, 0
+            while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= _TOGETHER):
+                size += len(texts[hi])
+                hi += 1
+            split = [self.split(t.lower()) if _plain(t) else None for t in texts[lo:hi]]
+            unknown = set().union(*filter(None, split)) - self.cache.keys()
+            if unknown:
+                if len(self.cache) + len(unknown) > _CACHE_WORDS:
+                    self.cache.clear()
+                    unknown = set().union(*filter(None, split))
+                self._learn(list(unknown))
+            get = self.cache.__getitem__
+            for text, words in zip(texts[lo:hi], split):
+                out.append((self.whole(text).tobytes() if words is None else b"".join(map(get, words))) + self.end)
+            lo = hi
+        return out
 
 
 _TOKENS = "doc_id bigint, width int, ids binary, place bigint"
@@ -188,16 +213,18 @@ _TOKENS = "doc_id bigint, width int, ids binary, place bigint"
 
 def _tokens(vocabulary: str, end_id: int | None):
     def run(batches):
-        encode, width = encoder(vocabulary, end_id)
+        encoder = per_process(("token_store", vocabulary, end_id), lambda: Encoder(vocabulary, end_id))
         place = 0
         for batch in batches:
-            ids = [encode(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array([width] * len(ids), pa.int32()),
-                 pa.array(ids, pa.binary()), pa.array(range(place, place + len(ids)), pa.int64())],
-                names=["doc_id", "width", "ids", "place"],
-            )
-            place += len(ids)
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                ids = encoder.encode(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").cast(pa.int64()), pa.array([encoder.width] * len(ids), pa.int32()),
+                     pa.array(ids, pa.binary()), pa.array(range(place, place + len(ids)), pa.int64())],
+                    names=["doc_id", "width", "ids", "place"],
+                )
+                place += len(ids)
 
     return run
 
