@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from foliospark.llm import decontaminate, license_scan, line_dedup, quality_rules, sentencepieces, simhash, token_counts, token_store
+from foliospark.llm import decontaminate, license_scan, line_dedup, quality_model, quality_rules, sentencepieces, simhash, token_counts, token_store, toxicity
 from foliospark.llm.common import table
 
 
@@ -38,6 +38,11 @@ def op4_sentencepieces(spark, sf_dir):
     return sentencepieces.digest(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op5_quality_model(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.score(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_simhash(spark, sf_dir):
     made = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return made.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
@@ -57,8 +62,19 @@ def op7_token_counts(spark, sf_dir):
     return token_counts.suffix_sums(lengths)
 
 
+def op8_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_license_scan(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_token_store, op4_sentencepieces, op6_simhash, op7_token_counts, op9_license_scan, op10_quality_rules)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontaminate, op2_line_dedup, op3_token_store, op4_sentencepieces, op5_quality_model,
+        op6_simhash, op7_token_counts, op8_toxicity, op9_license_scan, op10_quality_rules,
+    )
+}
