@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.common import keyed, same_document, saved
+from foliospark.llm.common import keyed, per_process, same_document, saved
 
 CHUNK_CHARS = 16_384
 BLANK = "▁"
@@ -35,6 +35,10 @@ _CACHE, _CACHE_LEN = 400_000, 48
 _NONE = float("-inf")
 
 
+def loaded(model_file: str) -> Lattice:
+    return per_process(("sentencepieces", model_file), lambda: Lattice.load(model_file))
+
+
 class Lattice:
     """Pieces with (id, score), ``bpe`` or ``unigram``, and the ids of the 256 bytes for characters without a piece."""
 
@@ -49,7 +53,7 @@ class Lattice:
         self.joint = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
         self.unknown = min((s for _, s in pieces.values()), default=0.0) - 10
         self.fits = lru_cache(1 << 18)(self._fits)
-        self.memo: dict[str, tuple[float, bytes]] = {}
+        self.memo: dict[str, bytes] = {}
         # Fast cut at blanks and line feeds, if no piece has a blank after another character or a line feed beside one.
         plain = not any(x[1] == BLANK != x[0] or "\n" in x for x in self.joint)
         self.cut = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n").findall if plain else self._stretches
@@ -192,22 +196,24 @@ class Lattice:
         cuts = [0, *(i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.joint), len(text)]
         return [text[a:b] for a, b in zip(cuts, cuts[1:]) if a < b]
 
-    def stretch(self, text: str) -> tuple[float, bytes]:
-        """Score and ids of a text with one state at either edge."""
+    def stretch(self, text: str) -> bytes:
+        """Ids of a text with one state at either edge."""
         got = self.memo.get(text)
         if got is None:
-            best = self.through(text)
-            got = best[len(text)][0], self.ids(self.back(best, len(text), 0))
+            got = self.ids(self.back(self.through(text), len(text), 0))
             if len(text) <= _CACHE_LEN:
                 if len(self.memo) >= _CACHE:
                     self.memo.clear()
                 self.memo[text] = got
         return got
 
+    def stretches(self, text: str) -> bytes:
+        get, slow = self.memo.get, self.stretch
+        return b"".join([get(s) or slow(s) for s in self.cut(text)])
+
     def encode(self, text: str) -> bytes:
         """Ids of a text of one chunk, as little-endian unsigned 32-bit integers."""
-        get, slow = self.memo.get, self.stretch
-        return b"".join([(get(s) or slow(s))[1] for s in self.cut(self.normalised(text))])
+        return self.stretches(self.normalised(text))
 
     def decode(self, ids: bytes) -> str:
         """The text of ids. (A text that holds U+2581 itself comes back with a blank there, as from the library.)"""
@@ -227,13 +233,13 @@ class Lattice:
     def _edges(self, text, lo, hi, first, last):
         entry = [(lo, "")] if first else self.states(text, lo)
         leave = None if last else self.states(text, hi)
-        cuts = [i for i in range(lo + 1, hi) if text[i - 1 : i + 1] not in self.joint]
-        return entry, leave, cuts
+        near = next((i for i in range(lo + 1, hi) if text[i - 1 : i + 1] not in self.joint), None)
+        far = next((i for i in range(hi - 1, lo, -1) if text[i - 1 : i + 1] not in self.joint), None)
+        return entry, leave, near, far
 
     def transfer(self, text: str, lo: int, hi: int, first: bool, last: bool) -> np.ndarray:
         """The max-plus matrix from states at lo to states at hi."""
-        entry, leave, cuts = self._edges(text, lo, hi, first, last)
-        near, far = (cuts[0], cuts[-1]) if cuts else (hi, lo)
+        entry, leave, near, far = self._edges(text, lo, hi, first, last)
 
         def out_of(best):
             if leave is None:
@@ -246,24 +252,23 @@ class Lattice:
                 got.append(here[0] + score if fine else _NONE)
             return got
 
-        rows = [self.forward(text, lo, near, {end: (0.0, end, token)}) for end, token in entry]
-        if not cuts:
+        rows = [self.forward(text, lo, near or hi, {end: (0.0, end, token)}) for end, token in entry]
+        if near is None:
             return np.array([out_of(b) for b in rows])
         inward = np.array([b[near][0] if near in b else _NONE for b in rows])
-        middle = 0.0 if self.bpe else sum(self.stretch(s)[0] for s in self._stretches(text[near:far]))
+        middle = 0.0 if self.bpe else self.forward(text[near:far], 0, far - near, {0: (0.0, 0, "")})[far - near][0]
         return inward[:, None] + middle + np.array(out_of(self.forward(text, far, hi, {far: (0.0, far, "")})))[None, :]
 
     def trace(self, text: str, lo: int, hi: int, first: bool, last: bool, enter: int, leave_by: int) -> bytes:
         """Ids of the tokens that start in [lo, hi) on the best path between two states."""
-        entry, leave, cuts = self._edges(text, lo, hi, first, last)
+        entry, leave, near, far = self._edges(text, lo, hi, first, last)
         begin, token = entry[enter]
-        near, far = (cuts[0], cuts[-1]) if cuts else (hi, lo)
         end, tail = (hi, []) if leave is None else (leave[leave_by][0] - len(leave[leave_by][1]), [leave[leave_by][1]])
-        best = self.forward(text, lo, near, {begin: (0.0, begin, token)})
-        if not cuts:
+        best = self.forward(text, lo, near or hi, {begin: (0.0, begin, token)})
+        if near is None:
             return self.ids(self.back(best, end, begin) + tail)
         head = self.ids(self.back(best, near, begin))
-        middle = b"".join(self.stretch(s)[1] for s in self._stretches(text[near:far]))
+        middle = self.stretches(text[near:far])
         best = self.forward(text, far, hi, {far: (0.0, far, "")})
         return head + middle + self.ids(self.back(best, end, far) + tail)
 
@@ -285,11 +290,13 @@ def best_states(matrices: list[np.ndarray]) -> list[int]:
 
 _CHUNKS = "doc_id bigint, text_hash bigint, chunk int, n_chunks int, lo int, hi int, text string"
 _KEY = ["doc_id", "text_hash", "chunk"]
+#: Rows of 32 bytes up to which states are sent to all tasks; beyond that, chunks and states are dealt out and joined.
+_BROADCAST_ROWS = 1_000_000
 
 
 def _cut(model_file: str, size: int):
     def run(batches):
-        lattice = Lattice.load(model_file)
+        lattice = loaded(model_file)
         for batch in batches:
             for doc_id, text_hash, text in zip(*(batch.column(c) for c in ("doc_id", "text_hash", "text"))):
                 whole = lattice.normalised(text.as_py())
@@ -307,12 +314,10 @@ def _cut(model_file: str, size: int):
 
 def _giants(docs: DataFrame, model_file: str, size: int) -> DataFrame:
     """doc_id, text_hash, ids of texts of several chunks, each document once."""
-    chunks = saved(
-        docs.mapInArrow(_cut(model_file, size), _CHUNKS).repartition(*_KEY).dropDuplicates(_KEY), "chunks"
-    )
+    chunks = saved(docs.mapInArrow(_cut(model_file, size), _CHUNKS).repartition(*_KEY), "chunks")
 
     def transfers(batches):
-        lattice = Lattice.load(model_file)
+        lattice = loaded(model_file)
         for batch in batches:
             made = []
             for r in batch.to_pylist():
@@ -329,18 +334,23 @@ def _giants(docs: DataFrame, model_file: str, size: int) -> DataFrame:
 
     # The matrices of one text: a few hundred numbers for each chunk of it, so no more than a part of its own length.
     def scanned(pdf):
-        pdf = pdf.sort_values("chunk")
+        pdf = pdf.sort_values("chunk").drop_duplicates("chunk")  # a repeated row has the same chunks
         states = best_states([np.array(m["scores"]).reshape(m["n_rows"], -1) for m in pdf.matrix])
         return pdf[_KEY].assign(enter=[0, *states[:-1]], leave_by=states)
 
-    states = matrices.groupBy("doc_id", "text_hash").applyInPandas(
-        scanned, "doc_id bigint, text_hash bigint, chunk int, enter int, leave_by int"
+    states = saved(
+        matrices.groupBy("doc_id", "text_hash").applyInPandas(
+            scanned, "doc_id bigint, text_hash bigint, chunk int, enter int, leave_by int"
+        ),
+        "states",
     )
+    if states.count() <= _BROADCAST_ROWS:
+        states = F.broadcast(states)
     on = same_document(chunks, states) & (chunks["chunk"] == states["chunk"])
     ready = chunks.join(states, on).select(*(chunks[c] for c in chunks.columns), "enter", "leave_by")
 
     def traced(batches):
-        lattice = Lattice.load(model_file)
+        lattice = loaded(model_file)
         for batch in batches:
             ids = [
                 lattice.trace(r["text"], r["lo"], r["hi"], r["chunk"] == 0, r["chunk"] == r["n_chunks"] - 1, r["enter"], r["leave_by"])
@@ -349,13 +359,13 @@ def _giants(docs: DataFrame, model_file: str, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _KEY), pa.array(ids, pa.binary())], names=[*_KEY, "ids"])
 
     parts = ready.mapInArrow(traced, "doc_id bigint, text_hash bigint, chunk int, ids binary")
-    in_order = F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])
+    in_order = F.transform(F.array_sort(F.collect_set(F.struct("chunk", "ids"))), lambda x: x["ids"])
     joined = F.aggregate(in_order, F.lit(b""), lambda a, x: F.concat(a, x))
     return parts.groupBy("doc_id", "text_hash").agg(joined.alias("ids"))
 
 
 def encode(docs: DataFrame, model_file: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """One row for each input row: doc_id, text, ids (little-endian unsigned 32-bit integers, as binary).
+    """One row for each input row: doc_id, text_hash, ids (little-endian unsigned 32-bit integers, as binary).
 
     Null and empty texts have no ids. Repeated rows each get their row; an empty table gives an empty one. Texts longer
     than ``chunk_chars`` characters are split into chunks of that size, wherever the cut falls, and no task holds more
@@ -368,19 +378,20 @@ def encode(docs: DataFrame, model_file: str, chunk_chars: int = CHUNK_CHARS) ->
     long = every.filter(F.length("text") >= chunk_chars)
 
     def run(batches):
-        lattice = Lattice.load(model_file)
+        lattice = loaded(model_file)
         for batch in batches:
-            ids = [lattice.encode(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), batch.column("text"), pa.array(ids, pa.binary())],
-                names=["doc_id", "text", "ids"],
-            )
-
-    made = short.mapInArrow(run, "doc_id bigint, text string, ids binary")
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                ids = [lattice.encode(t.as_py()) for t in part.column("text")]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").cast(pa.int64()), part.column("text_hash"), pa.array(ids, pa.binary())],
+                    names=["doc_id", "text_hash", "ids"],
+                )
+
+    made = short.mapInArrow(run, "doc_id bigint, text_hash bigint, ids binary")
     giants = _giants(long, model_file, chunk_chars)
-    return made.unionByName(
-        long.join(giants, same_document(long, giants)).select(long["doc_id"].cast("long").alias("doc_id"), "text", "ids")
-    )
+    rows = long.select(F.col("doc_id").cast("long").alias("doc_id"), "text_hash")
+    return made.unionByName(rows.join(giants, same_document(rows, giants)).select(rows["doc_id"], rows["text_hash"], "ids"))
 
 
 def decode(encoded: DataFrame, model_file: str, column: str = "decoded") -> DataFrame:
@@ -388,7 +399,7 @@ def decode(encoded: DataFrame, model_file: str, column: str = "decoded") -> Data
     schema = T.StructType([*encoded.schema, T.StructField(column, T.StringType())])
 
     def run(batches):
-        lattice = Lattice.load(model_file)
+        lattice = loaded(model_file)
         for batch in batches:
             texts = [lattice.decode(i.as_py()) for i in batch.column("ids")]
             yield batch.append_column(column, pa.array(texts, pa.string()))
@@ -401,5 +412,5 @@ def digest(docs: DataFrame, model_file: str, chunk_chars: int = CHUNK_CHARS) ->
     back = decode(encode(docs, model_file, chunk_chars), model_file)
     return back.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"),
-        (F.col("decoded") == F.col("text")).alias("round_trip"),
+        (F.xxhash64("decoded") == F.col("text_hash")).alias("round_trip"),
     )
