@@ -54,6 +54,13 @@ def same_document(left: DataFrame, right: DataFrame) -> Column:
     return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["text_hash"] == right["text_hash"])
 
 
+def slices(batches, rows: int):
+    """Arrow batches cut to at most ``rows`` rows, so that what a task makes of one is small."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def per_process(key: tuple, make):
     """``make()`` once for each worker process and key: Spark hands its Python workers from task to task."""
     kept = builtins.__dict__.setdefault("_foliospark_kept", {})

@@ -17,25 +17,25 @@ import os
 import re
 import struct
 import zlib
-from itertools import accumulate
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import fresh_path, keyed, per_process, saved
+from foliospark.llm.common import fresh_path, keyed, per_process, saved, slices
 
 MAX_BITS = 20
 BLOCK = 512
 #: Tokens after which a shard ends; a longer document is a shard of its own.
-SHARD_TOKENS = 1_000_000
+SHARD_TOKENS = 2_000_000
 #: Header and document record.
 _HEAD, _DOC = "<4sIQIQ", "<Bqq"
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 900_000
 #: How the tokenizer's file splits text into words once white space is gone, restated for characters of
 #: which Python's classes agree with it (see ``_plain``).
-_WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
+_WORD_SPLIT = r"[^\W\d_]+|\d|'(?:s|t|re|ve|m|ll|d)|(?:[^\s\w]|_)+"
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -142,6 +142,8 @@ def unpack(shard: bytes, table: tuple[int, np.ndarray, np.ndarray]) -> tuple[lis
 
 def _plain(text: str) -> bool:
     """Only characters for which the restated split and lower-casing are the tokenizer's: ASCII and Latin letters."""
+    if text.isascii():
+        return not any(c in text for c in "\x1c\x1d\x1e\x1f")
     odd = "\x1c\x1d\x1e\x1f\xd7\xf7İŉ"
     return all(c not in odd and (c < "\x80" or "\xc0" <= c <= "ſ") for c in set(text))
 
@@ -150,6 +152,14 @@ def _plain(text: str) -> bool:
 _TOGETHER = 1_000_000
 
 
+class _Places(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word):
+        self[word] = at = len(self)
+        return at
+
+
 class Encoder:
     """From texts to their ids as little-endian bytes of ``width`` (2 or 4).
 
@@ -159,7 +169,7 @@ class Encoder:
 
     def __init__(self, vocabulary: str, end_id: int | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
@@ -169,23 +179,30 @@ class Encoder:
         self.width = self.dtype.itemsize
         self.ends_word = np.zeros(top + 1, dtype=bool)
         self.ends_word[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        # Words that are split, lower-cased and of plain characters need no more than the merges.
+        self.merges = Tokenizer.from_file(vocabulary)
+        self.merges.normalizer = None
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         self.split = re.compile(_WORD_SPLIT).findall
         self.end = b"" if end_id is None else np.array([end_id], dtype=self.dtype).tobytes()
-        self.cache: dict[str, bytes] = {}
+        self.index: _Places = _Places()
+        self.table: list[bytes] = []
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
 
-    def _learn(self, words: list[str]) -> None:
-        ids = self.whole(" ".join(words))
+    def _learn(self) -> None:
+        """Ids of the words that the index took in and that the table lacks."""
+        words = list(islice(self.index, len(self.table), None))
+        ids = np.array(self.merges.encode(" ".join(words), add_special_tokens=False).ids, dtype=self.dtype)
         ends = (np.flatnonzero(self.ends_word[ids]) + 1) * self.width
         if len(ends) == len(words):
-            raw, begin = ids.tobytes(), 0
-            for word, end in zip(words, ends.tolist()):
-                self.cache[word] = raw[begin:end]
-                begin = end
+            raw, ends = ids.tobytes(), ends.tolist()
+            self.table += [raw[a:b] for a, b in zip([0, *ends], ends)]
         else:
-            self.cache.update((w, self.whole(w).tobytes()) for w in words)
+            self.table += [self.whole(w).tobytes() for w in words]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out, lo = [], 0
@@ -194,37 +211,41 @@ class Encoder:
             while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= _TOGETHER):
                 size += len(texts[hi])
                 hi += 1
-            split = [self.split(t.lower()) if _plain(t) else None for t in texts[lo:hi]]
-            unknown = set().union(*filter(None, split)) - self.cache.keys()
-            if unknown:
-                if len(self.cache) + len(unknown) > _CACHE_WORDS:
-                    self.cache.clear()
-                    unknown = set().union(*filter(None, split))
-                self._learn(list(unknown))
-            get = self.cache.__getitem__
-            for text, words in zip(texts[lo:hi], split):
-                out.append((self.whole(text).tobytes() if words is None else b"".join(map(get, words))) + self.end)
+            if len(self.index) > _CACHE_WORDS:
+                self.index.clear()
+                self.table.clear()
+            place, split = self.index.__getitem__, self.split
+            words = [list(map(place, split(t.lower()))) if _plain(t) else None for t in texts[lo:hi]]
+            if len(self.table) < len(self.index):
+                self._learn()
+            of = self.table.__getitem__
+            out += [(self.whole(t).tobytes() if w is None else b"".join(map(of, w))) + self.end for t, w in zip(texts[lo:hi], words)]
             lo = hi
         return out
 
 
+#: The place of the row in which a task reports how often it made each id.
+_COUNTS = -1
 _TOKENS = "doc_id bigint, width int, ids binary, place bigint"
 
 
 def _tokens(vocabulary: str, end_id: int | None):
     def run(batches):
         encoder = per_process(("token_store", vocabulary, end_id), lambda: Encoder(vocabulary, end_id))
-        place = 0
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                ids = encoder.encode(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.array([encoder.width] * len(ids), pa.int32()),
-                     pa.array(ids, pa.binary()), pa.array(range(place, place + len(ids)), pa.int64())],
-                    names=["doc_id", "width", "ids", "place"],
-                )
-                place += len(ids)
+        place, total = 0, np.zeros(len(encoder.ends_word), dtype=np.int64)
+
+        def rows(doc_ids, width, ids, places):
+            return pa.RecordBatch.from_arrays(
+                [doc_ids, pa.array([width] * len(ids), pa.int32()), pa.array(ids, pa.binary()), pa.array(places, pa.int64())],
+                names=["doc_id", "width", "ids", "place"],
+            )
+
+        for part in slices(batches, 1000):
+            ids = encoder.encode(part.column("text").to_pylist())
+            total += np.bincount(np.frombuffer(b"".join(ids), dtype=encoder.dtype), minlength=len(total))
+            yield rows(part.column("doc_id").cast(pa.int64()), encoder.width, ids, range(place, place + len(ids)))
+            place += len(ids)
+        yield rows(pa.array([None], pa.int64()), 8, [total.astype("<i8").tobytes()], [_COUNTS])
 
     return run
 
@@ -234,14 +255,11 @@ def _ids(raw: bytes, width: int) -> np.ndarray:
 
 
 def _counts(batches):
-    total = np.zeros(0, dtype=np.int64)
     for batch in batches:
-        for raw, width in zip(batch.column("ids"), batch.column("width").to_pylist()):
-            got = np.bincount(_ids(raw.as_py(), width), minlength=len(total))
-            got[: len(total)] += total
-            total = got
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
+        for raw in batch.column("ids").to_pylist():
+            total = np.frombuffer(raw, dtype="<i8")
+            used = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
 
 def write_store(docs: DataFrame, vocabulary: str, end_id: int | None = 2, path: str | None = None) -> str:
@@ -260,7 +278,7 @@ def write_store(docs: DataFrame, vocabulary: str, end_id: int | None = 2, path:
         ordered.mapInArrow(_tokens(vocabulary, end_id), _TOKENS).withColumn("part", F.spark_partition_id()),
         "token_ids",
     )
-    counted = tokens.select("width", "ids").mapInArrow(_counts, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = tokens.filter(F.col("place") == _COUNTS).select("ids").mapInArrow(_counts, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     rows = counted.collect()
     counts = np.zeros(max((r.id for r in rows), default=0) + 1, dtype=np.int64)
     for r in rows:
@@ -297,7 +315,7 @@ def write_store(docs: DataFrame, vocabulary: str, end_id: int | None = 2, path:
             yield out()
 
     # A file holds rows of one part in order, and a task reads a run of them; a shard is known by its first row's place.
-    tokens.mapInArrow(shards, _SHARDS).write.parquet(f"{path}/shards")
+    tokens.filter(F.col("place") >= 0).mapInArrow(shards, _SHARDS).write.parquet(f"{path}/shards")
     return path
 
 
