@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.common import keyed, per_process, same_document, saved
+from foliospark.llm.common import keyed, per_process, same_document, saved, slices
 
 CHUNK_CHARS = 16_384
 BLANK = "▁"
-_CACHE, _CACHE_LEN = 400_000, 48
+_CACHE, _CACHE_LEN = 200_000, 48
 _NONE = float("-inf")
 
 
@@ -45,20 +45,30 @@ class Lattice:
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], bpe: bool, prefix: bool = True):
         self.pieces, self.byte_ids, self.bpe, self.prefix = pieces, byte_ids, bpe, prefix
         self.longest = max(map(len, pieces), default=1)
-        # Of each beginning of a piece: its score if it is a piece, else None.
-        self.starts = {p[:i]: None for p in pieces for i in range(1, len(p))} | {p: s for p, (_, s) in pieces.items()}
         order = {s: k for k, s in enumerate(sorted({s for _, s in pieces.values()}, reverse=True))}
         self.rank = {p: order[s] for p, (_, s) in pieces.items()}
+        self._starts = None
         self.last_merge = lru_cache(None)(self._last_merge)
         self.joint = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
         self.unknown = min((s for _, s in pieces.values()), default=0.0) - 10
-        self.fits = lru_cache(1 << 18)(self._fits)
-        self.memo: dict[str, bytes] = {}
+        self.fits = lru_cache(1 << 17)(self._fits)
+        self.ends = {p[i:]: None for p in pieces for i in range(1, len(p))} | {p: s for p, (_, s) in pieces.items()}
+        self.nothing = (0.0, "", b"")
+        self.memo: dict[str, tuple[float, str, bytes]] = {}
+        self.units: dict[str, bytes] = {}
+        self.packed = {p: i.to_bytes(4, "little") for p, (i, _) in pieces.items()}
         # Fast cut at blanks and line feeds, if no piece has a blank after another character or a line feed beside one.
         plain = not any(x[1] == BLANK != x[0] or "\n" in x for x in self.joint)
         self.cut = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n").findall if plain else self._stretches
         self.texts = {i: p.encode() for p, (i, _) in pieces.items()} | {b: bytes([k]) for k, b in enumerate(byte_ids)}
 
+    @property
+    def starts(self) -> dict[str, float | None]:
+        """Of each beginning of a piece: its score if it is a piece, else None. Made when it is first asked for."""
+        if self._starts is None:
+            self._starts = {p[:i]: None for p in self.pieces for i in range(1, len(p))} | {p: s for p, (_, s) in self.pieces.items()}
+        return self._starts
+
     @classmethod
     def load(cls, model_file: str) -> Lattice:
         """Of a SentencePiece model whose normaliser leaves text alone, with byte fallback."""
@@ -153,28 +163,38 @@ class Lattice:
                     best[end] = (here[0] + score, at, token)
         return best
 
-    def through(self, text: str) -> dict[int, tuple]:
-        """``forward`` over a whole text from one state, but depth first for ``bpe``: its path is unique, and so is the
-        state of each place that any path reaches, so each place is entered once and the first path through ends it."""
-        n, best = len(text), {0: (0.0, 0, "")}
-        if not self.bpe:
-            return self.forward(text, 0, n, best)
-        get, fits, longest, todo = self.starts.get, self.fits, self.longest, [0]
-        while todo and n not in best:
-            at = todo.pop()
-            before = best[at][2]
-            if text[at] not in self.pieces and at + 1 not in best:
-                best[at + 1] = (0.0, at, text[at])
-                todo.append(at + 1)
-            for end in range(at + 1, min(n, at + longest) + 1):
-                part = text[at:end]
-                score = get(part, False)
-                if score is False:
+    def best_prefix(self, text: str) -> tuple[float, str, bytes]:
+        """(score, last token, ids) of the best path over a text from one state: Viterbi's recursion on prefixes.
+
+        The best path to a place doesn't depend on what follows, so prefixes are kept and shared between texts. For
+        ``bpe`` just one token can end a text's path, and the longest that fits the path before it is that one.
+        """
+        got = self.memo.get(text)
+        if got is not None:
+            return got
+        n, get, best = len(text), self.ends.get, None
+        here = [] if text[-1] in self.pieces else [(text[-1], self.unknown)]
+        for start in range(n - 1, max(-1, n - 1 - self.longest), -1):
+            part = text[start:]
+            score = get(part, False)
+            if score is False:
+                break
+            if score is not None:
+                here.append((part, score))
+        for part, score in reversed(here):
+            before = self.best_prefix(text[: n - len(part)]) if len(part) < n else self.nothing
+            if self.bpe:
+                if self.fits(before[1], part):
+                    best = (0.0, part, before)
                     break
-                if score is not None and end not in best and fits(before, part):
-                    best[end] = (0.0, at, part)
-                    todo.append(end)
-        return best
+            elif best is None or before[0] + score > best[0]:
+                best = (before[0] + score, part, before)
+        score, part, before = best
+        got = (score, part, before[2] + (self.packed.get(part) or self._unknown(part)))
+        if len(self.memo) >= _CACHE:
+            self.memo.clear()
+        self.memo[text] = got
+        return got
 
     @staticmethod
     def back(best: dict[int, tuple], end: int, begin: int) -> list[str]:
@@ -186,29 +206,35 @@ class Lattice:
         return out[::-1]
 
     def ids(self, tokens: list[str]) -> bytes:
-        out = []
-        for t in tokens:
-            got = self.pieces.get(t)
-            out += [got[0]] if got else [self.byte_ids[b] for b in t.encode("utf-8", "surrogatepass")]
-        return np.array(out, dtype="<u4").tobytes()
+        get, unknown = self.packed.get, self._unknown
+        return b"".join([get(t) or unknown(t) for t in tokens])
 
-    def _stretches(self, text: str) -> list[str]:
-        cuts = [0, *(i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.joint), len(text)]
-        return [text[a:b] for a, b in zip(cuts, cuts[1:]) if a < b]
+    def _unknown(self, character: str) -> bytes:
+        return np.array([self.byte_ids[b] for b in character.encode("utf-8", "surrogatepass")], dtype="<u4").tobytes()
 
-    def stretch(self, text: str) -> bytes:
-        """Ids of a text with one state at either edge."""
-        got = self.memo.get(text)
-        if got is None:
-            got = self.ids(self.back(self.through(text), len(text), 0))
-            if len(text) <= _CACHE_LEN:
-                if len(self.memo) >= _CACHE:
-                    self.memo.clear()
-                self.memo[text] = got
+    def _stretches(self, text: str) -> list[str]:
+        joint, cuts = self.joint, [0]
+        cuts += [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in joint]
+        return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)])] if text else []
+
+    def _stretch(self, text: str) -> bytes:
+        """Ids of a text with one state at either edge and none inside."""
+        if len(text) <= _CACHE_LEN:
+            return self.best_prefix(text)[2]
+        n = len(text)
+        return self.ids(self.back(self.forward(text, 0, n, {0: (0.0, 0, "")}), n, 0))
+
+    def _unit(self, text: str) -> bytes:
+        got = b"".join(map(self._stretch, self._stretches(text)))
+        if len(text) <= _CACHE_LEN:
+            if len(self.units) >= _CACHE:
+                self.units.clear()
+            self.units[text] = got
         return got
 
     def stretches(self, text: str) -> bytes:
-        get, slow = self.memo.get, self.stretch
+        """Ids of a text with one state at either edge."""
+        get, slow = self.units.get, self._unit
         return b"".join([get(s) or slow(s) for s in self.cut(text)])
 
     def encode(self, text: str) -> bytes:
@@ -318,24 +344,22 @@ def _giants(docs: DataFrame, model_file: str, size: int) -> DataFrame:
 
     def transfers(batches):
         lattice = loaded(model_file)
-        for batch in batches:
-            made = []
-            for r in batch.to_pylist():
-                m = lattice.transfer(r["text"], r["lo"], r["hi"], r["chunk"] == 0, r["chunk"] == r["n_chunks"] - 1)
-                made.append({"n_rows": m.shape[0], "scores": m.ravel().tolist()})
-            kind = pa.struct([("n_rows", pa.int32()), ("scores", pa.list_(pa.float64()))])
+        for batch in slices(batches, 64):
+            made = [
+                lattice.transfer(r["text"], r["lo"], r["hi"], r["chunk"] == 0, r["chunk"] == r["n_chunks"] - 1)
+                for r in batch.to_pylist()
+            ]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in _KEY), pa.array(made, kind)], names=[*_KEY, "matrix"]
-            )
+                [*(batch.column(c) for c in _KEY), pa.array([m.shape[0] for m in made], pa.int32()),
+                 pa.array([m.tobytes() for m in made], pa.binary())], names=[*_KEY, "n_rows", "scores"]
+            )
 
-    matrices = chunks.mapInArrow(
-        transfers, "doc_id bigint, text_hash bigint, chunk int, matrix struct<n_rows:int,scores:array<double>>"
-    )
+    matrices = chunks.mapInArrow(transfers, "doc_id bigint, text_hash bigint, chunk int, n_rows int, scores binary")
 
     # The matrices of one text: a few hundred numbers for each chunk of it, so no more than a part of its own length.
     def scanned(pdf):
         pdf = pdf.sort_values("chunk").drop_duplicates("chunk")  # a repeated row has the same chunks
-        states = best_states([np.array(m["scores"]).reshape(m["n_rows"], -1) for m in pdf.matrix])
+        states = best_states([np.frombuffer(m).reshape(n, -1) for m, n in zip(pdf.scores, pdf.n_rows)])
         return pdf[_KEY].assign(enter=[0, *states[:-1]], leave_by=states)
 
     states = saved(
@@ -351,7 +375,7 @@ def _giants(docs: DataFrame, model_file: str, size: int) -> DataFrame:
 
     def traced(batches):
         lattice = loaded(model_file)
-        for batch in batches:
+        for batch in slices(batches, 64):
             ids = [
                 lattice.trace(r["text"], r["lo"], r["hi"], r["chunk"] == 0, r["chunk"] == r["n_chunks"] - 1, r["enter"], r["leave_by"])
                 for r in batch.to_pylist()
@@ -379,14 +403,12 @@ def encode(docs: DataFrame, model_file: str, chunk_chars: int = CHUNK_CHARS) ->
 
     def run(batches):
         lattice = loaded(model_file)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                ids = [lattice.encode(t.as_py()) for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), part.column("text_hash"), pa.array(ids, pa.binary())],
-                    names=["doc_id", "text_hash", "ids"],
-                )
+        for part in slices(batches, 500):
+            ids = [lattice.encode(t.as_py()) for t in part.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id").cast(pa.int64()), part.column("text_hash"), pa.array(ids, pa.binary())],
+                names=["doc_id", "text_hash", "ids"],
+            )
 
     made = short.mapInArrow(run, "doc_id bigint, text_hash bigint, ids binary")
     giants = _giants(long, model_file, chunk_chars)
@@ -400,7 +422,7 @@ def decode(encoded: DataFrame, model_file: str, column: str = "decoded") -> Data
 
     def run(batches):
         lattice = loaded(model_file)
-        for batch in batches:
+        for batch in slices(batches, 500):
             texts = [lattice.decode(i.as_py()) for i in batch.column("ids")]
             yield batch.append_column(column, pa.array(texts, pa.string()))
 
