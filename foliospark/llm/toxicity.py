@@ -24,11 +24,12 @@ from foliospark.llm.labelled import fold, training_sample
 
 #: At most so many labelled documents are learned from.
 TRAIN_ROWS = 8000
-WINDOW_WORDS, LEVEL, GRAM = 6, 19, 6
+WINDOW_WORDS, LEVEL, GRAM = 10, 16, 6
 ORDINARY_BYTES, TOXIC_BYTES, ORDINARY_WINDOWS = 2048, 2048, 40_000
 #: Least documents and log-likelihood ratio of a gram that marks toxic text.
 GRAM_DOCUMENTS, GRAM_RATIO = 4, 20.0
-PRIMER = 64
+PRIMER = 48
+_REMEMBERED = 200_000
 
 
 def windows(text: str) -> list[bytes]:
@@ -41,6 +42,20 @@ def _joined(text: str) -> bytes:
     return b" " + b" ".join(text.encode("utf-8", "surrogatepass").translate(LOWER_BYTES).split()) + b" "
 
 
+class _Gains(dict):
+    """Bytes that a window is shorter with the toxic dictionary, measured once while it is remembered."""
+
+    def __init__(self, ordinary, toxic, primer: bytes):
+        self.ordinary, self.toxic, self.primer = ordinary, toxic, primer
+
+    def __missing__(self, window: bytes) -> int:
+        if len(self) >= _REMEMBERED:
+            self.clear()
+        whole = self.primer + window
+        self[window] = gain = len(self.ordinary(whole)) - len(self.toxic(whole))
+        return gain
+
+
 @dataclass
 class Model:
     """``ordinary`` and ``toxic`` dictionaries; without both classes to learn from, ``share`` alone."""
@@ -52,7 +67,7 @@ class Model:
     spread: np.ndarray | None = None
     weights: np.ndarray | None = None
 
-    def compressors(self):
+    def compressors(self) -> _Gains:
         out = []
         for content in (self.ordinary, self.toxic):
             made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -62,14 +77,13 @@ class Model:
                     level=LEVEL, dict_data=made, write_content_size=False, write_checksum=False, write_dict_id=False
                 ).compress
             )
-        return out
+        half = (len(self.ordinary) - PRIMER) // 2
+        return _Gains(*out, self.ordinary[half : half + PRIMER])
 
-    def features(self, text: str, compressors) -> list[float]:
+    @staticmethod
+    def features(text: str, gains: _Gains) -> list[float]:
         """How much shorter the windows are with the toxic dictionary: largest, total, counts, mean."""
-        ordinary, toxic = compressors
-        half = (len(self.ordinary) - PRIMER) // 2
-        primer = self.ordinary[half : half + PRIMER]
-        gain = np.array([len(ordinary(w)) - len(toxic(w)) for w in (primer + x for x in windows(text))] or [0])
+        gain = np.array([gains[w] for w in windows(text)] or [0])
         plus = np.maximum(gain, 0)
         return [gain.max(), np.log1p(plus.sum()), (gain >= 2).sum() ** 0.5, WINDOW_WORDS * plus.mean(), (gain >= 4).mean()]
 
@@ -224,9 +238,9 @@ def _measured(docs: DataFrame, model: Model, kind: str, keep: tuple[str, ...]) -
 
     def run(batches):
         own = Model(share, ordinary, toxic)
-        both = per_process(("toxicity", ordinary, toxic), own.compressors)
+        gains = per_process(("toxicity", ordinary, toxic), own.compressors)
         for batch in batches:
-            made = [[float(x) for x in own.features(t.as_py(), both)] for t in batch.column("text")]
+            made = [[float(x) for x in own.features(t.as_py(), gains)] for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), pa.array(made, pa.list_(pa.float64()))], names=[*keep, "row"]
             )
