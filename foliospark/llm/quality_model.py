@@ -149,10 +149,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts have no words and zero statistics, and a score of their own; a null ``n_chars`` counts as the
     length of the text. Repeated rows each have their row. A text takes time and memory linear in its length.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2.4 MB, whatever the data
+    # 2.4 MB, whatever the data; plain arrays, which workers read without this package.
+    parts = (model.bias, model.weights, model.factors, model.mean, model.spread)
+    sent = docs.sparkSession.sparkContext.broadcast(parts)
 
     def run(batches):
-        model = sent.value
+        model = Model(*sent.value)
         for batch in batches:
             made = [
                 model.score(t.as_py() or "", n.as_py()) for t, n in zip(batch.column("text"), batch.column("n_chars"))
