@@ -146,13 +146,11 @@ def record_id(text: Column) -> Column:
 def durations(text: Column) -> Column:
     """Different (value, unit) keys, such as ``10 day``."""
     q = normalize_question(text)
-    found = [
-        F.transform(
-            F.regexp_extract_all(q, F.lit(rf"\b(\d+)\s+(?:{pattern})\b"), F.lit(1)),
-            lambda n, u=unit: F.concat(n.cast("long").cast("string"), F.lit(f" {u}")),
-        )
-        for pattern, unit in UNITS.items()
-    ]
+    def of(pattern, unit):
+        values = F.regexp_extract_all(q, F.lit(rf"\b(\d+)\s+(?:{pattern})\b"), F.lit(1))
+        return F.transform(values, lambda n: F.concat(n.cast("long").cast("string"), F.lit(f" {unit}")))
+
+    found = [of(pattern, unit) for pattern, unit in UNITS.items()]
     return F.array_sort(F.array_distinct(F.concat(*found)))
 
 

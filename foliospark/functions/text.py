@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Accented letters of the Latin blocks in use, and their base letters.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
@@ -39,7 +40,7 @@ def normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_full(texts: pd.Series) -> pd.Series:
     """``normalize`` with full compatibility decomposition (ligatures of type, widths, superscripts)."""
 
@@ -221,7 +222,8 @@ def html_text(html: Column) -> Column:
     out = F.regexp_replace(out, r"<[^>]*>", " ")
     for code, plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(code), F.lit(plain))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\s*\n\s*", "\n"))
+    out = F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\s*\n\s*", "\n")
+    return F.regexp_replace(out, r"^\s+|\s+$", "")
 
 
 def search_terms(text: Column, most: int = 24) -> Column:
@@ -243,7 +245,7 @@ def stem(word: str, language_: str) -> str:
     return word
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def stem_tokens(words: pd.Series) -> pd.Series:
     """Both languages' stems of an array of tokens, marked by language."""
 

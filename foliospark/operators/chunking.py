@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 PLAIN, STRUCTURED, CARRY, PARENT, PARENT_FROM, LEAST = 650, 450, 80, 1500, 900, 20
@@ -104,9 +104,11 @@ def chunk_document(blocks: list[dict]) -> list[dict]:
 def chunks(blocks: DataFrame) -> DataFrame:
     """Chunks of every document. blocks: document_id, document_name, block_index, text, page, heading, region, char_start."""
 
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [{k: None if v is None or v != v else v for k, v in r.items()} for r in pdf.to_dict("records")]
-        made = pd.DataFrame(chunk_document(rows), columns=[c.split()[0] for c in SCHEMA.split(", ")])
-        return made.astype({"page": "Int32", "seq": "int32"})
+    kind = pa.schema(
+        [(c.split()[0], {"string": pa.string(), "int": pa.int32()}[c.split()[1]]) for c in SCHEMA.split(", ")]
+    )
 
-    return blocks.groupBy("document_id").applyInPandas(of, SCHEMA)
+    def of(table: pa.Table) -> pa.Table:
+        return pa.Table.from_pylist(chunk_document(table.to_pylist()), schema=kind)
+
+    return blocks.groupBy("document_id").applyInArrow(of, SCHEMA)
