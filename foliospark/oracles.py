@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from foliospark.functions.numbers import DATE_OR_TIME, NUMBER_RUN
 from foliospark.functions.text import ENGLISH_STOPS, FRENCH_STOPS
 
 _EVENTS = """WITH pe AS (SELECT event_id AS id, user_id AS chat_id, CASE WHEN event_type = 'view' THEN 'device' ELSE event_type END AS destination,
@@ -50,7 +51,60 @@ _NORMAL = (
     " '\\p{{M}}', '', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 )
 
+_RUN = f"({NUMBER_RUN})".replace("'", "''")
+_MONEY_TEXT = "(floor({c} / 100)::BIGINT || ',' || lpad(({c} % 100)::VARCHAR, 2, '0'))"
+_INVOICE_TEXT = f"""{_INVOICES}, x AS (SELECT *, 'Facture n° ' || record_id || chr(10) || 'Date: ' || strftime(record_date::DATE, '%d/%m/%Y') || chr(10)
+  || 'TVA: ' || {_MONEY_TEXT.format(c="tax")} || ' ' || currency || chr(10) || 'Total TTC: ' || {_MONEY_TEXT.format(c="cents")} || ' ' || currency
+  || CASE WHEN twice THEN chr(10) || 'Net à payer: ' || {_MONEY_TEXT.format(c="(cents + 100)")} || ' ' || currency ELSE '' END AS text FROM i)"""
+
+
+def _canonical(text: str) -> str:
+    digits = r"regexp_replace(r, '\D', '', 'g')"
+    fraction = r"regexp_replace(regexp_extract(r, '^.*[.,](\d+)$', 1), '0+$', '')"
+    whole = r"regexp_replace(regexp_extract(r, '^(.*)[.,]\d+$', 1), '\D', '', 'g')"
+    plain = rf"regexp_matches(r, '{DATE_OR_TIME}') OR regexp_matches(r, '^\d{{1,3}}(?:,\d{{3}}){{2,}}$') OR NOT regexp_matches(r, '[.,]\d+$')"
+    return f"list_transform(regexp_extract_all({text}, '{_RUN}'), lambda r: CASE WHEN {plain} THEN {digits} WHEN {fraction} <> '' THEN {whole} || '.' || {fraction} ELSE {whole} END)"
+
+
+def _decomposed() -> str:
+    first = ", ".join(
+        f"CASE WHEN len(after) >= {s + n} AND abs(list_sum(after[{s + 1}:{s + n}]) - value) <= 0.005 THEN {n} END" for n in range(2, 7) for s in range(3)
+    )
+    return f"""{_LINES}, a AS (SELECT l_orderkey AS page, l_linenumber AS "at", l_quantity::DOUBLE AS value,
+        list(l_quantity::DOUBLE) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING) AS after FROM li),
+        f AS (SELECT page, "at", value, coalesce({first}) AS n_parts FROM a) SELECT page, "at", value, n_parts FROM f WHERE n_parts IS NOT NULL"""
+
+
 ORACLES: dict[str, str] = {
+    "number_tokens": f"{_INVOICE_TEXT} SELECT document_id, array_to_string({_canonical('text')}, ',') AS found FROM x",
+    "numeric_grounding": f"""{_INVOICE_TEXT}, y AS (SELECT *, cents + CASE WHEN document_id % 2 = 1 THEN 12345 ELSE 0 END AS stated FROM x),
+        z AS (SELECT document_id AS answer_id, {_canonical("'The total is ' || " + _MONEY_TEXT.format(c="stated") + " || ' ' || currency")} AS said, {_canonical("text")} AS have FROM y),
+        u AS (SELECT answer_id, list_sort(list_distinct(list_filter(said, lambda n: NOT list_contains(have, n) AND NOT (try_cast(n AS INT) BETWEEN 0 AND 20 AND n = try_cast(n AS INT)::VARCHAR)))) AS missing FROM z)
+        SELECT answer_id, array_to_string(missing, ',') AS unsupported, len(missing) = 0 AS grounded FROM u""",
+    "decomposed_totals": _decomposed(),
+    "char_grams": f"""WITH n AS (SELECT item_id AS query_id, {_NORMAL.format(t="substring(text, 1, 80)")} AS t FROM benchmark),
+        v AS (SELECT query_id, list_filter(list_append(string_split(t, ' '), replace(t, ' ', '')), lambda w: w <> '') AS ws FROM n),
+        w AS (SELECT query_id, k, '^' || ws[k] || '$' AS w FROM v, unnest(range(1, len(ws) + 1)) AS u(k)),
+        g AS (SELECT query_id, substring(w, i, 3) AS gram, min(k * 100000 + i) AS place FROM w, unnest(range(1, greatest(length(w) - 2, 1) + 1)) AS u(i) GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS n FROM g)
+        SELECT query_id, string_agg(gram, ' ' ORDER BY place) AS grams FROM r WHERE n <= 768 GROUP BY 1""",
+    "text_quality": r"""WITH t AS (SELECT doc_id, text, length(text) AS n, length(text) - length(regexp_replace(text, '\s', '', 'g')) AS blank,
+          length(text) - length(regexp_replace(text, '[\x00\x{FFFD}]', '', 'g')) AS odd, length(text) - length(regexp_replace(text, '\p{L}', '', 'g')) AS letters,
+          list_transform(regexp_split_to_array(text, '\s+'), lambda w: length(w)) AS runs FROM documents),
+        q AS (SELECT *, coalesce(list_max(runs), 0) AS longest, coalesce(list_sum(list_filter(runs, lambda k: k >= 24)), 0) AS in_long FROM t)
+        SELECT doc_id, CASE WHEN length(trim(text)) < 50 THEN 'sparse' WHEN odd >= 3 AND odd >= n * 0.005 THEN 'unmapped'
+          WHEN letters >= 50 AND blank < n * 0.06 AND (in_long >= n * 0.2 OR longest >= 64) THEN 'joined' ELSE 'usable' END AS quality FROM q""",
+    "retrieval_metrics": f"""{_COSINE}, g AS (SELECT query_id, list(vec_id ORDER BY rank) AS got FROM near WHERE rank <= 10 GROUP BY 1),
+        l AS (SELECT label, list(vec_id) AS want FROM embeddings GROUP BY 1),
+        j AS (SELECT got, want, e.label > 0 AS ok FROM g JOIN embeddings e ON e.vec_id = g.query_id JOIN l USING (label)),
+        h AS (SELECT *, list_transform(range(1, len(got) + 1), lambda i: CASE WHEN list_contains(want, got[i]) THEN i END) AS places FROM j),
+        p AS (SELECT ok, len(list_intersect(want, got[1:1])) / len(want) AS r1, least(1, len(want)) / len(want) AS ceiling, len(list_intersect(want, got[1:5])) / len(want) AS r5,
+          len(list_intersect(want, got[1:10])) / len(want) AS r10, coalesce(1.0 / list_min(places), 0) AS rr,
+          coalesce(list_sum(list_transform(list_filter(places, lambda i: i IS NOT NULL), lambda i: 1 / log2(i + 1))), 0)
+            / list_sum(list_transform(range(1, least(len(want), 10) + 1), lambda i: 1 / log2(i + 1))) AS ndcg, len(got) = 0 AS silent FROM h)
+        SELECT count(*) FILTER (ok) AS queries, round(avg(r1) FILTER (ok), 6) AS recall_1, round(avg(ceiling) FILTER (ok), 6) AS recall_1_ceiling,
+          round(avg(r5) FILTER (ok), 6) AS recall_5, round(avg(r10) FILTER (ok), 6) AS recall_10, round(avg(rr) FILTER (ok), 6) AS mrr_10,
+          round(avg(ndcg) FILTER (ok), 6) AS ndcg_10, round(avg(silent::INT) FILTER (NOT ok), 6) AS negative_precision FROM p""",
     "egress_summary": f"{_EVENTS} SELECT destination, count(*) AS requests, coalesce(sum(bytes_sent), 0)::BIGINT AS bytes FROM pe GROUP BY 1",
     "egress_week": f"""{_EVENTS} SELECT destination, count(*) AS requests, coalesce(sum(bytes_sent), 0)::BIGINT AS bytes FROM pe
         WHERE created_at >= (SELECT max(created_at) FROM pe) - INTERVAL 7 DAY GROUP BY 1""",
