@@ -70,7 +70,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_crc32, round_trip of every text that is left."""
-    return sentencepieces.digest(docs, tokenizer_file("piece_bpe_32k.model"))
+    # Workers stay for other stages, so they remember less than in a job of their own.
+    return sentencepieces.digest(docs, tokenizer_file("piece_bpe_32k.model"), cache=50_000)
 
 
 STAGES = [

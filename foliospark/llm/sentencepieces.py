@@ -31,19 +31,20 @@ from foliospark.llm.common import keyed, per_process, same_document, saved, slic
 
 CHUNK_CHARS = 16_384
 BLANK = "▁"
-_CACHE, _CACHE_LEN = 200_000, 48
+#: Prefixes, and stretches between blanks, that a worker remembers, and the longest of them.
+CACHE, _CACHE_LEN = 200_000, 48
 _NONE = float("-inf")
 
 
-def loaded(model_file: str) -> Lattice:
-    return per_process(("sentencepieces", model_file), lambda: Lattice.load(model_file))
+def loaded(model_file: str, cache: int) -> Lattice:
+    return per_process(("sentencepieces", model_file, cache), lambda: Lattice.load(model_file, cache))
 
 
 class Lattice:
     """Pieces with (id, score), ``bpe`` or ``unigram``, and the ids of the 256 bytes for characters without a piece."""
 
-    def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], bpe: bool, prefix: bool = True):
-        self.pieces, self.byte_ids, self.bpe, self.prefix = pieces, byte_ids, bpe, prefix
+    def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], bpe: bool, prefix: bool = True, cache: int = CACHE):
+        self.pieces, self.byte_ids, self.bpe, self.prefix, self.cache = pieces, byte_ids, bpe, prefix, cache
         self.longest = max(map(len, pieces), default=1)
         order = {s: k for k, s in enumerate(sorted({s for _, s in pieces.values()}, reverse=True))}
         self.rank = {p: order[s] for p, (_, s) in pieces.items()}
@@ -51,7 +52,7 @@ class Lattice:
         self.last_merge = lru_cache(None)(self._last_merge)
         self.joint = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
         self.unknown = min((s for _, s in pieces.values()), default=0.0) - 10
-        self.fits = lru_cache(1 << 17)(self._fits)
+        self.fits = lru_cache(cache // 2)(self._fits)
         self.ends = {p[i:]: None for p in pieces for i in range(1, len(p))} | {p: s for p, (_, s) in pieces.items()}
         self.nothing = (0.0, "", b"")
         self.memo: dict[str, tuple[float, str, bytes]] = {}
@@ -70,7 +71,7 @@ class Lattice:
         return self._starts
 
     @classmethod
-    def load(cls, model_file: str) -> Lattice:
+    def load(cls, model_file: str, cache: int = CACHE) -> Lattice:
         """Of a SentencePiece model whose normaliser leaves text alone, with byte fallback."""
         from sentencepiece import sentencepiece_model_pb2 as proto
 
@@ -82,7 +83,7 @@ class Lattice:
             raise ValueError("only unigram and BPE models without normalisation are served")
         normal = {p.piece: (i, p.score) for i, p in enumerate(model.pieces) if p.type == 1}
         at = {p.piece: i for i, p in enumerate(model.pieces) if p.type == 6}
-        return cls(normal, [at[f"<0x{b:02X}>"] for b in range(256)], model.trainer_spec.model_type == 2, norm.add_dummy_prefix)
+        return cls(normal, [at[f"<0x{b:02X}>"] for b in range(256)], model.trainer_spec.model_type == 2, norm.add_dummy_prefix, cache)
 
     def normalised(self, text: str) -> str:
         return (BLANK if self.prefix and text else "") + text.replace(" ", BLANK)
@@ -191,7 +192,7 @@ class Lattice:
                 best = (before[0] + score, part, before)
         score, part, before = best
         got = (score, part, before[2] + (self.packed.get(part) or self._unknown(part)))
-        if len(self.memo) >= _CACHE:
+        if len(self.memo) >= self.cache:
             self.memo.clear()
         self.memo[text] = got
         return got
@@ -227,7 +228,7 @@ class Lattice:
     def _unit(self, text: str) -> bytes:
         got = b"".join(map(self._stretch, self._stretches(text)))
         if len(text) <= _CACHE_LEN:
-            if len(self.units) >= _CACHE:
+            if len(self.units) >= self.cache:
                 self.units.clear()
             self.units[text] = got
         return got
@@ -320,9 +321,9 @@ _KEY = ["doc_id", "text_hash", "chunk"]
 _BROADCAST_ROWS = 1_000_000
 
 
-def _cut(model_file: str, size: int):
+def _cut(model_file: str, size: int, cache: int):
     def run(batches):
-        lattice = loaded(model_file)
+        lattice = loaded(model_file, cache)
         for batch in batches:
             for doc_id, text_hash, text in zip(*(batch.column(c) for c in ("doc_id", "text_hash", "text"))):
                 whole = lattice.normalised(text.as_py())
@@ -338,12 +339,12 @@ def _cut(model_file: str, size: int):
     return run
 
 
-def _giants(docs: DataFrame, model_file: str, size: int) -> DataFrame:
+def _giants(docs: DataFrame, model_file: str, size: int, cache: int) -> DataFrame:
     """doc_id, text_hash, ids of texts of several chunks, each document once."""
-    chunks = saved(docs.mapInArrow(_cut(model_file, size), _CHUNKS).repartition(*_KEY), "chunks")
+    chunks = saved(docs.mapInArrow(_cut(model_file, size, cache), _CHUNKS).repartition(*_KEY), "chunks")
 
     def transfers(batches):
-        lattice = loaded(model_file)
+        lattice = loaded(model_file, cache)
         for batch in slices(batches, 64):
             made = [
                 lattice.transfer(r["text"], r["lo"], r["hi"], r["chunk"] == 0, r["chunk"] == r["n_chunks"] - 1)
@@ -374,7 +375,7 @@ def _giants(docs: DataFrame, model_file: str, size: int) -> DataFrame:
     ready = chunks.join(states, on).select(*(chunks[c] for c in chunks.columns), "enter", "leave_by")
 
     def traced(batches):
-        lattice = loaded(model_file)
+        lattice = loaded(model_file, cache)
         for batch in slices(batches, 64):
             ids = [
                 lattice.trace(r["text"], r["lo"], r["hi"], r["chunk"] == 0, r["chunk"] == r["n_chunks"] - 1, r["enter"], r["leave_by"])
@@ -388,7 +389,7 @@ def _giants(docs: DataFrame, model_file: str, size: int) -> DataFrame:
     return parts.groupBy("doc_id", "text_hash").agg(joined.alias("ids"))
 
 
-def encode(docs: DataFrame, model_file: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def encode(docs: DataFrame, model_file: str, chunk_chars: int = CHUNK_CHARS, cache: int = CACHE) -> DataFrame:
     """One row for each input row: doc_id, text_hash, ids (little-endian unsigned 32-bit integers, as binary).
 
     Null and empty texts have no ids. Repeated rows each get their row; an empty table gives an empty one. Texts longer
@@ -402,7 +403,7 @@ def encode(docs: DataFrame, model_file: str, chunk_chars: int = CHUNK_CHARS) ->
     long = every.filter(F.length("text") >= chunk_chars)
 
     def run(batches):
-        lattice = loaded(model_file)
+        lattice = loaded(model_file, cache)
         for part in slices(batches, 500):
             ids = [lattice.encode(t.as_py()) for t in part.column("text")]
             yield pa.RecordBatch.from_arrays(
@@ -411,17 +412,17 @@ def encode(docs: DataFrame, model_file: str, chunk_chars: int = CHUNK_CHARS) ->
             )
 
     made = short.mapInArrow(run, "doc_id bigint, text_hash bigint, ids binary")
-    giants = _giants(long, model_file, chunk_chars)
+    giants = _giants(long, model_file, chunk_chars, cache)
     rows = long.select(F.col("doc_id").cast("long").alias("doc_id"), "text_hash")
     return made.unionByName(rows.join(giants, same_document(rows, giants)).select(rows["doc_id"], rows["text_hash"], "ids"))
 
 
-def decode(encoded: DataFrame, model_file: str, column: str = "decoded") -> DataFrame:
+def decode(encoded: DataFrame, model_file: str, column: str = "decoded", cache: int = CACHE) -> DataFrame:
     """``encoded`` and the text that its ``ids`` stand for."""
     schema = T.StructType([*encoded.schema, T.StructField(column, T.StringType())])
 
     def run(batches):
-        lattice = loaded(model_file)
+        lattice = loaded(model_file, cache)
         for batch in slices(batches, 500):
             texts = [lattice.decode(i.as_py()) for i in batch.column("ids")]
             yield batch.append_column(column, pa.array(texts, pa.string()))
@@ -429,9 +430,9 @@ def decode(encoded: DataFrame, model_file: str, column: str = "decoded") -> Data
     return encoded.mapInArrow(run, schema)
 
 
-def digest(docs: DataFrame, model_file: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def digest(docs: DataFrame, model_file: str, chunk_chars: int = CHUNK_CHARS, cache: int = CACHE) -> DataFrame:
     """doc_id, n_tokens, ids_crc32, round_trip (whether decoding gives the text back)."""
-    back = decode(encode(docs, model_file, chunk_chars), model_file)
+    back = decode(encode(docs, model_file, chunk_chars, cache), model_file, cache=cache)
     return back.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"),
         (F.xxhash64("decoded") == F.col("text_hash")).alias("round_trip"),
