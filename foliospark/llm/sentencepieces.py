@@ -266,6 +266,10 @@ class Lattice:
 
     def transfer(self, text: str, lo: int, hi: int, first: bool, last: bool) -> np.ndarray:
         """The max-plus matrix from states at lo to states at hi."""
+        return expanded(self.factors(text, lo, hi, first, last))
+
+    def factors(self, text: str, lo: int, hi: int, first: bool, last: bool) -> tuple[np.ndarray, np.ndarray | None]:
+        """``transfer`` as the sum of a column and a row where all paths meet inside; else the matrix and None."""
         entry, leave, near, far = self._edges(text, lo, hi, first, last)
 
         def out_of(best):
@@ -281,10 +285,11 @@ class Lattice:
 
         rows = [self.forward(text, lo, near or hi, {end: (0.0, end, token)}) for end, token in entry]
         if near is None:
-            return np.array([out_of(b) for b in rows])
+            return np.array([out_of(b) for b in rows]), None
         inward = np.array([b[near][0] if near in b else _NONE for b in rows])
         middle = 0.0 if self.bpe else self.forward(text[near:far], 0, far - near, {0: (0.0, 0, "")})[far - near][0]
-        return inward[:, None] + middle + np.array(out_of(self.forward(text, far, hi, {far: (0.0, far, "")})))[None, :]
+        outward = np.array(out_of(self.forward(text, far, hi, {far: (0.0, far, "")})))
+        return inward[:, None] + middle, outward[None, :]
 
     def trace(self, text: str, lo: int, hi: int, first: bool, last: bool, enter: int, leave_by: int) -> bytes:
         """Ids of the tokens that start in [lo, hi) on the best path between two states."""
@@ -305,13 +310,19 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
 
-def best_states(matrices: list[np.ndarray]) -> list[int]:
+def expanded(factors: tuple[np.ndarray, np.ndarray | None]) -> np.ndarray:
+    return factors[0] if factors[1] is None else factors[0] + factors[1]
+
+
+def best_states(matrices: list, matrix=lambda m: m) -> list[int]:
     """The state at each chunk's right edge on the best path of the whole text.
 
-    Prefix and suffix products (the scan) give, for each edge and state, the best score of a path through it.
+    Prefix and suffix products (the scan) give, for each edge and state, the best score of a path through it. Each entry
+    is made a matrix by ``matrix`` when its turn comes.
     """
-    before = list(accumulate(matrices[1:], product, initial=matrices[0]))
-    after = list(accumulate(matrices[:0:-1], lambda a, m: product(m, a), initial=np.zeros((matrices[-1].shape[1], 1))))[::-1]
+    before = list(accumulate(matrices[1:], lambda v, m: product(v, matrix(m)), initial=matrix(matrices[0])))
+    end = np.zeros((before[-1].shape[1], 1))
+    after = list(accumulate(matrices[:0:-1], lambda a, m: product(matrix(m), a), initial=end))[::-1]
     return [int((b[0] + a[:, 0]).argmax()) for b, a in zip(before, after)]
 
 
@@ -347,20 +358,29 @@ def _giants(docs: DataFrame, model_file: str, size: int, cache: int) -> DataFram
         lattice = loaded(model_file, cache)
         for batch in slices(batches, 64):
             made = [
-                lattice.transfer(r["text"], r["lo"], r["hi"], r["chunk"] == 0, r["chunk"] == r["n_chunks"] - 1)
+                lattice.factors(r["text"], r["lo"], r["hi"], r["chunk"] == 0, r["chunk"] == r["n_chunks"] - 1)
                 for r in batch.to_pylist()
             ]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in _KEY), pa.array([m.shape[0] for m in made], pa.int32()),
-                 pa.array([m.tobytes() for m in made], pa.binary())], names=[*_KEY, "n_rows", "scores"]
+                [*(batch.column(c) for c in _KEY), pa.array([m[0].shape[0] for m in made], pa.int32()),
+                 pa.array([m[1] is not None for m in made], pa.bool_()),
+                 pa.array([b"".join(x.tobytes() for x in m if x is not None) for m in made], pa.binary())],
+                names=[*_KEY, "n_rows", "factored", "scores"],
             )
 
-    matrices = chunks.mapInArrow(transfers, "doc_id bigint, text_hash bigint, chunk int, n_rows int, scores binary")
+    matrices = chunks.mapInArrow(
+        transfers, "doc_id bigint, text_hash bigint, chunk int, n_rows int, factored boolean, scores binary"
+    )
+
+    def unpacked(row):
+        n, factored, scores = row
+        flat = np.frombuffer(scores)
+        return expanded((flat[:n, None], flat[None, n:]) if factored else (flat.reshape(n, -1), None))
 
-    # The matrices of one text: a few hundred numbers for each chunk of it, so no more than a part of its own length.
+    # The matrices of one text: as a rule a column and a row of scores for each chunk, far less than its characters.
     def scanned(pdf):
         pdf = pdf.sort_values("chunk").drop_duplicates("chunk")  # a repeated row has the same chunks
-        states = best_states([np.frombuffer(m).reshape(n, -1) for m, n in zip(pdf.scores, pdf.n_rows)])
+        states = best_states(list(zip(pdf.n_rows, pdf.factored, pdf.scores)), unpacked)
         return pdf[_KEY].assign(enter=[0, *states[:-1]], leave_by=states)
 
     states = saved(
