@@ -192,7 +192,7 @@ ORACLES: dict[str, str] = {
     "weak_matches": f"WITH f AS ({_fused('1.0', 16)}) SELECT query_id, max(score) AS best, max(score) < 0.04 AS weak FROM f GROUP BY 1",
     "prototype_classes": f"""{_COSINE}, k AS (SELECT s.query_id, e.label, s.score, row_number() OVER (PARTITION BY s.query_id, e.label ORDER BY s.score DESC, s.vec_id) AS n
           FROM s JOIN embeddings e USING (vec_id) WHERE s.vec_id % 20 <> 0),
-        a AS (SELECT query_id, label, round(avg(score), 6) AS score FROM k WHERE n <= 2 GROUP BY ALL),
+        a AS (SELECT query_id, label, round(avg(score) + 1e-9, 6) AS score FROM k WHERE n <= 2 GROUP BY ALL),
         b AS (SELECT *, row_number() OVER w AS n, lead(score) OVER w AS next FROM a WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, label))
         SELECT query_id, label, score, round(score - next, 6) AS margin FROM b WHERE n = 1""",
     "money_facts": f"""{_INVOICES} SELECT document_id, record_id, record_date, 'total_ttc' AS kind, cents AS value_minor, currency FROM i

@@ -383,7 +383,7 @@ def prototype_classes(spark, sf_dir):
     proto = e.filter("vec_id % 20 <> 0")
     near = retrieval.nearest(proto, held, "vec_id", 1 << 30).join(proto.select("vec_id", "label"), "vec_id")
     w = Window.partitionBy("query_id", "label").orderBy(F.desc("score"), "vec_id")
-    top2 = near.withColumn("n", F.row_number().over(w)).filter("n <= 2").groupBy("query_id", "label").agg(F.round(F.avg("score"), 6).alias("score"))
+    top2 = near.withColumn("n", F.row_number().over(w)).filter("n <= 2").groupBy("query_id", "label").agg(F.round(F.avg("score") + 1e-9, 6).alias("score"))
     r = Window.partitionBy("query_id").orderBy(F.desc("score"), "label")
     made = top2.withColumns({"n": F.row_number().over(r), "next": F.lead("score").over(r)}).filter("n = 1")
     return made.select("query_id", "label", "score", F.round(F.col("score") - F.col("next"), 6).alias("margin"))

@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -12,7 +13,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables")
 
 
 def plain(v):
-    if v is None or v != v:
+    if v is None or pd.api.types.is_scalar(v) and pd.isna(v):
         return "NULL"
     return f"{float(v):.9g}" if isinstance(v, (int, float)) and not isinstance(v, bool) or hasattr(v, "dtype") and v.dtype.kind in "iuf" else str(v)
 
