@@ -15,7 +15,9 @@ RRF_K = 60
 
 def postings(corpus: DataFrame, key: str, terms: Column) -> DataFrame:
     """(key, term, tf, len): one row for each different term of a row."""
-    exploded = corpus.select(key, F.size(terms).alias("len"), F.explode(terms).alias("term"))
+    # The array is a column before it is exploded; else its size would be worked out from the text for every term.
+    made = corpus.select(key, terms.alias("_terms"))
+    exploded = made.select(key, F.size("_terms").alias("len"), F.explode("_terms").alias("term"))
     return exploded.groupBy(key, "term", "len").agg(F.count("*").alias("tf"))
 
 
