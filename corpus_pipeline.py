@@ -13,10 +13,11 @@ from foliospark.llm import decontaminate, line_dedup, quality_rules, sentencepie
 from foliospark.llm.common import saved, table
 from foliospark.llm.queries import tokenizer_file
 
-#: The SimHash stage: five-word shingles, 512-bit fingerprints in partitions of 16 bits. Texts of Jaccard similarity s
-#: have a cosine of 2 s / (1 + s), and differ in arccos of it / pi of the bits: 15.0 % at 0.8, which is 77 of 512; the
-#: threshold allows for the spread of the estimate.
-SHINGLE, WORDS64, PARTS, MAX_DISTANCE = 5, 8, (4,), 80
+#: The SimHash stage: five-word shingles, 512-bit fingerprints, two random orders of the bits in partitions of 14. Texts of
+#: Jaccard similarity s have a cosine of 2 s / (1 + s), and differ in arccos of it / pi of the bits: 15.0 % at 0.8, which
+#: is 38 of the 256 that are compared. Up to 64 a pair is a candidate, over 4 standard deviations more; the shingles decide.
+SHINGLE, WORDS64, COMPARED, SURE, POSSIBLE = 5, 8, 4, 38, 64
+PARTS = simhash.drawn(WORDS64, 14, 2)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Texts without words aren't copies of each other here: each is its own group.
     """
-    made = simhash.near_duplicates(docs, SHINGLE, MAX_DISTANCE, WORDS64, PARTS)
+    made = simhash.verified_groups(docs, SHINGLE, WORDS64, PARTS, COMPARED, SURE, POSSIBLE)
     zero = F.col("fingerprint") == F.lit(bytes(8 * WORDS64))
     first = (
         made.filter(~zero)

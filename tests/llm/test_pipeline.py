@@ -20,3 +20,20 @@ def test_stages(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == every and all(r.round_trip for r in out)
     assert decontaminate.WINDOW == 10
+
+
+def near_pair(i, shared):
+    """Two texts of 200 different five-word shingles each, ``shared`` of them the same."""
+    words = [f"w{i}x{k}" for k in range(204)]
+    return " ".join(words), " ".join(words[: shared + 4] + [f"y{i}x{k}" for k in range(200 - shared)])
+
+
+def kept_of(spark, rows):
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()]
+
+
+def test_near_copies_by_true_similarity(spark):
+    # Jaccard similarities 178 / 222 = 0.802 and 177 / 223 = 0.794: one of the former pairs stays, both of the latter.
+    rows = [(10 * i + k, t) for i in range(150) for k, t in enumerate(near_pair(i, 178 if i < 75 else 177))]
+    assert {i for i, _ in kept_of(spark, rows)} == {i for i, _ in rows if i < 750 and i % 10 == 0 or i >= 750}
