@@ -35,16 +35,13 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one of smallest doc_id; of repeated ids, that of smallest text hash.
 
-    Texts without words aren't copies of each other here: each is its own group.
+    Texts without words are copies of each other: one of them stays.
     """
     made = simhash.verified_groups(docs, SHINGLE, WORDS64, PARTS, COMPARED, SURE, POSSIBLE)
-    zero = F.col("fingerprint") == F.lit(bytes(8 * WORDS64))
     first = (
-        made.filter(~zero)
-        .groupBy("component_id")
+        made.groupBy("component_id")
         .agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
         .select(F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
-        .unionByName(made.filter(zero).select(F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_hash")))
     )
     chosen = saved(first.distinct(), "chosen")
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))

@@ -37,3 +37,11 @@ def test_near_copies_by_true_similarity(spark):
     # Jaccard similarities 178 / 222 = 0.802 and 177 / 223 = 0.794: one of the former pairs stays, both of the latter.
     rows = [(10 * i + k, t) for i in range(150) for k, t in enumerate(near_pair(i, 178 if i < 75 else 177))]
     assert {i for i, _ in kept_of(spark, rows)} == {i for i, _ in rows if i < 750 and i % 10 == 0 or i >= 750}
+
+
+def test_large_groups_of_copies_leave_one(spark):
+    docs = spark.createDataFrame([(i, "one line of a copy\nand another", "en", "s", 1) for i in range(25)] + [(90, " \n", "en", "s", 1), (91, "own text", "en", "s", 1)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    cut = corpus_pipeline.line_stage(spark, docs, "")
+    assert sorted(r.doc_id for r in cut.collect() if not (r.text or "").split()) == [*range(1, 25), 90]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, cut, "").collect()) == [0, 1, 91]
