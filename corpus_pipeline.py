@@ -35,12 +35,13 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one of smallest doc_id; of repeated ids, that of smallest text hash.
 
-    Texts without words are copies of each other: one of them stays.
+    Texts without words are copies of each other: one of them stays. Groups are of texts: rows of the same or of null
+    doc_id and different texts are different documents, and one of null doc_id stays only where its group has no other.
     """
     made = simhash.verified_groups(docs, SHINGLE, WORDS64, PARTS, COMPARED, SURE, POSSIBLE)
     first = (
         made.groupBy("component_id")
-        .agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+        .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"))
         .select(F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
     )
     chosen = saved(first.distinct(), "chosen")

@@ -45,3 +45,9 @@ def test_large_groups_of_copies_leave_one(spark):
     cut = corpus_pipeline.line_stage(spark, docs, "")
     assert sorted(r.doc_id for r in cut.collect() if not (r.text or "").split()) == [*range(1, 25), 90]
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, cut, "").collect()) == [0, 1, 91]
+
+
+def test_different_texts_of_null_or_shared_ids_stay(spark):
+    text = lambda k: " ".join(f"n{k}w{i}" for i in range(30))
+    rows = [(None, text(0)), (None, text(1)), (None, text(1)), (None, text(2)), (7, text(2)), (8, text(3)), (8, text(4)), (8, text(4))]
+    assert sorted(kept_of(spark, rows), key=str) == sorted([(None, text(0)), (None, text(1)), (7, text(2)), (8, text(3)), (8, text(4))], key=str)
