@@ -22,6 +22,7 @@ from foliospark.llm.labelled import fold, training_sample
 TRAIN_ROWS = 6000
 BUCKETS, FACTORS, EPOCHS, RATE, DECAY = 1 << 15, 8, 5, 0.1, 1e-5
 _SYMBOLS, _MARKS, _DIGITS, _CAPITALS = b"#*$%&|<>", b".,;:!?", b"0123456789", bytes(range(65, 91))
+_NON_ASCII = bytes(range(128, 256))
 
 
 def features(text: str, n_chars: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -40,7 +41,7 @@ def features(text: str, n_chars: int | None) -> tuple[np.ndarray, np.ndarray, np
         [
             np.log1p(len(words)), np.log1p(len(text) if n_chars is None else max(n_chars, 0)), sum(map(len, words)) / m,
             len(counts) / m, max(counts.values(), default=0) / m, sum(len(w) <= 3 for w in words) / m, share(_SYMBOLS),
-            share(_MARKS), share(_DIGITS), share(_CAPITALS), sum(b >= 128 for b in raw[:: max(1, n // 4096)]) / min(n, 4096),
+            share(_MARKS), share(_DIGITS), share(_CAPITALS), share(_NON_ASCII),
             len(set(lines)) / max(len(lines), 1), np.log1p(len(tokens) / max(len(lines), 1)),
             len(set(zip(tokens, tokens[1:]))) / max(len(tokens) - 1, 1),
         ]

@@ -61,3 +61,10 @@ def test_toxicity(labelled, odd_docs, no_docs):
     assert toxicity.score(no_docs, model).count() == 0
     blank = toxicity.train(docs, labels.limit(0))
     assert {r.score for r in toxicity.score(docs.limit(3), blank).collect()} == {0.5}
+
+
+def test_share_of_non_ascii_bytes_at_every_size():
+    for words in (10, 700, 1200, 1300, 5000, 30_000):
+        text = "été abc " * words + "é" * words
+        raw = text.encode()
+        assert abs(quality_model.features(text, None)[2][10] - sum(b >= 128 for b in raw) / len(raw)) < 1e-9
