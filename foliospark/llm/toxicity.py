@@ -24,11 +24,11 @@ from foliospark.llm.labelled import fold, training_sample
 
 #: At most so many labelled documents are learned from.
 TRAIN_ROWS = 8000
-WINDOW_WORDS, LEVEL, GRAM = 10, 16, 6
+WINDOW_WORDS, LEVEL, GRAM = 6, 19, 6
 ORDINARY_BYTES, TOXIC_BYTES, ORDINARY_WINDOWS = 2048, 2048, 40_000
 #: Least documents and log-likelihood ratio of a gram that marks toxic text.
 GRAM_DOCUMENTS, GRAM_RATIO = 4, 20.0
-PRIMER = 48
+PRIMER = 64
 _REMEMBERED = 200_000
 
 

@@ -68,3 +68,8 @@ def test_share_of_non_ascii_bytes_at_every_size():
         text = "été abc " * words + "é" * words
         raw = text.encode()
         assert abs(quality_model.features(text, None)[2][10] - sum(b >= 128 for b in raw) / len(raw)) < 1e-9
+
+
+def test_toxicity_windows():
+    assert [w.split() for w in toxicity.windows(" ".join("abcdefghijklm"))] == [list(x.encode()[i : i + 1] for i in range(len(x))) for x in ("abcdef", "ghijkl", "m")]
+    assert (toxicity.WINDOW_WORDS, toxicity.LEVEL, toxicity.PRIMER) == (6, 19, 64)
