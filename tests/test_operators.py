@@ -172,3 +172,11 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.document_id, r.status) for r in spark.table("life").collect()} == {("d", "ready"), ("e", "received")}
+
+
+def test_near_duplicates_meet_by_their_rarest_tokens(spark):
+    rows = spark.createDataFrame([("g", i, ["a", "all", f"z{i // 2}", f"zz{i // 2}"]) for i in range(20)], "g string, id long, t array<string>")
+    got = evidence.prefixes(rows, "g", "id", 0.75).collect()
+    assert {(r.id, *r.prefix) for r in got} == {(i, f"z{i // 2}", f"zz{i // 2}") for i in range(20)}
+    pairs = evidence.near_duplicates(rows, "g", "id", "t", 0.75).collect()
+    assert {tuple(r) for r in pairs} == {(i, i + 1, 1.0) for i in range(0, 20, 2)}
