@@ -19,7 +19,8 @@ def training_sample(
     """text, y and ``more`` of at most ``limit`` labelled documents, those of smallest hash of doc_id.
 
     ``keep`` tells which ids may be learned from. Null labels and ids are left out, an id that is labelled twice has its
-    larger label, and a repeated document is one row. The chosen ids, ``limit`` of them, are all that is broadcast.
+    larger label, and a repeated document is one row; of ids with so many texts that these are more than ``limit``, the rows
+    of smallest hash stay. The chosen ids or hashes, ``limit`` of them, are all that is broadcast.
     """
     chosen = (
         labels.select("doc_id", F.col(label).cast("int").alias("y"))
@@ -32,4 +33,10 @@ def training_sample(
     )
     here = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
     made = here.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).drop("labelled")
-    return saved(made.dropDuplicates(["doc_id", "text"]), "training")
+    found = saved(made.dropDuplicates(["doc_id", "text"]), "training")
+    if found.count() <= limit:
+        return found
+    # Ids with many texts: the rows of smallest hash, by keys alone.
+    key = F.xxhash64("doc_id", "text")
+    kept = found.select(key.alias("key")).distinct().orderBy("key").limit(limit)
+    return saved(found.withColumn("key", key).join(F.broadcast(kept), "key").drop("key"), "training")

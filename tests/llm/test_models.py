@@ -1,8 +1,12 @@
+import math
 import random
 
 import numpy as np
 import pytest
+import zstandard
+from pyspark.sql import functions as F
 
+from foliospark.llm import labelled as labelled_rows
 from foliospark.llm import quality_model, toxicity
 
 
@@ -72,4 +76,35 @@ def test_share_of_non_ascii_bytes_at_every_size():
 
 def test_toxicity_windows():
     assert [w.split() for w in toxicity.windows(" ".join("abcdefghijklm"))] == [list(x.encode()[i : i + 1] for i in range(len(x))) for x in ("abcdef", "ghijkl", "m")]
-    assert (toxicity.WINDOW_WORDS, toxicity.LEVEL, toxicity.PRIMER) == (6, 19, 64)
+
+
+def test_toxicity_against_brute_force(labelled, odd_docs):
+    """Every window of every text compressed afresh, with compressors made here from the model's two dictionaries."""
+    docs, labels = labelled
+    model = toxicity.train(docs, labels)
+    assert model.toxic.endswith(model.ordinary[-2000:]) and len(model.toxic) > len(model.ordinary)
+
+    def length(dictionary, window):
+        held = zstandard.ZstdCompressionDict(dictionary)
+        return len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False).compress(window))
+
+    both = docs.select("doc_id", "text").limit(40).unionByName(odd_docs.select("doc_id", "text"))
+    want = []
+    for r in both.collect():
+        words = (r.text or "").encode().lower().split()
+        gains = [length(model.ordinary, w) - length(model.toxic, w) for w in (b" " + b" ".join(words[i : i + 6]) + b" " for i in range(0, len(words), 6))]
+        over = [sum(min(g, toxicity.SLOTS) >= t for g in gains) for t in model.thresholds]
+        n = max(len(gains), 1)
+        row = [min(max([0, *gains]), toxicity.SLOTS), sum(gains) / n, *(math.log(1 + x) for x in over), *((x / n) ** 0.5 for x in over)]
+        want.append((r.doc_id, round(model.score(row), 9)))
+    got = [(r.doc_id, round(r.score, 9)) for r in toxicity.score(both, model).collect()]
+    order = lambda rows: sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    assert order(got) == order(want)
+
+
+def test_training_sample_is_bounded(spark):
+    """An id with many texts gives at most ``limit`` rows, always the same ones."""
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "b"), (2, "b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    made = [sorted(r.text for r in labelled_rows.training_sample(docs, labels, "toxic", F.lit(True), n).collect()) for n in (10, 10, 100)]
+    assert len(made[0]) == 10 and made[0] == made[1] and len(made[2]) == 51
