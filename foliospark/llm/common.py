@@ -61,6 +61,18 @@ def slices(batches, rows: int):
             yield batch.slice(lo, rows)
 
 
+#: Bytes of input, by the estimate of the plan, for each partition of a shuffle whose number of partitions is given.
+PARTITION_BYTES = 32 << 20
+
+
+def partitions_of(df: DataFrame) -> int:
+    """Partitions for a shuffle of all of ``df``: more for more bytes, and the session's number at least."""
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # A plan without statistics claims the largest size there is.
+    return max(least, -(-estimate // PARTITION_BYTES)) if estimate < 1 << 60 else least
+
+
 def per_process(key: tuple, make):
     """``make()`` once for each worker process and key: Spark hands its Python workers from task to task."""
     kept = builtins.__dict__.setdefault("_foliospark_kept", {})
@@ -70,9 +82,11 @@ def per_process(key: tuple, make):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none, as in tests."""
+    """The folder that driver and executors share; a temporary one only in local sessions that name none, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="foliospark-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

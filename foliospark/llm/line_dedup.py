@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import LOWER_BYTES, keyed, same_document, saved
+from foliospark.llm.common import LOWER_BYTES, keyed, partitions_of, same_document, saved
 
 MIN_DOCUMENTS = 10
 _STRIP = b" \t\n\x0b\x0c\r"
@@ -123,9 +123,8 @@ def dropped_places(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, keep_fir
         "line_keys",
     )
     order = ["h1", "h2", "doc_id", "text_hash"]
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     streamed = saved(
-        keys.repartitionByRange(parts, *order)
+        keys.repartitionByRange(partitions_of(docs), *order)
         .sortWithinPartitions(*order)
         .mapInArrow(
             _stream(min_documents),

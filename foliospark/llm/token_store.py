@@ -17,14 +17,14 @@ import os
 import re
 import struct
 import zlib
-from itertools import accumulate, islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import fresh_path, keyed, per_process, saved, slices
+from foliospark.llm.common import fresh_path, keyed, partitions_of, per_process, saved, slices
 
 MAX_BITS = 20
 BLOCK = 512
@@ -32,7 +32,8 @@ BLOCK = 512
 SHARD_TOKENS = 2_000_000
 #: Header and document record.
 _HEAD, _DOC = "<4sIQIQ", "<Bqq"
-_CACHE_WORDS = 900_000
+#: Runs between white space that a worker remembers.
+_CACHE_RUNS = 700_000
 #: How the tokenizer's file splits text into words once white space is gone, restated for characters of
 #: which Python's classes agree with it (see ``_plain``).
 _WORD_SPLIT = r"[^\W\d_]+|\d|'(?:s|t|re|ve|m|ll|d)|(?:[^\s\w]|_)+"
@@ -148,23 +149,30 @@ def _plain(text: str) -> bool:
     return all(c not in odd and (c < "\x80" or "\xc0" <= c <= "ſ") for c in set(text))
 
 
-#: Characters of texts whose unknown words are encoded together.
-_TOGETHER = 1_000_000
+#: Characters of texts that are encoded together, and unknown words that the library gets at once.
+_TOGETHER, _WORDS = 1_000_000, 2000
 
 
 class _Places(dict):
-    """Numbers words in the order in which they are first asked for."""
+    """Numbers its keys in the order in which they are first asked for."""
 
     def __missing__(self, word):
         self[word] = at = len(self)
         return at
 
 
+def _gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """flat[start : start + size] of each, one after the other."""
+    ends = np.cumsum(size)
+    return flat[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Encoder:
     """From texts to their ids as little-endian bytes of ``width`` (2 or 4).
 
-    The ids of a word don't depend on its neighbours, so those that the library gave for a word are kept by word, and
-    unknown words are given to it many at a time. Texts with characters outside of ``_plain`` go to the library whole.
+    No token spans white space, so the ids of a run between white space are kept once the library gave them for its
+    words; unknown runs are given to it many at a time. Texts with characters outside of ``_plain`` go to the library
+    whole.
     """
 
     def __init__(self, vocabulary: str, end_id: int | None):
@@ -187,22 +195,45 @@ class Encoder:
         )
         self.split = re.compile(_WORD_SPLIT).findall
         self.end = b"" if end_id is None else np.array([end_id], dtype=self.dtype).tobytes()
-        self.index: _Places = _Places()
-        self.table: list[bytes] = []
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index, self.known, self.used = _Places(), 0, 0
+        self.flat, self.start, self.size = np.zeros(1 << 16, self.dtype), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
 
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, one after the other, and how many each has."""
+        ids, sizes = [], []
+        for lo in range(0, len(words), _WORDS):
+            part = words[lo : lo + _WORDS]
+            made = np.array(self.merges.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            ends = np.flatnonzero(self.ends_word[made]) + 1
+            if len(ends) != len(part):
+                each = [self.whole(w) for w in part]
+                made, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
+            ids.append(made)
+            sizes.append(np.diff(ends, prepend=0))
+        return np.concatenate(ids), np.concatenate(sizes)
+
     def _learn(self) -> None:
-        """Ids of the words that the index took in and that the table lacks."""
-        words = list(islice(self.index, len(self.table), None))
-        ids = np.array(self.merges.encode(" ".join(words), add_special_tokens=False).ids, dtype=self.dtype)
-        ends = (np.flatnonzero(self.ends_word[ids]) + 1) * self.width
-        if len(ends) == len(words):
-            raw, ends = ids.tobytes(), ends.tolist()
-            self.table += [raw[a:b] for a, b in zip([0, *ends], ends)]
-        else:
-            self.table += [self.whole(w).tobytes() for w in words]
+        """Ids of the runs that the index took in and that the table lacks."""
+        known, n = self.known, len(self.index)
+        split = list(map(self.split, islice(self.index, known, None)))
+        words = _Places()
+        at = np.fromiter(map(words.__getitem__, chain.from_iterable(split)), dtype=np.int64)
+        ids, sizes = self._words(list(words))
+        size = sizes[at]
+        made = _gathered(ids, (np.cumsum(sizes) - sizes)[at], size)
+        per_run = np.add.reduceat(size, np.r_[0, np.cumsum([len(x) for x in split])[:-1]])
+        self.flat = _room(self.flat, self.used + len(made))
+        self.flat[self.used : self.used + len(made)] = made
+        self.start, self.size = _room(self.start, n), _room(self.size, n)
+        self.start[known:n], self.size[known:n] = self.used + np.cumsum(per_run) - per_run, per_run
+        self.used += len(made)
+        self.known = n
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out, lo = [], 0
@@ -211,41 +242,56 @@ class Encoder:
             while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= _TOGETHER):
                 size += len(texts[hi])
                 hi += 1
-            if len(self.index) > _CACHE_WORDS:
-                self.index.clear()
-                self.table.clear()
-            place, split = self.index.__getitem__, self.split
-            words = [list(map(place, split(t.lower()))) if _plain(t) else None for t in texts[lo:hi]]
-            if len(self.table) < len(self.index):
-                self._learn()
-            of = self.table.__getitem__
-            out += [(self.whole(t).tobytes() if w is None else b"".join(map(of, w))) + self.end for t, w in zip(texts[lo:hi], words)]
+            out += self._together(texts[lo:hi])
             lo = hi
         return out
 
+    def _together(self, texts: list[str]) -> list[bytes]:
+        if len(self.index) > _CACHE_RUNS:
+            self._forget()
+        runs = [t.lower().split() if _plain(t) else None for t in texts]
+        counts = np.array([len(r or ()) for r in runs])
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(r for r in runs if r)), np.int64, counts.sum())
+        if self.known < len(self.index):
+            self._learn()
+        size = self.size[at]
+        raw = _gathered(self.flat, self.start[at], size).tobytes()
+        ends = self.width * np.r_[0, np.cumsum(size, dtype=np.int64)][np.r_[0, np.cumsum(counts)]]
+        return [
+            (self.whole(t).tobytes() if r is None else raw[a:b]) + self.end
+            for t, r, a, b in zip(texts, runs, ends[:-1].tolist(), ends[1:].tolist())
+        ]
+
+
+def _room(array: np.ndarray, size: int) -> np.ndarray:
+    """The array, or a longer copy, of ``size`` places at least."""
+    return array if len(array) >= size else np.concatenate([array, np.zeros(max(size, 2 * len(array)) - len(array), array.dtype)])
+
 
 #: The place of the row in which a task reports how often it made each id.
 _COUNTS = -1
-_TOKENS = "doc_id bigint, width int, ids binary, place bigint"
+_TOKENS = "doc_id bigint, width int, ids binary, place bigint, before bigint"
 
 
 def _tokens(vocabulary: str, end_id: int | None):
     def run(batches):
         encoder = per_process(("token_store", vocabulary, end_id), lambda: Encoder(vocabulary, end_id))
         place, total = 0, np.zeros(len(encoder.ends_word), dtype=np.int64)
+        made = 0
 
-        def rows(doc_ids, width, ids, places):
+        def rows(doc_ids, width, ids, places, before):
             return pa.RecordBatch.from_arrays(
-                [doc_ids, pa.array([width] * len(ids), pa.int32()), pa.array(ids, pa.binary()), pa.array(places, pa.int64())],
-                names=["doc_id", "width", "ids", "place"],
+                [doc_ids, pa.array([width] * len(ids), pa.int32()), pa.array(ids, pa.binary()), pa.array(places, pa.int64()),
+                 pa.array(before, pa.int64())], names=["doc_id", "width", "ids", "place", "before"],
             )
 
         for part in slices(batches, 1000):
             ids = encoder.encode(part.column("text").to_pylist())
             total += np.bincount(np.frombuffer(b"".join(ids), dtype=encoder.dtype), minlength=len(total))
-            yield rows(part.column("doc_id").cast(pa.int64()), encoder.width, ids, range(place, place + len(ids)))
-            place += len(ids)
-        yield rows(pa.array([None], pa.int64()), 8, [total.astype("<i8").tobytes()], [_COUNTS])
+            ends = made + np.cumsum([0, *(len(x) // encoder.width for x in ids)])
+            yield rows(part.column("doc_id").cast(pa.int64()), encoder.width, ids, range(place, place + len(ids)), ends[:-1])
+            place, made = place + len(ids), int(ends[-1])
+        yield rows(pa.array([None], pa.int64()), 8, [total.astype("<i8").tobytes()], [_COUNTS], [made])
 
     return run
 
@@ -265,15 +311,17 @@ def _counts(batches):
 def write_store(docs: DataFrame, vocabulary: str, end_id: int | None = 2, path: str | None = None) -> str:
     """Encodes every text and writes the store; returns its path (``codebook`` and ``shards``, written by Spark).
 
-    Documents are in ascending order of doc_id, nulls first, equal ids by text. Null and empty texts have the end id
-    only, or nothing with ``end_id`` None. Repeated rows are repeated documents; an empty table makes an empty store.
-    Global counts reach the driver as one row for each id of the vocabulary, which bounds them.
+    Documents are in ascending order of doc_id, nulls first, equal ids by a hash of the text. Null and empty texts have
+    the end id only, or nothing with ``end_id`` None. Repeated rows are repeated documents, however many; an empty table
+    makes an empty store. Global counts reach the driver as one row for each id of the vocabulary, which bounds them.
     """
     spark = docs.sparkSession
     path = path or fresh_path(spark, "token_store")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # Texts are dealt out by doc_id first, so that ids are made once and already stand in order.
-    ordered = keyed(docs).select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # Texts are dealt out by doc_id first, so that ids are made once and already stand in order. The hash spreads an id
+    # with many texts, the random tie a document that is repeated many times.
+    order = ["doc_id", "text_hash", "tie"]
+    rows = keyed(docs).withColumn("tie", F.rand(0))
+    ordered = rows.repartitionByRange(partitions_of(docs), *order).sortWithinPartitions(*order).select("doc_id", "text")
     tokens = saved(
         ordered.mapInArrow(_tokens(vocabulary, end_id), _TOKENS).withColumn("part", F.spark_partition_id()),
         "token_ids",
@@ -290,56 +338,56 @@ def write_store(docs: DataFrame, vocabulary: str, end_id: int | None = 2, path:
     def shards(batches):
         length = np.frombuffer(packed, dtype=np.uint8)
         codes = canonical_codes(length)
-        held, part, first, n = [], None, 0, 0
+        held, part, first, start, last, n = [], None, 0, 0, 0, 0
 
         def out():
             ids = np.concatenate([x for _, x in held])
             raw = pack([(d, len(x)) for d, x in held], ids, length, codes)
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([raw], pa.binary())],
-                names=["part", "first", "n_tokens", "data"],
+                [pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([start], pa.int64()),
+                 pa.array([len(ids)], pa.int64()), pa.array([raw], pa.binary())], names=["part", "first", "start", "n_tokens", "data"],
             )
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("part", "place", "doc_id", "width", "ids")]
-            for p, place, doc_id, width, raw in zip(*columns):
+            columns = [batch.column(c).to_pylist() for c in ("part", "place", "before", "doc_id", "width", "ids")]
+            for p, place, before, doc_id, width, raw in zip(*columns):
                 ids = _ids(raw, width)
-                if held and (p != part or n + len(ids) > SHARD_TOKENS):
+                if held and (p != part or place != last + 1 or n + len(ids) > SHARD_TOKENS):
                     yield out()
                     held, n = [], 0
                 if not held:
-                    part, first = p, place
+                    part, first, start = p, place, before
                 held.append((doc_id, ids))
-                n += len(ids)
+                last, n = place, n + len(ids)
         if held:
             yield out()
 
-    # A file holds rows of one part in order, and a task reads a run of them; a shard is known by its first row's place.
+    # However rows are cut into files and tasks, a shard holds a run of one part's rows, and knows the ids before it there.
     tokens.filter(F.col("place") >= 0).mapInArrow(shards, _SHARDS).write.parquet(f"{path}/shards")
     return path
 
 
-_SHARDS = "part int, first bigint, n_tokens bigint, data binary"
+_SHARDS = "part int, first bigint, start bigint, n_tokens bigint, data binary"
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit, as binary)."""
     packed = bytes(spark.read.parquet(f"{path}/codebook").first().lengths)
     shards = spark.read.schema(_SHARDS).parquet(f"{path}/shards")
-    # One small row for each shard (a million tokens or so), summed up part by part.
-    sizes = sorted(tuple(r) for r in shards.select("part", "first", "n_tokens").collect())
-    ends = list(accumulate(n for _, _, n in sizes))
-    starts = {(p, s): e - n for (p, s, n), e in zip(sizes, ends)}
+    # One number for each part, of which there are as many as the writer had partitions.
+    sizes = {r.part: r.n for r in shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
+    per_part = np.array([sizes.get(k, 0) for k in range(max(sizes, default=-1) + 1)], dtype=np.int64)
+    starts = spark.sparkContext.broadcast(np.cumsum(per_part) - per_part)
 
     def run(batches):
         table = decode_table(np.frombuffer(packed, dtype=np.uint8))
         for batch in batches:
-            for part, first, data in zip(*(batch.column(c) for c in ("part", "first", "data"))):
+            for part, before, data in zip(*(batch.column(c) for c in ("part", "start", "data"))):
                 docs, ids = unpack(data.as_py(), table)
                 n = np.array([k for _, k in docs], dtype=np.int64)
                 end = np.cumsum(n)
                 raw = ids.astype("<u4").tobytes()
-                start = starts[part.as_py(), first.as_py()]
+                start = int(starts.value[part.as_py()]) + before.as_py()
                 for lo in range(0, len(docs), 2000):
                     hi = min(len(docs), lo + 2000)
                     yield pa.RecordBatch.from_arrays(

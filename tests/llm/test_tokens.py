@@ -59,6 +59,34 @@ def test_store_equals_library(spark, odd_docs, no_docs):
     assert token_store.read_store(spark, token_store.write_store(no_docs, tokenizer_file("word_bpe_49k.json"))).count() == 0
 
 
+@pytest.mark.parametrize("key, value", [("spark.sql.files.maxRecordsPerFile", "3"), ("spark.sql.files.maxPartitionBytes", "2000")])
+def test_store_is_in_order_however_files_are_cut(spark, key, value):
+    rows = [(i % 7 * 30 - i, f"some words {i} of a document " * (i % 5)) for i in range(200)] + [(3, "the same row")] * 40 + [(None, f"no id {i}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        got = token_store.read_store(spark, token_store.write_store(docs, tokenizer_file("word_bpe_49k.json"))).orderBy("start").collect()
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+    assert sorted(r.doc_id or -999 for r in got) == sorted(i or -999 for i, _ in rows)
+    ids = [-1000 if r.doc_id is None else r.doc_id for r in got]
+    assert ids == sorted(ids) and [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+
+
+def test_words_and_runs_equal_library():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
+    t.encode_special_tokens = True
+    rng, encoder = random.Random(6), token_store.Encoder(tokenizer_file("word_bpe_49k.json"), 2)
+    bits = ["The", "don't", "'s", "it's", "##", "1", "23", "_", "a_b", "É", "ß", "²", "été", " ", "  ", "\n", "\t", "tion", "x", ",", ".", "<|endoftext|>", "中", "\x1c", "İ", "\u2028", "\xa0"]
+    for most in (100, 24):  # with and without characters that go to the library whole
+        texts = ["".join(rng.choice(bits[:most]) for _ in range(rng.randint(0, 40))) for _ in range(600)]
+        got = [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(texts)]
+        assert got == [t.encode(x, add_special_tokens=False).ids + [2] for x in texts]
+
+
 def chunks(lattice, text, size):
     n, pad = -(-len(text) // size), lattice.longest
     return [
