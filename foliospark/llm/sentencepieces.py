@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.common import keyed, per_process, same_document, saved, slices
+from foliospark.llm.common import keyed, partitions_of, per_process, same_document, saved, slices
 
 CHUNK_CHARS = 16_384
 BLANK = "▁"
@@ -57,6 +56,7 @@ class Lattice:
         self.nothing = (0.0, "", b"")
         self.memo: dict[str, tuple[float, str, bytes]] = {}
         self.units: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.packed = {p: i.to_bytes(4, "little") for p, (i, _) in pieces.items()}
         # Fast cut at blanks and line feeds, if no piece has a blank after another character or a line feed beside one.
         plain = not any(x[1] == BLANK != x[0] or "\n" in x for x in self.joint)
@@ -226,9 +226,12 @@ class Lattice:
         return self.ids(self.back(self.forward(text, 0, n, {0: (0.0, 0, "")}), n, 0))
 
     def _unit(self, text: str) -> bytes:
-        got = b"".join(map(self._stretch, self._stretches(text)))
+        got = self.older.get(text)
+        if got is None:
+            got = b"".join(map(self._stretch, self._stretches(text)))
         if len(text) <= _CACHE_LEN:
-            if len(self.units) >= self.cache:
+            if len(self.units) >= self.cache:  # what was asked for since the last time stays at hand
+                self.older = self.units.copy()
                 self.units.clear()
             self.units[text] = got
         return got
@@ -264,12 +267,9 @@ class Lattice:
         far = next((i for i in range(hi - 1, lo, -1) if text[i - 1 : i + 1] not in self.joint), None)
         return entry, leave, near, far
 
-    def transfer(self, text: str, lo: int, hi: int, first: bool, last: bool) -> np.ndarray:
-        """The max-plus matrix from states at lo to states at hi."""
-        return expanded(self.factors(text, lo, hi, first, last))
-
     def factors(self, text: str, lo: int, hi: int, first: bool, last: bool) -> tuple[np.ndarray, np.ndarray | None]:
-        """``transfer`` as the sum of a column and a row where all paths meet inside; else the matrix and None."""
+        """The max-plus matrix from states at lo to states at hi and None; where all paths meet inside, a column and a row
+        of which it is the sum."""
         entry, leave, near, far = self._edges(text, lo, hi, first, last)
 
         def out_of(best):
@@ -305,43 +305,82 @@ class Lattice:
         return head + middle + self.ids(self.back(best, end, far) + tail)
 
 
-def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The max-plus product, which is associative."""
-    return (a[:, :, None] + b[None, :, :]).max(axis=1)
+class Transfer:
+    """A max-plus matrix, or, where all paths meet on the way, the sum of a column and a row (``whole`` is None then)."""
+
+    __slots__ = ("whole", "column", "row")
 
+    def __init__(self, whole=None, column=None, row=None):
+        self.whole, self.column, self.row = whole, column, row
 
-def expanded(factors: tuple[np.ndarray, np.ndarray | None]) -> np.ndarray:
-    return factors[0] if factors[1] is None else factors[0] + factors[1]
+    @classmethod
+    def of(cls, factors: tuple[np.ndarray, np.ndarray | None]) -> Transfer:
+        return cls(factors[0]) if factors[1] is None else cls(None, factors[0].ravel(), factors[1].ravel())
+
+    def then(self, other: Transfer) -> Transfer:
+        """The max-plus product, which is associative."""
+        if self.whole is not None and other.whole is not None:
+            return Transfer((self.whole[:, :, None] + other.whole[None, :, :]).max(axis=1))
+        if self.whole is not None:
+            return Transfer(None, (self.whole + other.column[None, :]).max(axis=1), other.row)
+        return Transfer(None, self.column, other.into(self.row))
+
+    def into(self, scores: np.ndarray) -> np.ndarray:
+        """The best score of each state at the right edge, from scores of those at the left edge."""
+        if self.whole is not None:
+            return (scores[:, None] + self.whole).max(axis=0)
+        return (scores + self.column).max() + self.row
+
+    def before(self, scores: np.ndarray, state: int) -> int:
+        """The state at the left edge of the best path to a state at the right edge."""
+        return int((scores + (self.column if self.whole is None else self.whole[:, state])).argmax())
+
+    def packed(self) -> tuple[int, bytes]:
+        """Rows (less than 0: of a column and a row) and numbers."""
+        if self.whole is not None:
+            return len(self.whole), self.whole.tobytes()
+        return -len(self.column), self.column.tobytes() + self.row.tobytes()
 
+    @classmethod
+    def unpacked(cls, n: int, raw: bytes) -> Transfer:
+        flat = np.frombuffer(raw)
+        return cls(flat.reshape(n, -1)) if n > 0 else cls(None, flat[:-n], flat[-n:])
 
-def best_states(matrices: list, matrix=lambda m: m) -> list[int]:
-    """The state at each chunk's right edge on the best path of the whole text.
 
-    Prefix and suffix products (the scan) give, for each edge and state, the best score of a path through it. Each entry
-    is made a matrix by ``matrix`` when its turn comes.
-    """
-    before = list(accumulate(matrices[1:], lambda v, m: product(v, matrix(m)), initial=matrix(matrices[0])))
-    end = np.zeros((before[-1].shape[1], 1))
-    after = list(accumulate(matrices[:0:-1], lambda a, m: product(matrix(m), a), initial=end))[::-1]
-    return [int((b[0] + a[:, 0]).argmax()) for b, a in zip(before, after)]
+def best_states(transfers: list[Transfer], enter: int = 0, leave: int | None = None) -> list[int]:
+    """The state at each matrix' right edge on the best path from a state to a state (None: the best one)."""
+    first = transfers[0]
+    scores = [first.whole[enter] if first.whole is not None else first.column[enter] + first.row]
+    for t in transfers[1:]:
+        scores.append(t.into(scores[-1]))
+    out = [int(scores[-1].argmax()) if leave is None else leave]
+    for t, s in zip(transfers[:0:-1], scores[-2::-1]):
+        out.append(t.before(s, out[-1]))
+    return out[::-1]
 
 
 _CHUNKS = "doc_id bigint, text_hash bigint, chunk int, n_chunks int, lo int, hi int, text string"
-_KEY = ["doc_id", "text_hash", "chunk"]
+_DOC = ["doc_id", "text_hash"]
+_KEY = [*_DOC, "chunk"]
+#: Matrices that one step of the scan combines.
+FAN = 64
 #: Rows of 32 bytes up to which states are sent to all tasks; beyond that, chunks and states are dealt out and joined.
 _BROADCAST_ROWS = 1_000_000
 
 
 def _cut(model_file: str, size: int, cache: int):
     def run(batches):
-        lattice = loaded(model_file, cache)
+        lattice, seen = loaded(model_file, cache), set()
         for batch in batches:
             for doc_id, text_hash, text in zip(*(batch.column(c) for c in ("doc_id", "text_hash", "text"))):
+                if (key := (doc_id.as_py(), text_hash.as_py())) in seen:
+                    continue  # a repeated row has the same chunks
+                seen.add(key)
                 whole = lattice.normalised(text.as_py())
                 n, pad = -(-len(whole) // size), lattice.longest
                 for k in range(n):
                     a, b = max(0, k * size - pad), min(len(whole), (k + 1) * size + pad)
-                    row = [doc_id.as_py(), text_hash.as_py(), k, n, k * size - a, min(len(whole), (k + 1) * size) - a, whole[a:b]]
+                    row = [*key, k, n, k * size - a, min(len(whole), (k + 1) * size) - a, whole[a:b]]
                     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([v], t) for v, t in zip(row, kinds)], names=[*_KEY, "n_chunks", "lo", "hi", "text"]
@@ -350,48 +389,111 @@ def _cut(model_file: str, size: int, cache: int):
     return run
 
 
-def _giants(docs: DataFrame, model_file: str, size: int, cache: int) -> DataFrame:
+def _first_of_each(batches):
+    """Of sorted rows, those whose key differs from that of the row before."""
+    last = None
+    for batch in batches:
+        keep = []
+        for key in zip(*(batch.column(c).to_pylist() for c in _KEY)):
+            keep.append(key != last)
+            last = key
+        if any(keep):
+            yield batch.filter(pa.array(keep))
+
+
+def _runs(batches, key: list[str], columns: list[str]):
+    """(key, rows) of each run of equal keys in sorted rows; a run is held whole."""
+    now, held = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in [*key, *columns])):
+            if row[: len(key)] != now:
+                if held:
+                    yield now, held
+                now, held = row[: len(key)], []
+            held.append(row[len(key) :])
+    if held:
+        yield now, held
+
+
+def _dealt(rows: DataFrame, parts: int, group: list[str], order: str) -> DataFrame:
+    """Groups together and in order. (With the number given, Spark doesn't merge small partitions into one task.)"""
+    return rows.repartition(parts, *group).sortWithinPartitions(*group, order)
+
+
+_NODES = "doc_id bigint, text_hash bigint, above int, at int, n int, scores binary"
+_STATES = "doc_id bigint, text_hash bigint, at int, enter int, leave_by int"
+
+
+def _states(matrices: DataFrame, most: int, parts: int, fan: int) -> DataFrame:
+    """doc_id, text_hash, at, enter, leave_by: of each chunk, the states at its edges on the whole text's best path.
+
+    A tree of max-plus products: each step up combines ``fan`` neighbours, until a text has ``fan`` matrices at most;
+    then each step down finds the states inside of what a step up combined. No task holds more than ``fan`` matrices.
+    """
+
+    def up(batches):
+        for (doc_id, text_hash, above), rows in _runs(batches, [*_DOC, "above"], ["n", "scores"]):
+            whole = Transfer.unpacked(*rows[0])
+            for row in rows[1:]:
+                whole = whole.then(Transfer.unpacked(*row))
+            n, scores = whole.packed()
+            made = [[doc_id], [text_hash], [above // fan], [above], [n], [scores]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v, t) for v, t in zip(made, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))],
+                names=[*_DOC, "above", "at", "n", "scores"],
+            )
+
+    def down(batches):
+        for key, rows in _runs(batches, [*_DOC, "above", "enter", "leave_by"], ["at", "n", "scores"]):
+            enter, leave = key[3], key[4]
+            states = best_states([Transfer.unpacked(n, scores) for _, n, scores in rows], enter, leave)
+            made = [[key[0]] * len(rows), [key[1]] * len(rows), [r[0] for r in rows], [enter, *states[:-1]], states]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v, t) for v, t in zip(made, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))],
+                names=[*_DOC, "at", "enter", "leave_by"],
+            )
+
+    levels = [matrices]
+    while most > fan:
+        levels.append(saved(_dealt(levels[-1], parts, [*_DOC, "above"], "at").mapInArrow(up, _NODES), "products"))
+        most = -(-most // fan)
+    free = levels[-1].withColumn("enter", F.lit(0)).withColumn("leave_by", F.lit(None).cast("int"))
+    inside = ["above", "enter", "leave_by"]
+    found = _dealt(free, parts, [*_DOC, *inside], "at").mapInArrow(down, _STATES)
+    for level in levels[-2::-1]:
+        found = saved(found, "states")
+        on = same_document(level, found) & (level["above"] == found["at"])
+        fixed = level.join(found, on).select(*(level[c] for c in level.columns), "enter", "leave_by")
+        found = _dealt(fixed, parts, [*_DOC, *inside], "at").mapInArrow(down, _STATES)
+    return found
+
+
+def _giants(docs: DataFrame, model_file: str, size: int, cache: int, fan: int = FAN) -> DataFrame:
     """doc_id, text_hash, ids of texts of several chunks, each document once."""
-    chunks = saved(docs.mapInArrow(_cut(model_file, size, cache), _CHUNKS).repartition(*_KEY), "chunks")
+    parts = partitions_of(docs)
+    dealt = docs.mapInArrow(_cut(model_file, size, cache), _CHUNKS).repartition(parts, *_KEY).sortWithinPartitions(*_KEY)
+    chunks = saved(dealt.mapInArrow(_first_of_each, _CHUNKS), "chunks")
 
     def transfers(batches):
         lattice = loaded(model_file, cache)
         for batch in slices(batches, 64):
             made = [
-                lattice.factors(r["text"], r["lo"], r["hi"], r["chunk"] == 0, r["chunk"] == r["n_chunks"] - 1)
+                Transfer.of(lattice.factors(r["text"], r["lo"], r["hi"], r["chunk"] == 0, r["chunk"] == r["n_chunks"] - 1)).packed()
                 for r in batch.to_pylist()
             ]
+            at = batch.column("chunk").to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in _KEY), pa.array([m[0].shape[0] for m in made], pa.int32()),
-                 pa.array([m[1] is not None for m in made], pa.bool_()),
-                 pa.array([b"".join(x.tobytes() for x in m if x is not None) for m in made], pa.binary())],
-                names=[*_KEY, "n_rows", "factored", "scores"],
+                [*(batch.column(c) for c in _DOC), pa.array([k // fan for k in at], pa.int32()), pa.array(at, pa.int32()),
+                 pa.array([n for n, _ in made], pa.int32()), pa.array([raw for _, raw in made], pa.binary())],
+                names=[*_DOC, "above", "at", "n", "scores"],
             )
 
-    matrices = chunks.mapInArrow(
-        transfers, "doc_id bigint, text_hash bigint, chunk int, n_rows int, factored boolean, scores binary"
-    )
-
-    def unpacked(row):
-        n, factored, scores = row
-        flat = np.frombuffer(scores)
-        return expanded((flat[:n, None], flat[None, n:]) if factored else (flat.reshape(n, -1), None))
-
-    # The matrices of one text: as a rule a column and a row of scores for each chunk, far less than its characters.
-    def scanned(pdf):
-        pdf = pdf.sort_values("chunk").drop_duplicates("chunk")  # a repeated row has the same chunks
-        states = best_states(list(zip(pdf.n_rows, pdf.factored, pdf.scores)), unpacked)
-        return pdf[_KEY].assign(enter=[0, *states[:-1]], leave_by=states)
-
-    states = saved(
-        matrices.groupBy("doc_id", "text_hash").applyInPandas(
-            scanned, "doc_id bigint, text_hash bigint, chunk int, enter int, leave_by int"
-        ),
-        "states",
-    )
+    most = chunks.agg(F.max("n_chunks")).first()[0] or 0
+    matrices = chunks.mapInArrow(transfers, _NODES)
+    states = saved(_states(saved(matrices, "matrices") if most > fan else matrices, most, parts, fan), "states")
     if states.count() <= _BROADCAST_ROWS:
         states = F.broadcast(states)
-    on = same_document(chunks, states) & (chunks["chunk"] == states["chunk"])
+    on = same_document(chunks, states) & (chunks["chunk"] == states["at"])
     ready = chunks.join(states, on).select(*(chunks[c] for c in chunks.columns), "enter", "leave_by")
 
     def traced(batches):
@@ -403,10 +505,13 @@ def _giants(docs: DataFrame, model_file: str, size: int, cache: int) -> DataFram
             ]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _KEY), pa.array(ids, pa.binary())], names=[*_KEY, "ids"])
 
-    parts = ready.mapInArrow(traced, "doc_id bigint, text_hash bigint, chunk int, ids binary")
-    in_order = F.transform(F.array_sort(F.collect_set(F.struct("chunk", "ids"))), lambda x: x["ids"])
-    joined = F.aggregate(in_order, F.lit(b""), lambda a, x: F.concat(a, x))
-    return parts.groupBy("doc_id", "text_hash").agg(joined.alias("ids"))
+    def joined(batches):
+        for key, rows in _runs(batches, _DOC, ["ids"]):
+            made = [pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int64()), pa.array([b"".join(r[0] for r in rows)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(made, names=[*_DOC, "ids"])
+
+    traces = ready.mapInArrow(traced, "doc_id bigint, text_hash bigint, chunk int, ids binary")
+    return _dealt(traces, parts, _DOC, "chunk").mapInArrow(joined, "doc_id bigint, text_hash bigint, ids binary")
 
 
 def encode(docs: DataFrame, model_file: str, chunk_chars: int = CHUNK_CHARS, cache: int = CACHE) -> DataFrame:

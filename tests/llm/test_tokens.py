@@ -6,7 +6,7 @@ import pytest
 
 from foliospark.llm import sentencepieces, token_counts, token_store
 from foliospark.llm.queries import tokenizer_file
-from foliospark.llm.sentencepieces import Lattice, best_states
+from foliospark.llm.sentencepieces import Lattice, Transfer, best_states
 
 PIECES = tokenizer_file("piece_bpe_32k.model")
 
@@ -97,7 +97,19 @@ def chunks(lattice, text, size):
 
 def scanned(lattice, text, size):
     parts = chunks(lattice, text, size)
-    states = best_states([lattice.transfer(*c) for c in parts])
+    transfers = [Transfer.unpacked(*Transfer.of(lattice.factors(*c)).packed()) for c in parts]
+    states = best_states(transfers)
+    if len(transfers) > 2:  # the same by a tree of products
+        cut = len(transfers) // 2
+        halves = []
+        for part in (transfers[:cut], transfers[cut:]):
+            whole = part[0]
+            for t in part[1:]:
+                whole = whole.then(t)
+            halves.append(whole)
+        middle, end = best_states(halves)
+        tree = best_states(transfers[:cut], 0, middle) + best_states(transfers[cut:], middle, end)
+        assert tree == states or not lattice.bpe
     return b"".join(lattice.trace(*c, a, b) for c, a, b in zip(parts, [0, *states[:-1]], states))
 
 
@@ -146,6 +158,20 @@ def test_encode_rows(odd_docs, no_docs):
     assert sentencepieces.digest(no_docs, PIECES).count() == 0
 
 
+def test_scan_of_several_levels(spark, monkeypatch):
+    """Chunks of 20 characters and 3 matrices a step: five levels and more, with copies and a text without meeting places."""
+    import sentencepiece
+
+    library, rng = sentencepiece.SentencePieceProcessor(model_file=PIECES), random.Random(9)
+    texts = ["".join(rng.choice(["the ", "of", "a", "    ", "é", "tion", "\n"]) for _ in range(n)) for n in (30, 700, 2500)] + ["a" * 3000, " " * 900]
+    docs = spark.createDataFrame([(i % 3, t) for i, t in enumerate(texts)] + [(1, texts[1])] * 3 + [(None, texts[2])], "doc_id long, text string")
+    long = sentencepieces.keyed(docs)
+    got = {r.text_hash: r.ids for r in sentencepieces._giants(long, PIECES, 20, 1000, fan=3).collect()}
+    want = {r.text_hash: np.array(library.encode(r.text), "<u4").tobytes() for r in long.collect()}
+    assert {k: bytes(v) for k, v in got.items()} == want
+    assert sentencepieces._giants(long, PIECES, 20, 1000, fan=3).count() == 6
+
+
 def test_token_histogram(spark, odd_docs, no_docs):
     ranks = tokenizer_file("byte_bpe_50k.tiktoken")
     n = [r.n_tokens for r in token_counts.token_lengths(odd_docs, ranks).collect()]
