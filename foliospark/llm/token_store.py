@@ -17,7 +17,7 @@ import os
 import re
 import struct
 import zlib
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,9 @@ SHARD_TOKENS = 2_000_000
 #: Header and document record.
 _HEAD, _DOC = "<4sIQIQ", "<Bqq"
 #: Runs between white space that a worker remembers.
-_CACHE_RUNS = 700_000
+_CACHE_RUNS = 800_000
+#: The most frequent of them, which are looked up first.
+_HOT = 30_000
 #: How the tokenizer's file splits text into words once white space is gone, restated for characters of
 #: which Python's classes agree with it (see ``_plain``).
 _WORD_SPLIT = r"[^\W\d_]+|\d|'(?:s|t|re|ve|m|ll|d)|(?:[^\s\w]|_)+"
@@ -154,10 +156,14 @@ _TOGETHER, _WORDS = 1_000_000, 2000
 
 
 class _Places(dict):
-    """Numbers its keys in the order in which they are first asked for."""
+    """Numbers its keys in the order in which they are first asked for; ``names`` has them in order."""
+
+    def __init__(self):
+        self.names: list[str] = []
 
     def __missing__(self, word):
         self[word] = at = len(self)
+        self.names.append(word)
         return at
 
 
@@ -198,8 +204,16 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
+        """Starts anew with the runs that came up most, which also stand in a dictionary small enough for fast memory."""
+        words = []
+        if (asked := getattr(self, "asked", None)) is not None:
+            words = [self.index.names[k] for k in np.argsort(asked[: len(self.index)])[::-1][:_HOT].tolist()]
         self.index, self.known, self.used = _Places(), 0, 0
         self.flat, self.start, self.size = np.zeros(1 << 16, self.dtype), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.asked, self.texts = np.zeros(1 << 16, np.int64), 0
+        for w in words:
+            self.index[w]
+        self.hot = type("_Hot", (dict,), {"__missing__": self.index.__getitem__})(self.index)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
@@ -219,22 +233,30 @@ class Encoder:
         return np.concatenate(ids), np.concatenate(sizes)
 
     def _learn(self) -> None:
-        """Ids of the runs that the index took in and that the table lacks."""
-        known, n = self.known, len(self.index)
-        split = list(map(self.split, islice(self.index, known, None)))
-        words = _Places()
-        at = np.fromiter(map(words.__getitem__, chain.from_iterable(split)), dtype=np.int64)
-        ids, sizes = self._words(list(words))
-        size = sizes[at]
-        made = _gathered(ids, (np.cumsum(sizes) - sizes)[at], size)
-        per_run = np.add.reduceat(size, np.r_[0, np.cumsum([len(x) for x in split])[:-1]])
-        self.flat = _room(self.flat, self.used + len(made))
-        self.flat[self.used : self.used + len(made)] = made
-        self.start, self.size = _room(self.start, n), _room(self.size, n)
-        self.start[known:n], self.size[known:n] = self.used + np.cumsum(per_run) - per_run, per_run
-        self.used += len(made)
+        """Ids of the runs that the index took in and that the table lacks; the words of a run get places of their own."""
+        known = self.known
+        split = list(map(self.split, self.index.names[known:]))
+        several = [k for k, words in enumerate(split) if len(words) > 1]
+        of_words = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split[k] for k in several)), dtype=np.int64)
+        n = len(self.index)
+        alone = np.r_[[k + known for k, words in enumerate(split) if len(words) == 1], known + len(split) : n].astype(np.int64)
+        self.start, self.size, self.asked = _room(self.start, n), _room(self.size, n), _room(self.asked, n)
+        fresh = [words[0] for words in split if len(words) == 1] + self.index.names[known + len(split) :]
+        if fresh:
+            self._append(alone, *self._words(fresh))
+        if several:
+            size = self.size[of_words]
+            made = _gathered(self.flat, self.start[of_words], size)
+            counts = np.cumsum([0, *(len(split[k]) for k in several)])
+            self._append(np.array(several) + known, made, np.add.reduceat(size, counts[:-1]))
         self.known = n
 
+    def _append(self, places: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.flat = _room(self.flat, self.used + len(ids))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[places], self.size[places] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used += len(ids)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out, lo = [], 0
         while lo < len(texts):
@@ -247,13 +269,15 @@ class Encoder:
         return out
 
     def _together(self, texts: list[str]) -> list[bytes]:
-        if len(self.index) > _CACHE_RUNS:
+        self.texts += 1
+        if len(self.index) > _CACHE_RUNS or (not self.hot and self.texts > 4):
             self._forget()
         runs = [t.lower().split() if _plain(t) else None for t in texts]
         counts = np.array([len(r or ()) for r in runs])
-        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(r for r in runs if r)), np.int64, counts.sum())
+        at = np.fromiter(map(self.hot.__getitem__, chain.from_iterable(r for r in runs if r)), np.int64, counts.sum())
         if self.known < len(self.index):
             self._learn()
+        self.asked[: len(self.index)] += np.bincount(at, minlength=len(self.index))
         size = self.size[at]
         raw = _gathered(self.flat, self.start[at], size).tobytes()
         ends = self.width * np.r_[0, np.cumsum(size, dtype=np.int64)][np.r_[0, np.cumsum(counts)]]

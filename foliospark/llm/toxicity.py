@@ -169,15 +169,17 @@ def _windows(batches):
 
 
 def _rows(batch, samples: list[list[bytes]]):
-    made = [batch.column("doc_id").cast(pa.int64()), pa.array(samples, pa.list_(pa.binary()))]
+    made = [batch.column("doc_id").cast(pa.int64()), pa.array([b"\n".join(x) for x in samples], pa.binary())]
     return pa.RecordBatch.from_arrays(made, names=["doc_id", "samples"])
 
 
 def _samples(docs: DataFrame, of) -> list[bytes]:
-    """What ``of`` makes of each document, on the driver, in order of the documents: trainers read samples as a stream."""
-    found = docs.select("doc_id", "text").mapInArrow(of, "doc_id bigint, samples array<binary>").collect()
-    rows = [(r.doc_id, [bytes(x) for x in r.samples]) for r in found]
-    return [x for _, part in sorted(rows) for x in part]
+    """What ``of`` makes of each document, on the driver, in order of the documents: trainers read samples as a stream.
+
+    Samples hold no line feeds, as all white space in them is a blank.
+    """
+    rows = [(r.doc_id, bytes(r.samples)) for r in docs.select("doc_id", "text").mapInArrow(of, "doc_id bigint, samples binary").collect()]
+    return [x for _, part in sorted(rows) for x in part.split(b"\n") if x]
 
 
 def _trained(samples: list[bytes], size: int, segment: int, gram: int = 6) -> tuple[bytes, bytes]:
