@@ -33,9 +33,7 @@ SHARD_TOKENS = 2_000_000
 #: Header and document record.
 _HEAD, _DOC = "<4sIQIQ", "<Bqq"
 #: Runs between white space that a worker remembers.
-_CACHE_RUNS = 800_000
-#: The most frequent of them, which are looked up first.
-_HOT = 30_000
+_CACHE_RUNS = 1_000_000
 #: How the tokenizer's file splits text into words once white space is gone, restated for characters of
 #: which Python's classes agree with it (see ``_plain``).
 _WORD_SPLIT = r"[^\W\d_]+|\d|'(?:s|t|re|ve|m|ll|d)|(?:[^\s\w]|_)+"
@@ -155,24 +153,90 @@ def _plain(text: str) -> bool:
 _TOGETHER, _WORDS = 1_000_000, 2000
 
 
-class _Places(dict):
-    """Numbers its keys in the order in which they are first asked for; ``names`` has them in order."""
-
-    def __init__(self):
-        self.names: list[str] = []
-
-    def __missing__(self, word):
-        self[word] = at = len(self)
-        self.names.append(word)
-        return at
-
-
 def _gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """flat[start : start + size] of each, one after the other."""
     ends = np.cumsum(size)
     return flat[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+class _Runs:
+    """Numbers for runs of bytes between white space, and the ids of each.
+
+    Runs of up to 16 bytes stand in an open hash table in arrays, by their first and last 8 bytes and their size, which
+    are all there is to them; longer ones in a dictionary. A table holds some tens of bytes for each run.
+    """
+
+    def __init__(self, dtype: np.dtype):
+        self.n = self.used = 0
+        self.slots = np.full(1 << 16, -1, np.int32)
+        self.first, self.last, self.bytes = (np.zeros(1 << 15, t) for t in (np.uint64, np.uint64, np.uint8))
+        self.start, self.size, self.asked = (np.zeros(1 << 15, t) for t in (np.int64, np.int32, np.int64))
+        self.flat, self.long = np.zeros(1 << 16, dtype), {}
+
+    def _slot(self, first, last, size) -> np.ndarray:
+        mixed = (first * np.uint64(0x9E3779B97F4A7C15)) ^ (last * np.uint64(0xC2B2AE3D27D4EB4F)) + size.astype(np.uint64)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (mixed >> np.uint64(64 - (len(self.slots).bit_length() - 1))).astype(np.int64)
+
+    def find(self, first, last, size) -> np.ndarray:
+        """The number of each run of up to 16 bytes, -1 where it is unknown."""
+        out, slot, left = np.full(len(first), -1, np.int64), self._slot(first, last, size), np.arange(len(first))
+        while len(left):
+            got = self.slots[slot[left]]
+            left, got = left[got >= 0], got[got >= 0]
+            same = (self.first[got] == first[left]) & (self.last[got] == last[left]) & (self.bytes[got] == size[left])
+            out[left[same]] = got[same]
+            left = left[~same]
+            slot[left] = (slot[left] + 1) & (len(self.slots) - 1)
+        return out
+
+    def add(self, first, last, size) -> np.ndarray:
+        """Numbers for new runs, which must differ; of runs over 16 bytes, size is 0 and they aren't put into the table."""
+        new = np.arange(self.n, self.n + len(first))
+        self.n += len(new)
+        for name in ("first", "last", "bytes", "start", "size", "asked"):
+            setattr(self, name, _room(getattr(self, name), self.n))
+        self.first[new], self.last[new], self.bytes[new] = first, last, size
+        if 2 * self.n > len(self.slots):
+            self.slots = np.full(1 << (4 * self.n).bit_length(), -1, np.int32)
+            self._put(np.arange(self.n))
+        else:
+            self._put(new)
+        return new
+
+    def _put(self, numbers: np.ndarray) -> None:
+        left = numbers[self.bytes[numbers] > 0]
+        slot = self._slot(self.first[left], self.last[left], self.bytes[left])
+        while len(left):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = left[free]
+            lost = self.slots[slot] != left
+            left, slot = left[lost], (slot[lost] + 1) & (len(self.slots) - 1)
+
+    def give(self, numbers: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.flat = _room(self.flat, self.used + len(ids))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[numbers], self.size[numbers] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used += len(ids)
+
+    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = self.size[numbers]
+        return _gathered(self.flat, self.start[numbers], size), size
+
+    def frequent(self, most: int) -> _Runs:
+        """A table of the runs of up to 16 bytes that were asked for most."""
+        out = _Runs(self.flat.dtype)
+        short = np.flatnonzero(self.bytes[: self.n])
+        kept = short[np.argsort(self.asked[short], kind="stable")[::-1][:most]]
+        out.give(out.add(self.first[kept], self.last[kept], self.bytes[kept]), *self.ids(kept))
+        return out
+
+
+#: White space among the bytes of ``_plain`` texts, and masks of the first bytes of a word of 8.
+_BLANK = np.array([chr(c) in " \t\n\x0b\x0c\r" for c in range(256)])
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
 class Encoder:
     """From texts to their ids as little-endian bytes of ``width`` (2 or 4).
 
@@ -201,19 +265,7 @@ class Encoder:
         )
         self.split = re.compile(_WORD_SPLIT).findall
         self.end = b"" if end_id is None else np.array([end_id], dtype=self.dtype).tobytes()
-        self._forget()
-
-    def _forget(self) -> None:
-        """Starts anew with the runs that came up most, which also stand in a dictionary small enough for fast memory."""
-        words = []
-        if (asked := getattr(self, "asked", None)) is not None:
-            words = [self.index.names[k] for k in np.argsort(asked[: len(self.index)])[::-1][:_HOT].tolist()]
-        self.index, self.known, self.used = _Places(), 0, 0
-        self.flat, self.start, self.size = np.zeros(1 << 16, self.dtype), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
-        self.asked, self.texts = np.zeros(1 << 16, np.int64), 0
-        for w in words:
-            self.index[w]
-        self.hot = type("_Hot", (dict,), {"__missing__": self.index.__getitem__})(self.index)
+        self.runs = _Runs(self.dtype)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
@@ -232,30 +284,50 @@ class Encoder:
             sizes.append(np.diff(ends, prepend=0))
         return np.concatenate(ids), np.concatenate(sizes)
 
-    def _learn(self) -> None:
-        """Ids of the runs that the index took in and that the table lacks; the words of a run get places of their own."""
-        known = self.known
-        split = list(map(self.split, self.index.names[known:]))
-        several = [k for k, words in enumerate(split) if len(words) > 1]
-        of_words = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split[k] for k in several)), dtype=np.int64)
-        n = len(self.index)
-        alone = np.r_[[k + known for k, words in enumerate(split) if len(words) == 1], known + len(split) : n].astype(np.int64)
-        self.start, self.size, self.asked = _room(self.start, n), _room(self.size, n), _room(self.asked, n)
-        fresh = [words[0] for words in split if len(words) == 1] + self.index.names[known + len(split) :]
-        if fresh:
-            self._append(alone, *self._words(fresh))
-        if several:
-            size = self.size[of_words]
-            made = _gathered(self.flat, self.start[of_words], size)
-            counts = np.cumsum([0, *(len(split[k]) for k in several)])
-            self._append(np.array(several) + known, made, np.add.reduceat(size, counts[:-1]))
-        self.known = n
-
-    def _append(self, places: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.flat = _room(self.flat, self.used + len(ids))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.start[places], self.size[places] = self.used + np.cumsum(sizes) - sizes, sizes
-        self.used += len(ids)
+    def _learn(self, numbers: np.ndarray, runs: list[str]) -> None:
+        """Gives new runs their ids; the words of a run of several are runs of their own."""
+        split = list(map(self.split, runs))
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        alone, several = np.flatnonzero(counts == 1), np.flatnonzero(counts > 1)
+        if len(alone):
+            self.runs.give(numbers[alone], *self._words([split[k][0] for k in alone.tolist()]))
+        if len(several):
+            words = " ".join(chain.from_iterable(split[k] for k in several.tolist())).encode()
+            ids, size = self.runs.ids(self._numbers(words)[0])
+            self.runs.give(numbers[several], ids, np.add.reduceat(size, np.cumsum(counts[several]) - counts[several]))
+
+    def _numbers(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the runs of a text, and where each begins."""
+        raw = b"\n" * 8 + text + b"\n" * 8
+        blank = _BLANK[np.frombuffer(raw, np.uint8)]
+        edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+        start, end = edges[::2], edges[1::2]
+        size, eight = end - start, np.ndarray(len(raw) - 7, "<u8", raw, 0, 1)
+        first = eight[start] & _FIRST[np.minimum(size, 8)]
+        last = np.where(size > 8, eight[end - 8], np.uint64(0))
+        long = np.flatnonzero(size > 16)
+        out = self.runs.find(first, last, np.minimum(size, 17))
+        get, unknown = self.runs.long.get, {}
+        names = [raw[a:b] for a, b in zip(start[long].tolist(), end[long].tolist())]
+        out[long] = [get(x, -1) for x in names]
+        new = np.flatnonzero((out < 0) & (size <= 16))
+        if len(new):
+            order = new[np.lexsort((size[new], last[new], first[new]))]
+            differ = np.r_[True, (first[order[1:]] != first[order[:-1]]) | (last[order[1:]] != last[order[:-1]]) | (size[order[1:]] != size[order[:-1]])]
+            head = order[differ]
+            numbers = self.runs.add(first[head], last[head], size[head])
+            out[order] = numbers[np.cumsum(differ) - 1]
+            self._learn(numbers, b" ".join([raw[a:b] for a, b in zip(start[head].tolist(), end[head].tolist())]).decode().split(" "))
+        for x in names:
+            if x not in self.runs.long:
+                unknown[x] = None
+        if unknown:
+            zero = np.zeros(len(unknown), np.uint64)
+            numbers = self.runs.add(zero, zero, zero)
+            self.runs.long.update(zip(unknown, numbers.tolist()))
+            self._learn(numbers, [x.decode() for x in unknown])
+            out[long] = [self.runs.long[x] for x in names]
+        return out, start - 8
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out, lo = [], 0
@@ -269,21 +341,17 @@ class Encoder:
         return out
 
     def _together(self, texts: list[str]) -> list[bytes]:
-        self.texts += 1
-        if len(self.index) > _CACHE_RUNS or (not self.hot and self.texts > 4):
-            self._forget()
-        runs = [t.lower().split() if _plain(t) else None for t in texts]
-        counts = np.array([len(r or ()) for r in runs])
-        at = np.fromiter(map(self.hot.__getitem__, chain.from_iterable(r for r in runs if r)), np.int64, counts.sum())
-        if self.known < len(self.index):
-            self._learn()
-        self.asked[: len(self.index)] += np.bincount(at, minlength=len(self.index))
-        size = self.size[at]
-        raw = _gathered(self.flat, self.start[at], size).tobytes()
-        ends = self.width * np.r_[0, np.cumsum(size, dtype=np.int64)][np.r_[0, np.cumsum(counts)]]
+        if self.runs.n > _CACHE_RUNS:
+            self.runs = self.runs.frequent(_CACHE_RUNS // 4)
+        plain = [t.lower().encode() if _plain(t) else None for t in texts]
+        numbers, start = self._numbers(b"\n".join(x or b"" for x in plain))
+        self.runs.asked[: self.runs.n] += np.bincount(numbers, minlength=self.runs.n)
+        ids, size = self.runs.ids(numbers)
+        until = np.cumsum([len(x or b"") + 1 for x in plain])
+        raw, ends = ids.tobytes(), self.width * np.r_[0, np.cumsum(size, dtype=np.int64)][np.r_[0, np.searchsorted(start, until)]]
         return [
-            (self.whole(t).tobytes() if r is None else raw[a:b]) + self.end
-            for t, r, a, b in zip(texts, runs, ends[:-1].tolist(), ends[1:].tolist())
+            (self.whole(t).tobytes() if x is None else raw[a:b]) + self.end
+            for t, x, a, b in zip(texts, plain, ends[:-1].tolist(), ends[1:].tolist())
         ]
 
 
