@@ -17,8 +17,8 @@ either edge, so its scan is that of its stretches.
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark.llm.common import keyed, partitions_of, per_process, same_document, saved, slices
+from foliospark.llm.runs import Runs
 
 CHUNK_CHARS = 16_384
 BLANK = "▁"
-#: Prefixes, and stretches between blanks, that a worker remembers, and the longest of them.
-CACHE, _CACHE_LEN = 200_000, 48
+#: Prefixes that a worker remembers, and the longest of them; runs between blanks that it remembers; characters of texts
+#: that are encoded together.
+CACHE, _CACHE_LEN, _RUNS, _TOGETHER = 100_000, 48, 800_000, 1_000_000
 _NONE = float("-inf")
 
 
@@ -51,16 +53,15 @@ class Lattice:
         self.last_merge = lru_cache(None)(self._last_merge)
         self.joint = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
         self.unknown = min((s for _, s in pieces.values()), default=0.0) - 10
-        self.fits = lru_cache(cache // 2)(self._fits)
+        self.fits = lru_cache(cache)(self._fits)
         self.ends = {p[i:]: None for p in pieces for i in range(1, len(p))} | {p: s for p, (_, s) in pieces.items()}
         self.nothing = (0.0, "", b"")
         self.memo: dict[str, tuple[float, str, bytes]] = {}
-        self.units: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.runs: Runs | None = None
         self.packed = {p: i.to_bytes(4, "little") for p, (i, _) in pieces.items()}
-        # Fast cut at blanks and line feeds, if no piece has a blank after another character or a line feed beside one.
-        plain = not any(x[1] == BLANK != x[0] or "\n" in x for x in self.joint)
-        self.cut = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n").findall if plain else self._stretches
+        # Paths meet before blanks and beside line feeds, if no piece has a blank after another character or a line feed
+        # beside one.
+        self.plain = not any(x[1] == BLANK != x[0] or "\n" in x for x in self.joint)
         self.texts = {i: p.encode() for p, (i, _) in pieces.items()} | {b: bytes([k]) for k, b in enumerate(byte_ids)}
 
     @property
@@ -225,25 +226,104 @@ class Lattice:
         n = len(text)
         return self.ids(self.back(self.forward(text, 0, n, {0: (0.0, 0, "")}), n, 0))
 
-    def _unit(self, text: str) -> bytes:
-        got = self.older.get(text)
-        if got is None:
-            got = b"".join(map(self._stretch, self._stretches(text)))
-        if len(text) <= _CACHE_LEN:
-            if len(self.units) >= self.cache:  # what was asked for since the last time stays at hand
-                self.older = self.units.copy()
-                self.units.clear()
-            self.units[text] = got
-        return got
-
-    def stretches(self, text: str) -> bytes:
+    def _slow(self, text: str) -> bytes:
         """Ids of a text with one state at either edge."""
-        get, slow = self.units.get, self._unit
-        return b"".join([get(s) or slow(s) for s in self.cut(text)])
+        return b"".join(map(self._stretch, self._stretches(text)))
+
+    def stretches(self, texts: list[str]) -> list[bytes]:
+        """Ids of normalised texts, each with one state at either edge, as little-endian unsigned 32-bit integers.
+
+        Paths meet before blanks and at line feeds; what stands between is a run, of which ids are remembered. A run of
+        one blank and other characters has a mark; other blanks, and all before them, are long names of their own.
+        """
+        out, lo = [], 0
+        if not self.plain:
+            return [self._slow(t) for t in texts]
+        while lo < len(texts):
+            hi, size = lo, 0
+            while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= _TOGETHER):
+                size += len(texts[hi])
+                hi += 1
+            out += self._together(texts[lo:hi])
+            lo = hi
+        return out
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        if self.runs is None or self.runs.n > _RUNS:
+            self.runs = self.runs.frequent(_RUNS // 4) if self.runs else Runs(np.dtype("<u4"))
+            self.line = self.runs.add(*np.zeros((3, 1), np.uint64))
+            self._learn(self.line, [b"\n"], np.zeros(1))
+        parts = [t.replace(BLANK, " ").encode("utf-8", "surrogatepass") for t in texts]
+        raw = b"\n" * 8 + b"\n".join(parts) + b"\n" * 8
+        each = np.frombuffer(raw, np.uint8)
+        blank, line = each == 32, each == 10
+        between = blank | line
+        edges = np.flatnonzero(between[1:] != between[:-1]) + 1
+        start, end = edges[::2], edges[1::2]
+        # Runs of blanks, by where they begin and end.
+        gaps = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+        low, high = gaps[::2], gaps[1::2]
+        before = np.zeros(len(each), np.int64)
+        before[high] = high - low
+        blanks = before[start]
+        known = np.full(len(each), -1, np.int64)
+        known[line] = self.line[0]
+        one = np.flatnonzero(blanks <= 1)
+        known[start[one]] = self.runs.numbers(raw, start[one], end[one], self._learn, 32 * blanks[one])
+        # More blanks before other characters go with them; blanks before a line feed or the end are a run.
+        more, alone = np.flatnonzero(blanks > 1), line[high]
+        odd_start = np.r_[start[more] - blanks[more], low[alone]]
+        odd_end = np.r_[end[more], high[alone]]
+        if len(odd_start):
+            known[odd_start] = self._odd(raw, odd_start, odd_end)
+        known[8 + np.cumsum([len(p) + 1 for p in parts[:-1]], dtype=np.int64) - 1] = -1  # between texts
+        known[:8] = known[len(raw) - 8 :] = -1
+        at = np.flatnonzero(known >= 0)
+        numbers = known[at]
+        self.runs.asked[: self.runs.n] += np.bincount(numbers, minlength=self.runs.n)
+        ids, size = self.runs.ids(numbers)
+        until = 8 + np.cumsum([len(p) + 1 for p in parts])
+        ends = 4 * np.r_[0, np.cumsum(size, dtype=np.int64)][np.r_[0, np.searchsorted(at, until)]]
+        flat = ids.tobytes()
+        return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+    def _odd(self, raw: bytes, start: np.ndarray, end: np.ndarray) -> list[int]:
+        names, held = [(raw[a:b], -1) for a, b in zip(start.tolist(), end.tolist())], self.runs.long
+        if unknown := dict.fromkeys(x for x in names if x not in held):
+            zero = np.zeros(len(unknown), np.uint64)
+            fresh = self.runs.add(zero, zero, zero)
+            held.update(zip(unknown, fresh.tolist()))
+            self._learn(fresh, [x for x, _ in unknown], np.zeros(len(unknown)))
+        return [held[x] for x in names]
+
+    def _learn(self, numbers: np.ndarray, names: list[bytes], marks: np.ndarray) -> None:
+        """Gives new runs their ids; the stretches of a run of several are runs of their own."""
+        cuts = [
+            self._stretches((BLANK if m > 0 else "") + x.decode("utf-8", "surrogatepass").replace(" ", BLANK))
+            for x, m in zip(names, marks.tolist())
+        ]
+        alone = [k for k, cut in enumerate(cuts) if len(cut) == 1]
+        if alone:
+            made = [self._stretch(cuts[k][0]) for k in alone]
+            self.runs.give(numbers[alone], np.frombuffer(b"".join(made), "<u4"), np.array([len(x) // 4 for x in made]))
+        several = [k for k, cut in enumerate(cuts) if len(cut) > 1]
+        if several:
+            parts = list(chain.from_iterable(cuts[k] for k in several))
+            mark = np.array([32 if p[0] == BLANK and len(p) > 1 else 0 for p in parts])
+            raw = [(p[1:] if m else p).replace(BLANK, " ").encode("utf-8", "surrogatepass") for p, m in zip(parts, mark.tolist())]
+            ends = 8 + np.cumsum([len(x) for x in raw])
+            starts = ends - [len(x) for x in raw]
+            of_parts = self.runs.numbers(b"\n" * 8 + b"".join(raw) + b"\n" * 8, starts, ends, self._learn, mark)
+            ids, size = self.runs.ids(of_parts)
+            counts = np.array([len(cuts[k]) for k in several])
+            self.runs.give(numbers[several], ids, np.add.reduceat(size, np.cumsum(counts) - counts))
 
     def encode(self, text: str) -> bytes:
-        """Ids of a text of one chunk, as little-endian unsigned 32-bit integers."""
-        return self.stretches(self.normalised(text))
+        """Ids of a text of one chunk."""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        return self.stretches([self.normalised(t) for t in texts])
 
     def decode(self, ids: bytes) -> str:
         """The text of ids. (A text that holds U+2581 itself comes back with a blank there, as from the library.)"""
@@ -300,7 +380,7 @@ class Lattice:
         if near is None:
             return self.ids(self.back(best, end, begin) + tail)
         head = self.ids(self.back(best, near, begin))
-        middle = self.stretches(text[near:far])
+        middle = self.stretches([text[near:far]])[0]
         best = self.forward(text, far, hi, {far: (0.0, far, "")})
         return head + middle + self.ids(self.back(best, end, far) + tail)
 
@@ -530,7 +610,7 @@ def encode(docs: DataFrame, model_file: str, chunk_chars: int = CHUNK_CHARS, cac
     def run(batches):
         lattice = loaded(model_file, cache)
         for part in slices(batches, 500):
-            ids = [lattice.encode(t.as_py()) for t in part.column("text")]
+            ids = lattice.encode_all(part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id").cast(pa.int64()), part.column("text_hash"), pa.array(ids, pa.binary())],
                 names=["doc_id", "text_hash", "ids"],

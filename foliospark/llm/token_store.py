@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import fresh_path, keyed, partitions_of, per_process, saved, slices
+from foliospark.llm.runs import Runs
 
 MAX_BITS = 20
 BLOCK = 512
@@ -153,88 +154,8 @@ def _plain(text: str) -> bool:
 _TOGETHER, _WORDS = 1_000_000, 2000
 
 
-def _gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """flat[start : start + size] of each, one after the other."""
-    ends = np.cumsum(size)
-    return flat[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-
-
-class _Runs:
-    """Numbers for runs of bytes between white space, and the ids of each.
-
-    Runs of up to 16 bytes stand in an open hash table in arrays, by their first and last 8 bytes and their size, which
-    are all there is to them; longer ones in a dictionary. A table holds some tens of bytes for each run.
-    """
-
-    def __init__(self, dtype: np.dtype):
-        self.n = self.used = 0
-        self.slots = np.full(1 << 16, -1, np.int32)
-        self.first, self.last, self.bytes = (np.zeros(1 << 15, t) for t in (np.uint64, np.uint64, np.uint8))
-        self.start, self.size, self.asked = (np.zeros(1 << 15, t) for t in (np.int64, np.int32, np.int64))
-        self.flat, self.long = np.zeros(1 << 16, dtype), {}
-
-    def _slot(self, first, last, size) -> np.ndarray:
-        mixed = (first * np.uint64(0x9E3779B97F4A7C15)) ^ (last * np.uint64(0xC2B2AE3D27D4EB4F)) + size.astype(np.uint64)
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        return (mixed >> np.uint64(64 - (len(self.slots).bit_length() - 1))).astype(np.int64)
-
-    def find(self, first, last, size) -> np.ndarray:
-        """The number of each run of up to 16 bytes, -1 where it is unknown."""
-        out, slot, left = np.full(len(first), -1, np.int64), self._slot(first, last, size), np.arange(len(first))
-        while len(left):
-            got = self.slots[slot[left]]
-            left, got = left[got >= 0], got[got >= 0]
-            same = (self.first[got] == first[left]) & (self.last[got] == last[left]) & (self.bytes[got] == size[left])
-            out[left[same]] = got[same]
-            left = left[~same]
-            slot[left] = (slot[left] + 1) & (len(self.slots) - 1)
-        return out
-
-    def add(self, first, last, size) -> np.ndarray:
-        """Numbers for new runs, which must differ; of runs over 16 bytes, size is 0 and they aren't put into the table."""
-        new = np.arange(self.n, self.n + len(first))
-        self.n += len(new)
-        for name in ("first", "last", "bytes", "start", "size", "asked"):
-            setattr(self, name, _room(getattr(self, name), self.n))
-        self.first[new], self.last[new], self.bytes[new] = first, last, size
-        if 2 * self.n > len(self.slots):
-            self.slots = np.full(1 << (4 * self.n).bit_length(), -1, np.int32)
-            self._put(np.arange(self.n))
-        else:
-            self._put(new)
-        return new
-
-    def _put(self, numbers: np.ndarray) -> None:
-        left = numbers[self.bytes[numbers] > 0]
-        slot = self._slot(self.first[left], self.last[left], self.bytes[left])
-        while len(left):
-            free = self.slots[slot] < 0
-            self.slots[slot[free]] = left[free]
-            lost = self.slots[slot] != left
-            left, slot = left[lost], (slot[lost] + 1) & (len(self.slots) - 1)
-
-    def give(self, numbers: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.flat = _room(self.flat, self.used + len(ids))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.start[numbers], self.size[numbers] = self.used + np.cumsum(sizes) - sizes, sizes
-        self.used += len(ids)
-
-    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        size = self.size[numbers]
-        return _gathered(self.flat, self.start[numbers], size), size
-
-    def frequent(self, most: int) -> _Runs:
-        """A table of the runs of up to 16 bytes that were asked for most."""
-        out = _Runs(self.flat.dtype)
-        short = np.flatnonzero(self.bytes[: self.n])
-        kept = short[np.argsort(self.asked[short], kind="stable")[::-1][:most]]
-        out.give(out.add(self.first[kept], self.last[kept], self.bytes[kept]), *self.ids(kept))
-        return out
-
-
-#: White space among the bytes of ``_plain`` texts, and masks of the first bytes of a word of 8.
+#: White space among the bytes of ``_plain`` texts.
 _BLANK = np.array([chr(c) in " \t\n\x0b\x0c\r" for c in range(256)])
-_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 class Encoder:
@@ -265,7 +186,7 @@ class Encoder:
         )
         self.split = re.compile(_WORD_SPLIT).findall
         self.end = b"" if end_id is None else np.array([end_id], dtype=self.dtype).tobytes()
-        self.runs = _Runs(self.dtype)
+        self.runs = Runs(self.dtype)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
@@ -284,9 +205,9 @@ class Encoder:
             sizes.append(np.diff(ends, prepend=0))
         return np.concatenate(ids), np.concatenate(sizes)
 
-    def _learn(self, numbers: np.ndarray, runs: list[str]) -> None:
+    def _learn(self, numbers: np.ndarray, names: list[bytes], marks: np.ndarray) -> None:
         """Gives new runs their ids; the words of a run of several are runs of their own."""
-        split = list(map(self.split, runs))
+        split = list(map(self.split, b" ".join(names).decode().split(" ")))
         counts = np.fromiter(map(len, split), np.int64, len(split))
         alone, several = np.flatnonzero(counts == 1), np.flatnonzero(counts > 1)
         if len(alone):
@@ -301,33 +222,7 @@ class Encoder:
         raw = b"\n" * 8 + text + b"\n" * 8
         blank = _BLANK[np.frombuffer(raw, np.uint8)]
         edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-        start, end = edges[::2], edges[1::2]
-        size, eight = end - start, np.ndarray(len(raw) - 7, "<u8", raw, 0, 1)
-        first = eight[start] & _FIRST[np.minimum(size, 8)]
-        last = np.where(size > 8, eight[end - 8], np.uint64(0))
-        long = np.flatnonzero(size > 16)
-        out = self.runs.find(first, last, np.minimum(size, 17))
-        get, unknown = self.runs.long.get, {}
-        names = [raw[a:b] for a, b in zip(start[long].tolist(), end[long].tolist())]
-        out[long] = [get(x, -1) for x in names]
-        new = np.flatnonzero((out < 0) & (size <= 16))
-        if len(new):
-            order = new[np.lexsort((size[new], last[new], first[new]))]
-            differ = np.r_[True, (first[order[1:]] != first[order[:-1]]) | (last[order[1:]] != last[order[:-1]]) | (size[order[1:]] != size[order[:-1]])]
-            head = order[differ]
-            numbers = self.runs.add(first[head], last[head], size[head])
-            out[order] = numbers[np.cumsum(differ) - 1]
-            self._learn(numbers, b" ".join([raw[a:b] for a, b in zip(start[head].tolist(), end[head].tolist())]).decode().split(" "))
-        for x in names:
-            if x not in self.runs.long:
-                unknown[x] = None
-        if unknown:
-            zero = np.zeros(len(unknown), np.uint64)
-            numbers = self.runs.add(zero, zero, zero)
-            self.runs.long.update(zip(unknown, numbers.tolist()))
-            self._learn(numbers, [x.decode() for x in unknown])
-            out[long] = [self.runs.long[x] for x in names]
-        return out, start - 8
+        return self.runs.numbers(raw, edges[::2], edges[1::2], self._learn), edges[::2] - 8
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out, lo = [], 0
@@ -355,11 +250,6 @@ class Encoder:
         ]
 
 
-def _room(array: np.ndarray, size: int) -> np.ndarray:
-    """The array, or a longer copy, of ``size`` places at least."""
-    return array if len(array) >= size else np.concatenate([array, np.zeros(max(size, 2 * len(array)) - len(array), array.dtype)])
-
-
 #: The place of the row in which a task reports how often it made each id.
 _COUNTS = -1
 _TOKENS = "doc_id bigint, width int, ids binary, place bigint, before bigint"
