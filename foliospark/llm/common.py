@@ -92,12 +92,32 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is there goes when the interpreter ends, or at ``release``."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_forget, spark, path)
+    if not _written:
+        atexit.register(release, spark)
+    _written.append(path)
     return path
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes all tables that operators have written so far: for long sessions, once no result is needed any more."""
+    while _written:
+        _forget(spark, _written.pop())
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` hasn't got."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def saved(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """``df`` written once to the shared folder and read back: its lineage is cut and outlives executors."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)

@@ -11,6 +11,7 @@ a bucket compares its members' whole fingerprints and returns a spanning forest
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from itertools import pairwise
 
 import numpy as np
@@ -19,8 +20,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import LOWER_BYTES, keyed, saved, slices
+from foliospark.llm.common import LOWER_BYTES, drop_saved, keyed, saved, slices
 from foliospark.llm.components import connected_components
+from foliospark.llm.runs import gathered
 
 #: Rows of a bucket that one task compares with each other; larger buckets are dealt out as pairs of blocks.
 BUCKET_ROWS = 2000
@@ -313,16 +315,17 @@ def links(
     return _dealt(_signatures(nodes, parts, words), bucket_rows).mapInArrow(_forest(max_distance), "u bigint, v bigint")
 
 
-def _dealt(rows: DataFrame, bucket_rows: int) -> DataFrame:
-    """Signatures dealt out and sorted by bucket.
+def _dealt(rows: DataFrame, most: int, weight: str | None = None) -> DataFrame:
+    """Rows dealt out and sorted by bucket.
 
-    A bucket of more than ``bucket_rows`` rows is cut into blocks by node, and each pair of blocks compared in a bucket
-    of its own: every pair of rows still meets, and no task gets more than two blocks.
+    A bucket of more than ``most`` rows (or more in the sum of the column ``weight``) is cut into blocks by node, and each
+    pair of blocks compared in a bucket of its own: every pair of rows still meets, and no task gets more than two blocks.
     """
     names = rows.columns[1:]
-    hot = saved(rows.groupBy("bucket").count().filter(F.col("count") > bucket_rows), "hot_buckets")
+    total = F.sum(weight) if weight else F.count("*")
+    hot = saved(rows.groupBy("bucket").agg(total.alias("total")).filter(F.col("total") > most), "hot_buckets")
     if not hot.isEmpty():
-        blocks = F.ceil(F.coalesce(F.col("count"), F.lit(0)) / (bucket_rows // 2)).cast("long")
+        blocks = F.ceil(F.coalesce(F.col("total"), F.lit(0)) / (most // 2)).cast("long")
         rows = rows.join(hot, "bucket", "left").withColumn("blocks", blocks)
         own = F.pmod(F.xxhash64("node"), F.col("blocks"))
         rows = rows.withColumn("own", F.when(F.col("blocks") > 0, own)).withColumn(
@@ -441,6 +444,116 @@ def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int
     return possible.join(side("u"), "u").join(side("v"), "v").filter(9 * shared >= 4 * (F.col("n_u") + F.col("n_v"))).select("u", "v")
 
 
+#: Shingles of a group whose texts one task compares with each other.
+GROUP_SHINGLES = 4_000_000
+
+
+def similar_pairs(members: list[np.ndarray]) -> list[tuple[int, int]]:
+    """(i, j) of sets of numbers whose Jaccard similarity is 0.8 or more, as many as connect all that are linked.
+
+    Each set is compared with all later ones that no link joins to it yet.
+    """
+    size = np.array([len(m) for m in members])
+    _, flat = np.unique(np.concatenate(members), return_inverse=True) if size.sum() else (None, np.zeros(0, np.int64))
+    start, class_of, out = np.cumsum(size) - size, np.arange(len(members)), []
+    here = np.zeros(flat.max(initial=-1) + 1, np.int32)
+    for i in range(len(members) - 1):
+        # In whole numbers: shared / (a + b - shared) >= 4 / 5, which sizes further apart than that can't reach.
+        rest = size[i + 1 :]
+        js = i + 1 + np.flatnonzero((class_of[i + 1 :] != class_of[i]) & (5 * np.minimum(rest, size[i]) >= 4 * np.maximum(rest, size[i])))
+        if not len(js) or not size[i]:
+            continue
+        own = flat[start[i] : start[i] + size[i]]
+        here[own] = 1
+        shared = np.add.reduceat(here[gathered(flat, start[js], size[js])], np.cumsum(size[js]) - size[js])
+        here[own] = 0
+        for j in js[9 * shared >= 4 * (size[i] + size[js])].tolist():
+            if class_of[j] != class_of[i]:
+                out.append((i, j))
+                class_of[class_of == class_of[j]] = class_of[i]
+    return out
+
+
+def _verified(batches):
+    """Streams rows (bucket, node, shingles) sorted by bucket; returns links that connect what is similar in a bucket."""
+
+    def links(nodes, sets):
+        found = similar_pairs(sets)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([nodes[i] for i, _ in found], pa.int64()), pa.array([nodes[j] for _, j in found], pa.int64())], names=["u", "v"]
+        )
+
+    now, nodes, sets = None, [], []
+    for batch in batches:
+        columns = batch.column("bucket").to_pylist(), batch.column("node").to_pylist(), batch.column("shingles")
+        for bucket, node, shingles in zip(*columns):
+            if bucket != now:
+                if len(nodes) > 1:
+                    yield links(nodes, sets)
+                now, nodes, sets = bucket, [], []
+            nodes.append(node)
+            sets.append(shingles.values.to_numpy())
+    if len(nodes) > 1:
+        yield links(nodes, sets)
+
+
+def similar_groups(
+    docs: DataFrame, shingle: int, words64: int, parts: list[Part], words: int, possible: int,
+    bucket_rows: int = BUCKET_ROWS, group_shingles: int = GROUP_SHINGLES,
+) -> DataFrame:
+    """One row for each input row: doc_id, text_hash, fingerprint (binary, of different shingles), component_id.
+
+    Fingerprints that share a partition and differ in at most ``possible`` of the first 64 * ``words`` bits may be near
+    copies; what such pairs connect is a group. Within a group, texts are linked whose different shingles have a Jaccard
+    similarity of 0.8 or more, each pair compared that no other link joins; no pair becomes a row. A group of more than
+    ``group_shingles`` shingles is compared bucket by bucket of the partitions instead, large buckets in pairs of blocks.
+    A node is a fingerprint, known by its hash, whatever ids its rows have; equal fingerprints are copies.
+    ``component_id`` is a node's key. Null and empty texts are one node; an empty table gives an empty one.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for part in slices([batch], 500):
+                made = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in part.column("text")]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("node"), pa.array(made, pa.list_(pa.int64()))], names=["node", "shingles"]
+                )
+
+    prints = saved(fingerprints(docs, shingle, words64, distinct=True), "fingerprints")
+    made = prints.groupBy("fingerprint").agg(F.min("text_hash").alias("text_hash"))
+    classes = saved(made.withColumn("node", F.xxhash64("fingerprint")), "classes")
+    groups = saved(
+        connected_components(links(classes, possible, parts, bucket_rows, words)).withColumnRenamed("component", "bucket"), "groups"
+    )
+    wanted = classes.select("node", "text_hash").join(groups, "node")
+    texts = keyed(docs).select("text_hash", "text").join(wanted, "text_hash").dropDuplicates(["node"]).select("node", "text")
+    sets = saved(texts.mapInArrow(run, "node bigint, shingles array<bigint>").withColumn("n", F.size("shingles")), "shingles")
+    members = sets.join(groups, "node").select("bucket", "node", "shingles", "n")
+    large = saved(members.groupBy("bucket").agg(F.sum("n").alias("total")).filter(F.col("total") > group_shingles).select("bucket"), "large")
+    small = members
+    found = []
+    if not large.isEmpty():
+        small = members.join(large, "bucket", "left_anti")
+        of_large = classes.join(groups.join(large, "bucket"), "node").select("node", "fingerprint")
+        # Buckets with several nodes only, so that few sets are sent.
+        probes = _signatures(of_large, parts, 0).select("bucket", "node")
+        several = probes.groupBy("bucket").count().filter("count > 1").select("bucket")
+        rows = probes.join(several, "bucket").join(sets, "node").select("bucket", "node", "shingles", "n")
+        found.append(_dealt(rows, group_shingles, "n"))
+    found.append(small.select("bucket", "node", "shingles").repartition(F.col("bucket")).sortWithinPartitions("bucket"))
+    linked = [rows.select("bucket", "node", "shingles").mapInArrow(_verified, "u bigint, v bigint") for rows in found]
+    found = connected_components(reduce(DataFrame.unionByName, linked))
+    for done in (groups, sets, large):
+        drop_saved(done)
+    of_class = saved(
+        classes.join(found, "node", "left").select(
+            F.col("fingerprint").alias("class_print"), F.coalesce("component", "node").alias("component_id")
+        ),
+        "components",
+    )
+    return prints.join(of_class, F.col("fingerprint") == F.col("class_print")).drop("class_print")
+
+
 def verified_groups(
     docs: DataFrame, shingle: int, words64: int, parts: list[Part], words: int, sure: int, possible: int,
     bucket_rows: int = BUCKET_ROWS,
