@@ -10,65 +10,73 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import decontaminate, line_dedup, quality_rules, sentencepieces, simhash
-from foliospark.llm.common import saved, table
+from foliospark.llm.common import saved, table, unused
 from foliospark.llm.queries import tokenizer_file
 
 #: The SimHash stage: five-word shingles, 512-bit fingerprints, two random orders of the bits in partitions of 14. Texts of
 #: Jaccard similarity s have a cosine of 2 s / (1 + s), and differ in arccos of it / pi of the bits: 15.0 % at 0.8, which
-#: is 38 of the 256 that are compared. Up to 64 a pair is a candidate, over 4 standard deviations more; the shingles decide.
-SHINGLE, WORDS64, COMPARED, SURE, POSSIBLE = 5, 8, 4, 38, 64
+#: is 38 of the 256 that are compared. Up to 64 a pair may be near, over 4 standard deviations more; the shingles decide.
+SHINGLE, WORDS64, COMPARED, POSSIBLE = 5, 8, 4, 64
 PARTS = simhash.drawn(WORDS64, 14, 2)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality rules reject."""
+    """Drops the documents that the quality rules reject, null and empty texts among them.
+
+    Repeated rows are judged each; rows of null or shared doc_id as any others. An empty table stays empty.
+    """
     kept = quality_rules.measure(docs, keep=("doc_id", "text", "lang", "source", "n_chars"))
     return kept.filter("kept").select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that 10 documents or more share stay at their first occurrence only; every document stays, n_chars follows."""
+    """Lines that 10 documents or more share stay at their first occurrence only; every document stays, n_chars follows.
+
+    A null text is an empty one and stays null or becomes empty; rows that repeat doc_id and text are one document and
+    keep a row each. An empty table stays empty.
+    """
     cut = line_dedup.apply(docs, line_dedup.keep_bitmaps(docs, keep_first=True))
     return cut.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long"))
 
 
+def _hashed(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` that are, or aren't, among the (doc_id, text_hash) of ``found``, whatever columns they have."""
+    own, doc_id, text_hash = (unused(docs, x) for x in ("own_hash", "found_id", "found_hash"))
+    found = found.select(F.col("doc_id").alias(doc_id), F.col("text_hash").alias(text_hash))
+    here = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
+    return here.join(found, F.col("doc_id").eqNullSafe(F.col(doc_id)) & (F.col(own) == F.col(text_hash)), how)
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one of smallest doc_id; of repeated ids, that of smallest text hash.
 
-    Texts without words are copies of each other: one of them stays. Groups are of texts: rows of the same or of null
-    doc_id and different texts are different documents, and one of null doc_id stays only where its group has no other.
+    Texts without words (null and empty ones too) are copies of each other: one of them stays. Groups are of texts: rows
+    of the same or of null doc_id and different texts are different documents, and one of null doc_id stays only where
+    its group has no other. Of repeated rows one stays. An empty table stays empty.
     """
-    made = simhash.verified_groups(docs, SHINGLE, WORDS64, PARTS, COMPARED, SURE, POSSIBLE)
+    made = simhash.similar_groups(docs, SHINGLE, WORDS64, PARTS, COMPARED, POSSIBLE)
     first = (
         made.groupBy("component_id")
         .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"))
-        .select(F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
-    )
-    chosen = saved(first.distinct(), "chosen")
-    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
-    names = docs.columns
-    kept = docs.withColumn("own_hash", text_hash).join(
-        chosen, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("own_hash") == F.col("first_hash")), "left_semi"
+        .select("first.doc_id", "first.text_hash")
     )
-    return kept.dropDuplicates(["doc_id", "own_hash"]).select(*names)
+    kept = _hashed(docs, saved(first.distinct(), "chosen"), "left_semi")
+    return kept.dropDuplicates(["doc_id", kept.columns[-1]]).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a window of a benchmark item."""
+    """Drops the documents that hold a window of a benchmark item.
+
+    Null and empty texts hold none and stay, as do all documents where ``benchmark`` has no words. Repeated rows go or
+    stay together.
+    """
     found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
-    hit = saved(
-        found.filter(F.size("spans") > 0).select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct(),
-        "contaminated",
-    )
-    names = docs.columns
-    own = docs.withColumn("own_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return own.join(
-        hit, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("own_hash") == F.col("hit_hash")), "left_anti"
-    ).select(*names)
+    hit = saved(found.filter(F.size("spans") > 0).select("doc_id", "text_hash").distinct(), "contaminated")
+    return _hashed(docs, hit, "left_anti").select(*docs.columns)
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32, round_trip of every text that is left."""
+    """doc_id, n_tokens, ids_crc32, round_trip of every row that is left; null and empty texts have no tokens."""
     # Workers stay for other stages, so they remember less than in a job of their own.
     return sentencepieces.digest(docs, tokenizer_file("piece_bpe_32k.model"), cache=50_000)
 
