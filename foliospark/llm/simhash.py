@@ -197,11 +197,11 @@ def drawn(words64: int, width: int, rounds: int, seed: int = 0) -> list[Part]:
     return [Part(tuple(o[i : i + width]), 0) for o in orders for i in range(0, bits - width + 1, width)]
 
 
-def _signatures(prints: DataFrame, parts: list[Part], words: int | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+def _signatures(prints: DataFrame, parts: list[Part], words: int | None = None) -> DataFrame:
     """(bucket, node, fingerprint): a row for each partition, and for each of its bits flipped where t is 1.
 
     With t = 1, values that differ in one bit meet in the bucket of either value. ``words``: so many 64-bit words of the
-    fingerprint go along, for comparing; ``also``: further bigint columns.
+    fingerprint go along, for comparing.
     """
     parts = list(parts)
 
@@ -226,12 +226,11 @@ def _signatures(prints: DataFrame, parts: list[Part], words: int | None = None,
                 for lo in range(0, len(where), 200_000):
                     take = pa.array(where[lo : lo + 200_000])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(bucket[lo : lo + 200_000]), batch.column("node").take(take), sent.take(take),
-                         *(batch.column(c).take(take) for c in also)], names=["bucket", "node", "fingerprint", *also]
-                    )
+                        [pa.array(bucket[lo : lo + 200_000]), batch.column("node").take(take), sent.take(take)],
+                        names=["bucket", "node", "fingerprint"],
+                    )
 
-    kind = "bucket bigint, node bigint, fingerprint binary" + "".join(f", {c} bigint" for c in also)
-    return prints.select("node", "fingerprint", *also).mapInArrow(run, kind)
+    return prints.select("node", "fingerprint").mapInArrow(run, "bucket bigint, node bigint, fingerprint binary")
 
 
 def _forest(max_distance: int):
@@ -369,81 +368,6 @@ def near_duplicates(
     return prints.join(of_class, F.col("fingerprint") == F.col("class_print")).drop("class_print")
 
 
-def _across(max_distance: int):
-    """Streams rows sorted by bucket; returns every pair (u < v) of a bucket that is near and of two components."""
-
-    def pairs(bucket, node, component, prints):
-        out = []
-
-        def keep(i, j):
-            i, j = i[component[i] != component[j]], j[component[i] != component[j]]
-            hit = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=-1) <= max_distance
-            a, b = node[i[hit]], node[j[hit]]
-            if len(a):
-                out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-
-        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        sizes = np.diff(np.r_[starts, len(bucket)])
-        few = np.flatnonzero(np.repeat(sizes, sizes) <= 64)
-        b = bucket[few]
-        for d in range(1, 64):
-            same = np.flatnonzero(b[:-d] == b[d:]) if len(b) > d else np.zeros(0, dtype=np.int64)
-            if not len(same):
-                break
-            keep(few[same], few[same + d])
-        for s, n in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist()):
-            for i in range(s, s + n - 1):
-                keep(np.full(s + n - i - 1, i), np.arange(i + 1, s + n))
-        found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), dtype=np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["u", "v"])
-
-    def run(batches):
-        kept = None
-        for batch in batches:
-            part = (
-                batch.column("bucket").to_numpy(), batch.column("node").to_numpy(), batch.column("component").to_numpy(),
-                _words(batch.column("fingerprint")),
-            )
-            if not len(part[0]):
-                continue
-            part = part if kept is None else tuple(np.concatenate(x) for x in zip(kept, part))
-            cut = int(np.searchsorted(part[0], part[0][-1]))  # the last bucket may go on
-            kept = tuple(x[cut:] for x in part)
-            if cut:
-                yield pairs(*(x[:cut] for x in part))
-        if kept is not None:
-            yield pairs(*kept)
-
-    return run
-
-
-def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """The (u, v) whose different shingles have a Jaccard similarity of 0.8 or more. classes: node, text_hash."""
-
-    def run(batches):
-        for batch in batches:
-            for part in slices([batch], 500):
-                made = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("node"), pa.array(made, pa.list_(pa.int64()))], names=["node", "shingles"]
-                )
-
-    pairs = saved(pairs.distinct(), "candidates")
-    named = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted = classes.select("node", "text_hash").join(named, "node")
-    texts = keyed(docs).select("text_hash", "text").join(wanted, "text_hash").dropDuplicates(["node"]).select("node", "text")
-    sets = saved(texts.mapInArrow(run, "node bigint, shingles array<bigint>"), "shingles")
-    side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"of_{name}"))
-    size = saved(sets.select("node", F.size("shingles").alias("n")), "sizes")
-    sized = pairs.join(size.select(F.col("node").alias("u"), F.col("n").alias("n_u")), "u").join(
-        size.select(F.col("node").alias("v"), F.col("n").alias("n_v")), "v"
-    )
-    # In whole numbers: shared / (n_u + n_v - shared) >= 4 / 5, which sizes further apart than that can't reach.
-    possible = sized.filter(5 * F.least("n_u", "n_v") >= 4 * F.greatest("n_u", "n_v"))
-    shared = F.size(F.array_intersect("of_u", "of_v"))
-    return possible.join(side("u"), "u").join(side("v"), "v").filter(9 * shared >= 4 * (F.col("n_u") + F.col("n_v"))).select("u", "v")
-
-
 #: Shingles of a group whose texts one task compares with each other.
 GROUP_SHINGLES = 4_000_000
 
@@ -552,35 +476,3 @@ def similar_groups(
         "components",
     )
     return prints.join(of_class, F.col("fingerprint") == F.col("class_print")).drop("class_print")
-
-
-def verified_groups(
-    docs: DataFrame, shingle: int, words64: int, parts: list[Part], words: int, sure: int, possible: int,
-    bucket_rows: int = BUCKET_ROWS,
-) -> DataFrame:
-    """One row for each input row: doc_id, text_hash, fingerprint (binary, of different shingles), component_id.
-
-    Fingerprints that share a partition and differ in at most ``possible`` of the first 64 * ``words`` bits are
-    candidates; a candidate becomes a link if the Jaccard similarity of the texts' shingles is 0.8 or more. To spare
-    pairs, links of at most ``sure`` bits come first, as a forest: what they connect, once verified, needs no more pairs,
-    and all other candidates are verified each. A node is a fingerprint, known by its hash, whatever ids its rows have;
-    equal fingerprints are copies. ``component_id`` is a node's key.
-    """
-    prints = saved(fingerprints(docs, shingle, words64, distinct=True), "fingerprints")
-    made = prints.groupBy("fingerprint").agg(F.min("text_hash").alias("text_hash"))
-    classes = saved(made.withColumn("node", F.xxhash64("fingerprint")), "classes")
-    first = saved(_similar(links(classes, sure, parts[:16], bucket_rows, words), classes, docs, shingle), "links")
-    known = connected_components(first).withColumnRenamed("component", "known")
-    nodes = saved(
-        classes.join(known, "node", "left").select("node", "fingerprint", F.coalesce("known", "node").alias("component")), "nodes"
-    )
-    rows = _dealt(_signatures(nodes, parts, words, ("component",)), bucket_rows)
-    rest = saved(_similar(rows.mapInArrow(_across(possible), "u bigint, v bigint"), classes, docs, shingle), "links")
-    found = connected_components(first.unionByName(rest))
-    of_class = saved(
-        classes.join(found, "node", "left").select(
-            F.col("fingerprint").alias("class_print"), F.coalesce("component", "node").alias("component_id")
-        ),
-        "components",
-    )
-    return prints.join(of_class, F.col("fingerprint") == F.col("class_print")).drop("class_print")

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from foliospark.llm import decontaminate
 
@@ -51,3 +53,27 @@ def test_different_texts_of_null_or_shared_ids_stay(spark):
     text = lambda k: " ".join(f"n{k}w{i}" for i in range(30))
     rows = [(None, text(0)), (None, text(1)), (None, text(1)), (None, text(2)), (7, text(2)), (8, text(3)), (8, text(4)), (8, text(4))]
     assert sorted(kept_of(spark, rows), key=str) == sorted([(None, text(0)), (None, text(1)), (7, text(2)), (8, text(3)), (8, text(4))], key=str)
+
+
+def test_stages_on_odd_tables(spark, odd_docs, no_docs, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, clashing names and empty tables."""
+    spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clash = odd_docs.withColumn("own_hash", F.lit("mine")).withColumn("found_id", F.lit(1)).withColumn("Component_ID", F.lit(2))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, no_docs, str(tmp_path)).count() == 0, name
+        got = stage(spark, clash if name in ("simhash_near_dedup", "decontamination") else odd_docs, str(tmp_path))
+        rows = got.collect()
+        if name == "line_dedup":  # the first of the lines that 14 documents share stays, all documents do
+            assert len(rows) == odd_docs.count()
+            held = [r.doc_id for r in rows for x in (r.text or "").split("\n") if x.strip().lower() == "same line"]
+            assert len(set(held)) == 1
+        if name in ("simhash_near_dedup", "decontamination"):
+            assert got.columns == clash.columns and {r.own_hash for r in rows} == {"mine"}
+        if name == "decontamination":
+            assert len(rows) == odd_docs.count()
+        if name == "simhash_near_dedup":  # null, empty and blank texts are one group; the repeated row stays once
+            assert sorted(str(r.doc_id) for r in rows if not (r.text or "").split()) == ["1"] and sum(r.doc_id == 5 for r in rows) == 2
+        if name == "sentencepiece":
+            assert len(rows) == odd_docs.count() and all(r.round_trip for r in rows)
+    spark.createDataFrame([], "item_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.decontamination_stage(spark, odd_docs, str(tmp_path)).count() == odd_docs.count()
