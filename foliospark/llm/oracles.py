@@ -47,30 +47,36 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def _op9() -> str:
-    rows = []
-    for exact, phrases in ((True, license_scan.BASE_PHRASES), (False, license_scan.TEMPLATES)):
-        for phrase, label in phrases:
-            w, n = phrase.split(), rows[-1][0] + 1 if rows else 0
-            rows += [(n, i, f"{w[i]} {w[i + 1]}", exact, label, len(w) - 1) for i in range(len(w) - 1)]
-    places = ", ".join(f"({t}, {i}, '{g}', {str(e).lower()}, '{x}', {k})" for t, i, g, e, x, k in rows)
+    places, n_grams = [], []
+    for t, exact, label, k, w in license_scan.phrases():
+        places += [f"({t}, {i}, {k}, '{' '.join(w[i : i + k])}')" for i in range(len(w) - k + 1)]
+        n_grams.append(f"({t}, {str(exact).lower()}, '{label}', {k}, {len(w) - k + 1})")
+    two, five = (" || ' ' || ".join(f"ws[i + {j}]" for j in range(k)) for k in (license_scan.K_BASE, license_scan.K))
     return f"""
-WITH p(template, t_place, gram, exact, label, n_grams) AS (VALUES {places}),
+WITH p(template, t_place, k, gram) AS (VALUES {", ".join(places)}),
+q(template, exact, label, k, n_grams) AS (VALUES {", ".join(n_grams)}),
 w AS (SELECT row_number() OVER () AS rid, doc_id, {words("coalesce(text, '')")} AS ws FROM documents),
-v AS (SELECT rid, template, exact, label, n_grams, t_place, i - 1 - t_place AS diagonal
-      FROM (SELECT rid, i, ws[i] || ' ' || ws[i + 1] AS gram FROM w, unnest(range(1, len(ws))) AS u(i)) JOIN p USING (gram)),
-d AS (SELECT rid, template, exact, label, n_grams, diagonal, list(t_place) AS ts FROM v GROUP BY ALL),
+e AS (SELECT rid, i, 2 AS k, {two} AS gram FROM w, unnest(range(1, len(ws))) AS u(i)
+      UNION ALL SELECT rid, i, 5 AS k, {five} AS gram FROM w, unnest(range(1, len(ws) - 3)) AS u(i)),
+v AS (SELECT rid, template, t_place, i - 1 - t_place AS diagonal FROM e JOIN p USING (k, gram)),
+d AS (SELECT rid, template, diagonal, list(t_place) AS ts FROM v GROUP BY ALL),
 g AS (SELECT *, CASE WHEN exact THEN 1
-        WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) > {license_scan.SLACK} THEN 1 ELSE 0 END AS apart FROM d),
+        WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) > {license_scan.SLACK} THEN 1 ELSE 0 END AS apart
+      FROM d JOIN q USING (template)),
 s AS (SELECT *, sum(apart) OVER (PARTITION BY rid, template ORDER BY diagonal) AS island FROM g),
-m AS (SELECT rid, exact, label, n_grams, template, island, len(list_distinct(flatten(list(ts)))) AS n_found,
-        min(diagonal + list_min(ts)) AS first_word FROM s GROUP BY ALL),
+m AS (SELECT rid, exact, label, n_grams, template, k, island, len(list_distinct(flatten(list(ts)))) AS n_found,
+        min(diagonal + list_min(ts)) AS first_word, max(diagonal + list_max(ts) + k - 1) AS last_word FROM s GROUP BY ALL),
 f AS (SELECT *, n_found / n_grams AS coverage FROM m
-      WHERE CASE WHEN exact THEN n_found = n_grams ELSE n_found / n_grams >= {license_scan.COVERED} END),
+      WHERE CASE WHEN exact THEN n_found = n_grams
+        ELSE n_found >= least({license_scan.GRAMS}, n_grams) AND n_found >= {license_scan.DENSITY} * (last_word - first_word - k + 2) END),
+h AS (SELECT * FROM f AS s WHERE exact OR NOT EXISTS (
+        SELECT 1 FROM f AS t WHERE NOT t.exact AND t.rid = s.rid AND t.first_word <= s.last_word AND s.first_word <= t.last_word
+          AND (t.n_found > s.n_found OR t.n_found = s.n_found AND (t.coverage > s.coverage OR t.coverage = s.coverage AND t.template < s.template)))),
 a AS (SELECT rid, count(*) FILTER (exact) AS n_base, min(first_word) FILTER (exact) AS first_word,
         max(first_word) FILTER (exact) AS last_word,
         array_to_string(list_sort(list_distinct(list(label) FILTER (exact))), ',') AS base_labels,
         array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, round(max(coverage), 6) AS score
-      FROM f GROUP BY rid)
+      FROM h GROUP BY rid)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
 FROM w LEFT JOIN a USING (rid)"""
