@@ -33,7 +33,7 @@ CHUNK_CHARS = 16_384
 BLANK = "▁"
 #: Prefixes that a worker remembers, and the longest of them; runs between blanks that it remembers; characters of texts
 #: that are encoded together.
-CACHE, _CACHE_LEN, _RUNS, _TOGETHER = 100_000, 48, 800_000, 1_000_000
+CACHE, _CACHE_LEN, _RUNS, _TOGETHER = 100_000, 48, 800_000, 250_000
 _NONE = float("-inf")
 
 
@@ -250,9 +250,7 @@ class Lattice:
 
     def _together(self, texts: list[str]) -> list[bytes]:
         if self.runs is None or self.runs.n > _RUNS:
-            self.runs = self.runs.frequent(_RUNS // 4) if self.runs else Runs(np.dtype("<u4"))
-            self.line = self.runs.add(*np.zeros((3, 1), np.uint64))
-            self._learn(self.line, [b"\n"], np.zeros(1))
+            self._keep(_RUNS // 4)
         parts = [t.replace(BLANK, " ").encode("utf-8", "surrogatepass") for t in texts]
         raw = b"\n" * 8 + b"\n".join(parts) + b"\n" * 8
         each = np.frombuffer(raw, np.uint8)
@@ -318,6 +316,17 @@ class Lattice:
             counts = np.array([len(cuts[k]) for k in several])
             self.runs.give(numbers[several], ids, np.add.reduceat(size, np.cumsum(counts) - counts))
 
+    def rest(self) -> None:
+        """Between tasks a worker, which may then wait for other stages, keeps the most frequent runs only."""
+        self.memo.clear()
+        if self.runs is not None and self.runs.n > _RUNS // 16:
+            self._keep(_RUNS // 16)
+
+    def _keep(self, most: int) -> None:
+        self.runs = self.runs.frequent(most) if self.runs else Runs(np.dtype("<u4"))
+        self.line = self.runs.add(*np.zeros((3, 1), np.uint64))
+        self._learn(self.line, [b"\n"], np.zeros(1))
+
     def encode(self, text: str) -> bytes:
         """Ids of a text of one chunk."""
         return self.encode_all([text])[0]
@@ -584,6 +593,7 @@ def _giants(docs: DataFrame, model_file: str, size: int, cache: int, fan: int =
                 for r in batch.to_pylist()
             ]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _KEY), pa.array(ids, pa.binary())], names=[*_KEY, "ids"])
+        lattice.rest()
 
     def joined(batches):
         for key, rows in _runs(batches, _DOC, ["ids"]):
@@ -615,6 +625,7 @@ def encode(docs: DataFrame, model_file: str, chunk_chars: int = CHUNK_CHARS, cac
                 [part.column("doc_id").cast(pa.int64()), part.column("text_hash"), pa.array(ids, pa.binary())],
                 names=["doc_id", "text_hash", "ids"],
             )
+        lattice.rest()
 
     made = short.mapInArrow(run, "doc_id bigint, text_hash bigint, ids binary")
     giants = _giants(long, model_file, chunk_chars, cache)

@@ -273,6 +273,7 @@ def _tokens(vocabulary: str, end_id: int | None):
             ends = made + np.cumsum([0, *(len(x) // encoder.width for x in ids)])
             yield rows(part.column("doc_id").cast(pa.int64()), encoder.width, ids, range(place, place + len(ids)), ends[:-1])
             place, made = place + len(ids), int(ends[-1])
+        encoder.runs = encoder.runs.frequent(_CACHE_RUNS // 16)  # a worker that waits for other tasks keeps little
         yield rows(pa.array([None], pa.int64()), 8, [total.astype("<i8").tobytes()], [_COUNTS], [made])
 
     return run
