@@ -81,6 +81,20 @@ def per_process(key: tuple, make):
     return kept[key]
 
 
+def give_back() -> None:
+    """Memory that a worker has freed goes back to the system, where the C library knows how: other stages need it."""
+    import ctypes
+    import sys
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only in local sessions that name none, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.common import SPACE, SPACE_RUN, let
 
-#: Frequent function words of English, French, German and Spanish.
+#: Frequent function words of English, French, German and Spanish. Texts in other languages hold few of them
+#: and fail the rule ``stop_words``; for such corpora, give ``measure`` a table of rules without it.
 STOP_WORDS = (
     "the of and to in is that for it with as was on are by this be or an at "
     "le la les de des du et en un une est que qui dans pour il elle "

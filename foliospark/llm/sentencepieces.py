@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.common import keyed, partitions_of, per_process, same_document, saved, slices
+from foliospark.llm.common import give_back, keyed, partitions_of, per_process, same_document, saved, slices
 from foliospark.llm.runs import Runs
 
 CHUNK_CHARS = 16_384
@@ -321,6 +321,7 @@ class Lattice:
         self.memo.clear()
         if self.runs is not None and self.runs.n > _RUNS // 16:
             self._keep(_RUNS // 16)
+        give_back()
 
     def _keep(self, most: int) -> None:
         self.runs = self.runs.frequent(most) if self.runs else Runs(np.dtype("<u4"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from foliospark.llm.common import keyed, per_process
+from foliospark.llm.common import keyed, per_process, saved
 
 #: Lengths in one block of the suffix sums.
 BLOCK = 1024
@@ -55,7 +55,8 @@ def suffix_sums(lengths: DataFrame, block: int = BLOCK) -> DataFrame:
     An empty table gives no rows; a length of 0 is a length. Sums within blocks of lengths and sums of blocks keep any
     one task to a block or to the list of blocks.
     """
-    h = histogram(lengths).withColumn("block", F.floor(F.col("n_tokens") / block))
+    # Texts are encoded once: the histogram, as many rows as there are lengths, is written and read twice.
+    h = saved(histogram(lengths), "lengths").withColumn("block", F.floor(F.col("n_tokens") / block))
     tokens = F.col("n_tokens") * F.col("n_docs")
     inner = W.Window.partitionBy("block").orderBy(F.desc("n_tokens"))
     own = h.select(

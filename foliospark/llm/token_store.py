@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import fresh_path, keyed, partitions_of, per_process, saved, slices
+from foliospark.llm.common import fresh_path, give_back, keyed, partitions_of, per_process, saved, slices
 from foliospark.llm.runs import Runs
 
 MAX_BITS = 20
@@ -274,6 +274,7 @@ def _tokens(vocabulary: str, end_id: int | None):
             yield rows(part.column("doc_id").cast(pa.int64()), encoder.width, ids, range(place, place + len(ids)), ends[:-1])
             place, made = place + len(ids), int(ends[-1])
         encoder.runs = encoder.runs.frequent(_CACHE_RUNS // 16)  # a worker that waits for other tasks keeps little
+        give_back()
         yield rows(pa.array([None], pa.int64()), 8, [total.astype("<i8").tobytes()], [_COUNTS], [made])
 
     return run

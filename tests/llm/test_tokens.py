@@ -174,7 +174,15 @@ def test_scan_of_several_levels(spark, monkeypatch):
 
 def test_token_histogram(spark, odd_docs, no_docs):
     ranks = tokenizer_file("byte_bpe_50k.tiktoken")
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(ranks, "rb") as f:
+        library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, special_tokens={}, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
     n = [r.n_tokens for r in token_counts.token_lengths(odd_docs, ranks).collect()]
+    assert sorted(n) == sorted(len(library.encode(r.text or "", disallowed_special=())) for r in odd_docs.collect())
     sums = token_counts.suffix_sums(token_counts.token_lengths(odd_docs, ranks), block=8)
     for r in sums.collect():
         above = [x for x in n if x >= r.n_tokens]
