@@ -13,6 +13,19 @@ def _share(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
 
 
+def share(part: Column, whole: Column) -> Column:
+    return _share(part, whole)
+
+
+def weighted_share(wanted: Column, found: Column) -> Column:
+    """Share of different terms that are found, those with digits or of six letters or more counting twice."""
+
+    def weight(ts):
+        return F.aggregate(ts, F.lit(0), lambda s, t: s + F.when(t.rlike("[0-9]") | (F.length(t) >= 6), 2).otherwise(1))
+
+    return let(F.array_distinct(wanted), lambda w: _share(weight(F.array_intersect(w, found)), weight(w)))
+
+
 def query_coverage(query: Column, passage: Column) -> Column:
     """Weighted share of the query's significant tokens in the passage; digits and tokens of six letters count twice."""
     def weight(ts):

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import normalize_question
+from foliospark.functions.text import fold_accents, normalize_question
 
-#: Blanks that separate thousands.
+#: Blanks that separate thousands; the grammar of number runs, dates and times; currencies and amounts.
 GAP = "[   ]"
 NUMBER_RUN = (
     r"\d{1,4}[./-]\d{1,2}[./-]\d{2,4}|\d{1,2}[:h]\d{2}|\d{1,3}(?:,\d{3}){2,}"
@@ -35,6 +37,10 @@ ROLES = (
     ("amount", r"\b(montant|amount)\b"),
 )
 #: Units of duration and number words.
+NUMBER_WORDS = {
+    "une": 1, "un": 1, "deux": 2, "trois": 3, "quatre": 4, "cinq": 5, "six": 6, "sept": 7, "huit": 8, "neuf": 9, "dix": 10, "onze": 11,
+    "douze": 12, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12,
+}
 UNITS = {"jours?|days?": "day", "semaines?|weeks?": "week", "mois|months?": "month", "ans?|annees?|years?": "year"}
 
 
@@ -84,11 +90,7 @@ def minor_units(raw: Column, currency: Column) -> Column:
 
 
 def money_role(label: Column) -> Column:
-    q = normalize_question(label)
-    out = F.when(q.rlike(ROLES[0][1]), ROLES[0][0])
-    for name, pattern in ROLES[1:]:
-        out = out.when(q.rlike(pattern), name)
-    return out
+    return _role_of(normalize_question(label))
 
 
 def money_candidates(text: Column) -> Column:
@@ -119,6 +121,43 @@ def money_candidates(text: Column) -> Column:
     return F.flatten(F.transform(F.split(text, "\n"), in_line))
 
 
+#: Fixed value: what the lines around an amount say of one that was received, where a column wraps its label.
+RECEIVED = r"\b(montant recu|recu par|amount received|received amount|beneficiary receives?)\b"
+
+
+def money_rows(df: DataFrame, text: str, at: str = "place") -> DataFrame:
+    """``df`` with a row for each amount that has a currency and a role, as plain columns instead of an array.
+
+    Adds value_minor, currency, kind, label, confidence, raw, and ``at``: (line, number) in order. An amount without a
+    role in its line is ``received`` if its line with those around it says so. Only lines with an amount are looked at.
+    """
+    lines = df.withColumn("_lines", F.split(text, "\n")).select("*", F.posexplode("_lines").alias("_line_no", "_line"))
+    lines = lines.filter(F.col("_line").rlike(MONEY))
+    around = lambda k: F.coalesce(F.get("_lines", F.col("_line_no") + k), F.lit(""))
+    lines = lines.withColumns({"_before": around(-1), "_after": around(1)}).drop("_lines")
+    labels = F.split(F.regexp_replace("_line", MONEY, "\x01"), "\x01")
+    found = F.arrays_zip(F.regexp_extract_all("_line", F.lit(MONEY), F.lit(1)).alias("raw"), labels.alias("label"))
+    each = lines.withColumn("_found", found).select("*", F.posexplode("_found").alias("_no", "_m")).drop("_found", "_line")
+    each = each.withColumns({"raw": F.col("_m.raw"), "label": F.right(F.trim("_m.label"), F.lit(80))}).drop("_m").filter("raw IS NOT NULL")
+    code = currency_code(F.regexp_extract("raw", rf"(?i)({CURRENCY})", 1))
+    each = each.withColumns({"currency": code, "_amount": F.trim(F.regexp_replace("raw", rf"(?i)(?:{CURRENCY})", "")), "_q": normalize_question(F.col("label"))})
+    wrapped = normalize_question(F.trim(F.concat_ws(" ", "_before", "label", "_after"))).rlike(RECEIVED)
+    own = _role_of(F.col("_q"))
+    each = each.withColumn("kind", own).withColumn("kind", F.coalesce("kind", F.when(F.col("kind").isNull() & wrapped, "received")))
+    each = each.withColumn("value_minor", minor_units(F.col("_amount"), F.col("currency"))).filter("kind IS NOT NULL AND value_minor IS NOT NULL")
+    sure = F.when(F.col("kind") == "total_ttc", 0.98).when(F.col("kind") == "amount", 0.85).otherwise(0.92)
+    return each.withColumns({"confidence": sure, at: F.struct(F.col("_line_no").alias("line"), F.col("_no").alias("number"))}).drop(
+        "_line_no", "_no", "_before", "_after", "_amount", "_q"
+    )
+
+
+def _role_of(question: Column) -> Column:
+    out = F.when(question.rlike(ROLES[0][1]), ROLES[0][0])
+    for name, pattern in ROLES[1:]:
+        out = out.when(question.rlike(pattern), name)
+    return out
+
+
 def _iso(day: Column, month: Column, year: Column) -> Column:
     fine = year.between(1900, 2200) & month.between(1, 12) & day.between(1, 31)
     return F.when(fine, F.format_string("%d-%02d-%02d", year, month, day))
@@ -130,9 +169,11 @@ def record_date(text: Column) -> Column:
     numeric = r"\b(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})\b"
     part = lambda pattern, k: F.regexp_extract(q, pattern, k).try_cast("int")
     out = F.when(q.rlike(numeric), _iso(part(numeric, 1), part(numeric, 2), part(numeric, 3)))
-    named = r"\b(\d{1,2})\s+(" + "|".join(MONTHS) + r")\s+(\d{4})\b"
-    month = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])[F.regexp_extract(q, named, 2)]
-    return out.when(q.rlike(named), _iso(part(named, 1), month, part(named, 3)))
+    # Of several dates with a month's name, the one whose month comes first in the table of months.
+    for name, month in MONTHS.items():
+        named = rf"\b(\d{{1,2}})\s+{name}\s+(\d{{4}})\b"
+        out = out.when(q.rlike(named), _iso(part(named, 1), F.lit(month), part(named, 2)))
+    return out
 
 
 def record_id(text: Column) -> Column:
@@ -146,9 +187,12 @@ def record_id(text: Column) -> Column:
 def durations(text: Column) -> Column:
     """Different (value, unit) keys, such as ``10 day``."""
     q = normalize_question(text)
+    spelled = F.create_map(*[F.lit(x) for pair in NUMBER_WORDS.items() for x in pair])
+    digits_or_word = rf"\d+|{'|'.join(NUMBER_WORDS)}"
+
     def of(pattern, unit):
-        values = F.regexp_extract_all(q, F.lit(rf"\b(\d+)\s+(?:{pattern})\b"), F.lit(1))
-        return F.transform(values, lambda n: F.concat(n.cast("long").cast("string"), F.lit(f" {unit}")))
+        values = F.regexp_extract_all(q, F.lit(rf"\b({digits_or_word})\s+(?:{pattern})\b"), F.lit(1))
+        return F.transform(values, lambda n: F.concat(F.coalesce(n.try_cast("long"), F.element_at(spelled, n)).cast("string"), F.lit(f" {unit}")))
 
     found = [of(pattern, unit) for pattern, unit in UNITS.items()]
     return F.array_sort(F.array_distinct(F.concat(*found)))
@@ -200,3 +244,61 @@ def in_scope(date: Column, start: str | None = None, end: str | None = None, yea
     if month is not None:
         out &= F.substring(date, 6, 2).cast("int") == month
     return F.coalesce(out, F.lit(False))
+
+
+def canonical_amounts(literal: str) -> list[str]:
+    """The value of an amount as written, its last separator being the decimal one; without a fraction of zeros."""
+    found = re.search(r"\d[\d\s.,]*", literal)
+    if not found:
+        return []
+    whole, _, fraction = re.sub(r"[.,](?=[^.,]*$)", "#", found[0].strip(), count=1).partition("#")
+    whole, fraction = (re.sub(r"[\s.,]", "", x) for x in (whole, fraction))
+    value = f"{whole}.{fraction}".rstrip("0") if fraction.strip("0") else whole
+    return [value] if value else []
+
+
+#: Fixed value: an amount with its currency, as answers write it.
+MONEY_AMOUNT = r"(?:\d[\d \t.,]*[ \t]*(?:€|eur\b|euros?\b|usd\b|dollars?\b))(?:[ \t]*(?:ht|ttc))?"
+
+
+def joined_amounts(text: str) -> str:
+    """Amounts whose digits aren't grouped by three, joined: ``1 2 34,50 €`` becomes ``1234,50 €``."""
+
+    def one(match):
+        digits = re.search(r"\d[\d\s.,]*", match[0])[0].strip()
+        cut = max(digits.rfind("."), digits.rfind(","))
+        whole, fraction = (digits[:cut], digits[cut:]) if cut >= 0 else (digits, "")
+        groups = [g for g in re.split(r"[\s.]", whole) if g]
+        regular = len(groups) > 1 and len(groups[0]) <= 3 and all(len(g) == 3 for g in groups[1:])
+        suffix = re.sub(r"^[\d\s.,]+", "", match[0]).strip()
+        return f"{whole if regular else ''.join(groups)}{fraction} {suffix}".strip()
+
+    return re.sub(MONEY_AMOUNT, one, text, flags=re.I)
+
+
+def calendar_dates(text: str) -> list[tuple[int, int, tuple[str, ...]]]:
+    """(start, end, ISO dates) of each date in a text; one that can be read day first or month first has both."""
+    found: dict[tuple[int, int], tuple[str, ...]] = {}
+
+    def add(match, *dates):
+        keys = [f"{y}-{m:02d}-{d:02d}" for d, m, y in dates if 1000 <= y <= 9999 and 1 <= m <= 12 and 1 <= d <= 31]
+        if keys:
+            found.setdefault(match.span(), tuple(dict.fromkeys(keys)))
+
+    for m in re.finditer(r"\b(\d{1,4})[./-](\d{1,2})[./-](\d{2,4})\b", text):
+        a, b, c = map(int, m.groups())
+        year = 2000 + c if len(m[3]) == 2 else c
+        add(m, *([(c, b, a)] if len(m[1]) == 4 else [(a, b, year), (b, a, year)]))
+    for m in re.finditer(r"\b(\d{1,2})(?:er|re|e|eme|ème)?\s+([^\W\d_]+)\s+(\d{4})\b", text, re.I):
+        if month := MONTHS.get(fold_accents(m[2])):
+            add(m, (int(m[1]), month, int(m[3])))
+    for m in re.finditer(r"\b([^\W\d_]+)\s+(\d{1,2})(?:st|nd|rd|th)?(?:,\s*|\s+)(\d{4})\b", text, re.I):
+        if month := MONTHS.get(fold_accents(m[1])):
+            add(m, (int(m[2]), month, int(m[3])))
+    return [(a, b, keys) for (a, b), keys in found.items()]
+
+
+def formatted_money(minor: Column, currency: Column) -> Column:
+    """Minor units as ``1234.50 EUR``; GNF has no minor unit."""
+    cents = F.concat(F.when(minor < 0, "-").otherwise(""), F.floor(F.abs(minor) / 100).cast("string"), F.lit("."), F.lpad((F.abs(minor) % 100).cast("string"), 2, "0"))
+    return F.concat_ws(" ", F.when(currency == "GNF", minor.cast("string")).otherwise(cents), currency)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -9,9 +10,36 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Accented letters of the Latin blocks in use, and their base letters.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-BASE = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _compatible() -> tuple[str, str]:
+    """Lower-case characters, in the blocks of Latin, sub- and superscripts and wide forms, that stand for one other."""
+    found = {}
+    for code in (*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0x2070, 0x20A0), *range(0xFF01, 0xFF5F)):
+        c = chr(code).lower()
+        base = fold_accents(c)
+        if len(c) == len(base) == 1 and c != base:
+            found[c] = base
+    return "".join(found), "".join(found.values())
+
+
+def fold_accents(text: str) -> str:
+    """Compatibility decomposition without marks, lower case."""
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
+
+
+ACCENTED, BASE = _compatible()
+#: Ligatures of type and what they stand for.
+LIGATURES = (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"))
+#: Function words by which a language is told, as written.
+FRENCH_MARKERS = (
+    "le la les un une des du de et est sont dans pour que qui pas sur avec ce cette ses son sa mais ou où donc car ne se au aux par plus "
+    "sans être avoir été fait comme tout tous elle il ils nous vous leur leurs"
+).split()
+ENGLISH_MARKERS = (
+    "the a an and is are in for that which not on with this these its his her but or so because no be have been done as all every she he "
+    "they we you their of to from at by it was were will would can could"
+).split()
 #: Common function words, without accents.
 FRENCH_STOPS = (
     "le la les un une des du de et est en que qui dans pour sur par avec au aux ce cette ces il elle nous vous ils "
@@ -35,22 +63,25 @@ def normalize(text: Column) -> Column:
     out = F.regexp_replace(out, "[æÆ]", "ae")
     out = F.regexp_replace(out, "­", "")
     out = F.regexp_replace(out, r"([\p{L}\p{N}])-[ \t\r\x0B\f]*\n\s*([\p{L}\p{N}])", "$1$2")
-    out = F.translate(F.lower(out), ACCENTED, BASE)
+    out = F.regexp_replace(F.lower(out), "[ﬀﬁﬂﬃﬄ]", "\x01$0")
+    for ligature, plain in LIGATURES:
+        out = F.replace(out, F.lit("\x01" + ligature), F.lit(plain))
+    out = F.translate(out, ACCENTED, BASE)
     out = F.regexp_replace(out, r"\p{M}", "")
     return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
 
 
-@F.pandas_udf(T.StringType())
-def normalize_full(texts: pd.Series) -> pd.Series:
-    """``normalize`` with full compatibility decomposition (ligatures of type, widths, superscripts)."""
+def fold_full(text: str) -> str:
+    """``normalize`` of one string, with the whole compatibility decomposition."""
+    text = re.sub("[œŒ]", "oe", re.sub("[æÆ]", "ae", text)).replace("\u00ad", "")
+    text = re.sub(r"([^\W_])-\s*\n\s*([^\W_])", r"\1\2", text)
+    return " ".join("".join(c if c.isalnum() else " " for c in fold_accents(text)).split())
 
-    def one(text):
-        if text is None:
-            return None
-        folded = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
-        return " ".join("".join(c if c.isalnum() else " " for c in folded).split())
 
-    return texts.map(one)
+@F.pandas_udf(T.StringType())
+def normalize_full(texts: pd.Series) -> pd.Series:
+    """``normalize`` with the whole compatibility decomposition (all scripts, fractions and symbols too)."""
+    return texts.map(lambda text: None if text is None else fold_full(text))
 
 
 def normalize_question(text: Column) -> Column:
@@ -170,34 +201,41 @@ def osa_distance(left: Column, right: Column, most: int = 4) -> Column:
 
 
 def language(text: Column, sample: int = 2500) -> Column:
-    """``fr`` or ``en`` by share of function words in the first 2,500 characters, else null."""
-    def of(words):
-        n = F.size(words)
-        fr, en = (F.size(F.filter(words, lambda w: w.isin(*FRENCH_STOPS))) / n, F.size(F.filter(words, lambda w: w.isin(*ENGLISH_STOPS))) / n)
-        return (
-            F.when(n < 10, F.lit(None).cast("string"))
-            .when((fr >= 0.05) & (fr >= en * 1.3), "fr")
-            .when((en >= 0.05) & (en >= fr * 1.3), "en")
-        )
+    """``fr`` or ``en`` by function words in the first 2,500 characters, else null.
 
-    return let(tokens(F.substring(text, 1, sample)), of)
+    Ten words at least, of which a twentieth must be function words, and those of one language over 1.3 times the other's.
+    """
+    words = F.filter(F.split(F.lower(F.substring(text, 1, sample)), r"[^\p{L}']+"), lambda w: w != "")
+
+    def of(ws):
+        count = lambda markers: F.size(F.filter(ws, lambda w: w.isin(*markers)))
+        n, fr, en = F.size(ws), count(FRENCH_MARKERS), count(ENGLISH_MARKERS)
+        few = (n < 10) | (fr + en < n * 0.05)
+        return F.when(few, F.lit(None).cast("string")).when(fr > en * 1.3, "fr").when(en > fr * 1.3, "en")
+
+    return let(words, of)
 
 
 def text_quality(text: Column) -> Column:
-    """Class of a text layer: sparse, unmapped, joined or usable."""
-    n = F.length(text)
-    blank = F.length(text) - F.length(F.regexp_replace(text, r"\s", ""))
-    odd = n - F.length(F.regexp_replace(text, "[\\x00�]", ""))
-    letters = n - F.length(F.regexp_replace(text, r"\p{L}", ""))
-    runs = F.transform(F.split(text, r"\s+"), lambda w: F.length(w))
-    longest = F.coalesce(F.array_max(runs), F.lit(0))
-    in_long = F.aggregate(F.filter(runs, lambda k: k >= 24), F.lit(0), lambda t, k: t + k)
-    return (
-        F.when(F.length(F.trim(text)) < 50, "sparse")
-        .when((odd >= 3) & (odd >= n * 0.005), "unmapped")
-        .when((letters >= 50) & (blank < n * 0.06) & ((in_long >= n * 0.2) | (longest >= 64)), "joined")
-        .otherwise("usable")
-    )
+    """Class of a text layer: sparse, unmapped, joined or usable.
+
+    Joined: hardly any blanks, and a fifth of the letters in runs of 24 or more, or a run of 64; but not in scripts that
+    write without blanks.
+    """
+
+    def of(t):
+        n, letters = F.length(t), F.regexp_count(t, F.lit(r"\p{L}"))
+        runs = F.transform(F.regexp_extract_all(t, F.lit(r"(\p{L}{24,})"), F.lit(1)), lambda w: F.length(w))
+        in_long, longest = F.aggregate(runs, F.lit(0), lambda a, k: a + k), F.coalesce(F.array_max(runs), F.lit(0))
+        odd, blank = F.regexp_count(t, F.lit("[\\x00\\x{FFFD}]")), F.regexp_count(t, F.lit(r"[\s\p{Z}]"))
+        unspaced = F.regexp_count(t, F.lit(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"))
+        share = lambda part, whole: part / F.greatest(whole, F.lit(1))
+        joined = (letters >= 50) & (share(unspaced, letters) < 0.2) & (share(blank, n) < 0.06) & ((share(in_long, letters) >= 0.2) | (longest >= 64))
+        return (
+            F.when(n < 50, "sparse").when((odd >= 3) & (share(odd, n) >= 0.005), "unmapped").when(joined, "joined").otherwise("usable")
+        )
+
+    return let(F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""), of)
 
 
 def clean(text: Column, most: int | None = None) -> Column:
@@ -231,31 +269,18 @@ def search_terms(text: Column, most: int = 24) -> Column:
     return F.slice(F.array_distinct(tokens(text)), 1, most)
 
 
-def stem(word: str, language_: str) -> str:
-    """A light suffix stripper: the plural, gender and verb endings that both published stemmers begin with."""
-    endings = (
-        ("issements", "issement", "atrices", "ateurs", "ations", "atrice", "ateur", "ation", "ements", "ement", "euses",
-         "euse", "ives", "ifs", "ive", "if", "eaux", "ées", "ée", "és", "er", "ez", "es", "e", "s")
-        if language_ == "fr"
-        else ("ationally", "ization", "ations", "ation", "ments", "ment", "ness", "ings", "ing", "edly", "ies", "ied", "ed", "ly", "es", "s")
-    )
-    for end in endings:
-        if word.endswith(end) and len(word) - len(end) >= 3:
-            return word[: -len(end)]
-    return word
-
-
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def stem_tokens(words: pd.Series) -> pd.Series:
-    """Both languages' stems of an array of tokens, marked by language."""
+    """Both languages' stems of an array of tokens, marked by language, where they differ from the token."""
+    from foliospark.functions import stems
 
     def one(ws):
         out = {}
         for w in () if ws is None else ws:
-            for lang in ("fr", "en"):
-                s = stem(w, lang)
+            for mark, stem in (("frstem", stems.french), ("enstem", stems.english)):
+                s = fold_full(stem(w))
                 if len(s) >= 3 and s != w:
-                    out[f"{lang}stem{s}"] = None
+                    out[mark + s] = None
         return list(out)
 
     return words.map(one)

@@ -14,7 +14,9 @@ REPRESENTATIVE = ("sent", "total_ttc", "debited", "total", "amount", "received",
 TOTALS = ("total_ttc", "total", "subtotal", "amount")
 #: OCR confidence below which a chunk takes no part in arithmetic.
 RELIABLE = 0.78
+#: Words of a transfer, and those that begin a record.
 _TRANSFER = r"\b(expediteur|beneficiaire|transfert|transaction|sender|recipient|beneficiary|exchange rate|taux de change)\b"
+_SEGMENT = r"(?im)(?=^(?:transaction|transfert|transfer|facture|invoice|re[cç]u|receipt)\b)"
 
 
 def reliable(confidence: Column) -> Column:
@@ -39,13 +41,13 @@ def records(chunks: DataFrame) -> DataFrame:
         F.concat(F.lit("page:"), F.col("page").cast("string")), F.concat(F.lit("heading:"), F.col("heading")),
         F.concat(F.lit("chunk:"), F.col("chunk_id").cast("string")),
     )
-    cut = F.split("text", r"(?im)(?=^(?:transaction|transfert|transfer|facture|invoice|re[cç]u|receipt)\b)")
+    cut = F.split("text", _SEGMENT)
     parts = base.withColumn("place", place).select(
         "document_id", "chunk_id", "place", "seq", "text", F.posexplode(F.filter(cut, lambda s: F.trim(s) != "")).alias("segment", "part")
     )
     parts = parts.withColumns({"own_date": numbers.record_date(F.col("part")), "own_id": numbers.record_id(F.col("part"))})
     at = Window.partitionBy("document_id", "place")
-    only = lambda c: F.when(F.size(F.collect_set(c).over(at)) == 1, F.get(F.collect_set(c).over(at), F.lit(0)))
+    only = lambda c: F.when(F.min(c).over(at) == F.max(c).over(at), F.min(c).over(at))
     parts = parts.withColumns(
         {
             "record_date": F.coalesce("own_date", only("own_date")), "record_id": F.coalesce("own_id", only("own_id")),
@@ -55,16 +57,58 @@ def records(chunks: DataFrame) -> DataFrame:
     doc = F.col("document_id").cast("string")
     fallback = F.concat_ws(":", doc, "place", F.col("segment").cast("string"), F.when(F.col("record_date").isNotNull(), F.concat(F.lit("date:"), "record_date")))
     key = F.when(F.col("record_id").isNotNull(), F.concat_ws(":", doc, F.lit("id"), "record_id")).otherwise(fallback)
-    facts = parts.select(
-        "document_id", "chunk_id", key.alias("record_key"), "record_date", "record_id", "transfer",
-        F.explode(numbers.money_candidates(F.col("part"))).alias("m"),
-    )
-    kind = F.when(F.col("transfer") & (F.col("m.kind") == "amount"), "sent").when(F.col("transfer") & (F.col("m.kind") == "total"), "debited").otherwise(F.col("m.kind"))
+    keyed = parts.select("document_id", "chunk_id", key.alias("record_key"), "record_date", "record_id", "transfer", "part")
+    facts = numbers.money_rows(keyed, "part")
+    in_transfer = {"amount": "sent", "total": "debited"}
+    kind = F.col("kind")
+    for plain, meant in in_transfer.items():
+        kind = F.when(F.col("transfer") & (F.col("kind") == plain), meant).otherwise(kind)
     return facts.select(
-        "document_id", "chunk_id", "record_key", "record_date", "record_id", kind.alias("kind"), "m.value_minor", "m.currency", "m.label", "m.confidence"
+        "document_id", "chunk_id", "record_key", "record_date", "record_id", kind.alias("kind"), "value_minor", "currency", "label", "confidence"
     ).dropDuplicates(["record_key", "kind", "currency", "value_minor"])
 
 
+#: Rows that a document's schedule has at least.
+SCHEDULE_ROWS = 12
+
+
+def schedule_records(chunks: DataFrame) -> DataFrame:
+    """One fact for each row of an amortisation schedule: document_id, chunk_id, record_key, record_date, kind, value_minor, currency.
+
+    A schedule has ``SCHEDULE_ROWS`` rows or more over a document's reliable chunks, a column whose value repeats (the
+    instalment), and the euro somewhere in the document. Documents without these give no rows.
+    """
+    have = set(chunks.columns)
+    ocr = F.col("ocr_confidence") if "ocr_confidence" in have else F.lit(None).cast("double")
+    fine = chunks.filter(reliable(ocr)).select("document_id", "chunk_id", "text")
+    rows = fine.select("document_id", "chunk_id", F.explode(numbers.schedule_rows(F.col("text"))).alias("r")).select("document_id", "chunk_id", "r.*")
+    euro = fine.groupBy("document_id").agg(F.bool_or(F.col("text").rlike(r"(?iu)€|\beuros?\b")).alias("euro"))
+    counted = rows.groupBy("document_id").agg(F.count("*").alias("n")).filter(F.col("n") >= SCHEDULE_ROWS)
+    wanted = counted.join(euro.filter("euro"), "document_id").select("document_id")
+    kept = rows.join(wanted, "document_id", "left_semi")
+    column = installment_column(kept).select("document_id", "column")
+    return kept.join(column, "document_id").filter(F.col("date").isNotNull() & (F.size("amounts") > F.col("column"))).select(
+        "document_id", "chunk_id", F.concat_ws(":", F.col("document_id").cast("string"), F.lit("schedule"), "date").alias("record_key"),
+        F.col("date").alias("record_date"), F.lit("amount").alias("kind"), F.get("amounts", F.col("column")).alias("value_minor"), F.lit("EUR").alias("currency"),
+    )
+
+
+def labelled_schedule(rows: DataFrame, context: DataFrame) -> DataFrame:
+    """(document_id, date, label, value_minor): a schedule row's cells by the labelled line that has its printed date.
+
+    rows: document_id, date; context: document_id, line (cells ``label: value`` between pipes).
+    """
+    written = F.date_format(F.to_date("date"), "dd.MM.yyyy")
+    named = rows.select("document_id", "date", written.alias("written")).distinct()
+    line = F.regexp_extract("line", r"\b(\d{2}\.\d{2}\.\d{4})\b", 1)
+    lines = context.select("document_id", line.alias("written"), "line").filter("written <> ''")
+    cells = named.join(lines, ["document_id", "written"]).select("document_id", "date", F.explode(numbers.labelled_cells(F.col("line"))).alias("c"))
+    amount = r"^\d{1,3}(?:[\s  ]\d{3})*,\d{2}(?:\s*€)?$"
+    return cells.filter(F.col("c.value").rlike(amount)).select(
+        "document_id", "date", F.col("c.label").alias("label"), F.regexp_replace("c.value", r"\D", "").cast("long").alias("value_minor")
+    )
+
+
 def representatives(facts: DataFrame) -> DataFrame:
     """One fact for each record, by the order of roles."""
     order = F.coalesce(*[F.when(F.col("kind") == k, i) for i, k in enumerate(REPRESENTATIVE)], F.lit(len(REPRESENTATIVE)))
@@ -171,3 +215,11 @@ def bound_amounts(lines: DataFrame, terms: DataFrame) -> DataFrame:
     by_term = Window.partitionBy("line_id", "term").orderBy("distance", "a.at")
     best = pairs.withColumn("_r", F.row_number().over(by_amount)).filter("_r = 1").withColumn("_t", F.row_number().over(by_term))
     return best.filter("_t = 1").select("line_id", "term", F.col("a.value_minor").alias("value_minor"), "distance")
+
+
+def extreme_series_date(rows: DataFrame, group: str, date: str) -> DataFrame:
+    """(group, first_date, last_date) of groups with two different dates or more."""
+    made = rows.filter(F.col(date).isNotNull()).groupBy(group).agg(
+        F.min(date).alias("first_date"), F.max(date).alias("last_date"), F.countDistinct(date).alias("n")
+    )
+    return made.filter("n >= 2").drop("n")

@@ -35,6 +35,45 @@ def retrieval_metrics(rows: DataFrame) -> DataFrame:
     )
 
 
+def judged_metrics(queries: DataFrame, judged: DataFrame) -> DataFrame:
+    """The same means as ``retrieval_metrics``, of judged results instead of arrays of expected ids.
+
+    queries: query_id, n_expected, answerable; judged: query_id, rank, right: a row for each result. So a question with
+    many right answers carries none of them along.
+    """
+    top = judged.filter(F.col("rank") <= 10)
+    ok, rank = F.col("right"), F.col("rank")
+    hits = lambda k: F.count_if(ok & (rank <= k))
+    per = top.groupBy("query_id").agg(
+        hits(1).alias("h1"), hits(5).alias("h5"), hits(10).alias("h10"), F.min(F.when(ok, rank)).alias("first"),
+        F.coalesce(F.sum(F.when(ok, 1 / F.log2(rank + 1))), F.lit(0.0)).alias("gains"),
+    )
+    ideal = F.get(F.array(*[F.lit(sum(1 / math.log2(i + 2) for i in range(n))) for n in range(11)]), F.least("n_expected", F.lit(10)).cast("int"))
+    every = queries.join(per, "query_id", "left").select(
+        "answerable", F.col("h1").isNull().alias("silent"), *(F.coalesce(F.col(f"h{k}") / F.col("n_expected"), F.lit(0.0)).alias(f"r{k}") for k in (1, 5, 10)),
+        (F.least(F.lit(1), "n_expected") / F.col("n_expected")).alias("ceiling"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("rr"),
+        F.when(ideal > 0, F.coalesce("gains", F.lit(0.0)) / ideal).alias("ndcg"),
+    )
+    mean = lambda c: F.round(F.avg(F.when(F.col("answerable"), F.col(c))), 6)
+    return every.agg(
+        F.count_if("answerable").alias("queries"), mean("r1").alias("recall_1"), mean("ceiling").alias("recall_1_ceiling"),
+        mean("r5").alias("recall_5"), mean("r10").alias("recall_10"), mean("rr").alias("mrr_10"), mean("ndcg").alias("ndcg_10"),
+        F.round(F.avg(F.when(~F.col("answerable"), F.col("silent").cast("double"))), 6).alias("negative_precision"),
+    )
+
+
+def evidence_recall(expected: DataFrame, retrieved: DataFrame, unit: str = "document_id") -> DataFrame:
+    """Over documents: cases, mean share of a case's expected units that it retrieved, and share of complete cases.
+
+    expected, retrieved: query_id and ``unit``; a case without expected units doesn't count.
+    """
+    want, got = expected.select("query_id", unit).distinct(), retrieved.select("query_id", unit).distinct().withColumn("_got", F.lit(1))
+    per = want.join(got, ["query_id", unit], "left").groupBy("query_id").agg((F.count("_got") / F.count("*")).alias("share"))
+    return per.agg(
+        F.count("*").alias("cases"), F.round(F.avg("share"), 6).alias("evidence_recall"), F.round(F.avg((F.col("share") == 1).cast("double")), 6).alias("complete"),
+    )
+
+
 def first_ranks(rows: DataFrame, cuts: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
     """Hit at k and mean reciprocal rank over queries, of (query_id, first_rank or null)."""
     n = F.count("*")

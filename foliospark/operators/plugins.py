@@ -83,8 +83,7 @@ def prototypes(vectors: DataFrame, labelled: DataFrame, floor: float = 0.62, mar
     """query_id, label, score: the class of largest cosine, null below the floor or within the margin of the next."""
     from foliospark.operators.retrieval import nearest
 
-    near = nearest(labelled.select("id", "embedding"), vectors, "id", 1 << 30).join(labelled.select("id", "label"), "id")
-    best = near.groupBy("query_id", "label").agg(F.max("score").alias("score"))
+    best = nearest(labelled, vectors, "id", 1, also="label", each=1)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "label")
     first = best.withColumns({"n": F.row_number().over(w), "next": F.lead("score").over(w)}).filter("n = 1")
     sure = (F.col("score") >= floor) & (F.coalesce(F.col("score") - F.col("next"), F.lit(1.0)) >= margin)

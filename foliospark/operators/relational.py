@@ -105,10 +105,10 @@ def interleaved(lists: DataFrame, ranks: int = 16, most: int = 16) -> DataFrame:
 
 
 def active_versions(messages: DataFrame) -> DataFrame:
-    """The latest message of each version group; messages without a group stay."""
+    """The latest message of each version group; messages without a group stay, and pass the window by."""
     w = Window.partitionBy("version_group").orderBy(F.desc("created_at"), F.desc("id"))
-    latest = messages.withColumn("_n", F.row_number().over(w))
-    return latest.filter(F.col("version_group").isNull() | (F.col("_n") == 1)).drop("_n")
+    grouped = messages.filter("version_group IS NOT NULL").withColumn("_n", F.row_number().over(w))
+    return messages.filter("version_group IS NULL").unionByName(grouped.filter("_n = 1").drop("_n"))
 
 
 def repeated_share(df: DataFrame, key: list[str], item: str) -> DataFrame:
@@ -128,6 +128,35 @@ def wilson(df: DataFrame, successes: str, trials: str, z: float = 1.959963984540
     return df.withColumns({"share": F.round(p, 6), "low": bound(middle - spread), "high": bound(middle + spread)})
 
 
-def nearest_rank(df: DataFrame, group: list[str], value: str, share: float, name: str) -> DataFrame:
-    """The value at place ceil(share * n) of the sorted ones, not interpolated."""
-    return df.groupBy(*group).agg(F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {value})").alias(name))
+def nearest_rank(df: DataFrame, group: list[str], value: str, share: float, name: str, blocks: int = 256) -> DataFrame:
+    """The value at place ceil(share * n) of the sorted ones, not interpolated; null values don't count.
+
+    Equal values are counted first. Sums over blocks of the range between a group's smallest and largest value tell which
+    block holds the place, so that a task sorts the different values of one block, not of a group.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    span = counts.groupBy(*group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_all"))
+    wide = F.col("_hi").cast("double") - F.col("_lo").cast("double")
+    at = F.when(wide > 0, F.floor((F.col("_v").cast("double") - F.col("_lo").cast("double")) / wide * blocks)).otherwise(F.lit(0)).cast("long")
+    placed = counts.join(span, group).withColumn("_b", at)
+    sums = placed.groupBy(*group, "_b").agg(F.sum("_n").alias("_in"), F.first("_all").alias("_all"))
+    before = F.sum("_in").over(Window.partitionBy(*group).orderBy("_b")) - F.col("_in")
+    wanted = F.ceil(F.col("_all") * share)
+    chosen = sums.withColumns({"_before": before, "_want": wanted}).filter("_before < _want AND _want <= _before + _in")
+    inside = placed.join(chosen.select(*group, "_b", "_before", "_want"), [*group, "_b"])
+    reached = F.col("_before") + F.sum("_n").over(Window.partitionBy(*group, "_b").orderBy("_v"))
+    return inside.withColumn("_r", reached).filter("_r >= _want").groupBy(*group).agg(F.min("_v").alias(name))
+
+
+def unique_tokens(names: DataFrame) -> DataFrame:
+    """(token, document_id): tokens of three letters or more, not numbers, that one document's name has alone."""
+    words = F.array_distinct(F.filter(F.split(F.lower("name"), r"[^\p{L}\p{N}]+"), lambda t: (F.length(t) >= 3) & ~t.rlike(r"^\d+$")))
+    each = names.select("document_id", F.explode(words).alias("token"))
+    once = each.groupBy("token").agg(F.count("*").alias("n"), F.min("document_id").alias("document_id"))
+    return once.filter("n = 1").select("token", "document_id")
+
+
+def referenced(questions: DataFrame, names: DataFrame) -> DataFrame:
+    """(query_id, document_id): documents of which a question has a token that no other document's name has."""
+    asked = questions.select("query_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("token"))
+    return asked.join(unique_tokens(names), "token").select("query_id", "document_id").distinct()

@@ -2,8 +2,20 @@
 
 from __future__ import annotations
 
-from foliospark.functions.numbers import DATE_OR_TIME, NUMBER_RUN
-from foliospark.functions.text import ENGLISH_STOPS, FRENCH_STOPS
+#: The grammar of numbers, and the function words of both languages, written out again here.
+NUMBER_RUN = (
+    r"\d{1,4}[./-]\d{1,2}[./-]\d{2,4}|\d{1,2}[:h]\d{2}|\d{1,3}(?:,\d{3}){2,}"
+    r"|\d{1,3}(?:[ \x{00A0}\x{202F}]\d{3})*[.,]\d+|\d{1,4}(?:[ \x{00A0}\x{202F}]\d{3})+|\d+"
+)
+DATE_OR_TIME = r"^(\d{1,4}[./-]\d{1,2}[./-]\d{2,4}|\d{1,2}[:h]\d{2})$"
+_FR = (
+    "le la les un une des du de et est sont dans pour que qui pas sur avec ce cette ses son sa mais ou où donc car ne se au aux par plus "
+    "sans être avoir été fait comme tout tous elle il ils nous vous leur leurs"
+).split()
+_EN = (
+    "the a an and is are in for that which not on with this these its his her but or so because no be have been done as all every she he "
+    "they we you their of to from at by it was were will would can could"
+).split()
 
 _EVENTS = """WITH pe AS (SELECT event_id AS id, user_id AS chat_id, CASE WHEN event_type = 'view' THEN 'device' ELSE event_type END AS destination,
   floor(value)::BIGINT AS bytes_sent, ts AS created_at FROM events)"""
@@ -82,18 +94,19 @@ ORACLES: dict[str, str] = {
         u AS (SELECT answer_id, list_sort(list_distinct(list_filter(said, lambda n: NOT list_contains(have, n) AND NOT (try_cast(n AS INT) BETWEEN 0 AND 20 AND n = try_cast(n AS INT)::VARCHAR)))) AS missing FROM z)
         SELECT answer_id, array_to_string(missing, ',') AS unsupported, len(missing) = 0 AS grounded FROM u""",
     "decomposed_totals": _decomposed(),
-    "char_grams": f"""WITH n AS (SELECT item_id AS query_id, {_NORMAL.format(t="substring(text, 1, 80)")} AS t FROM benchmark),
+    "char_grams": f"""WITH n AS (SELECT item_id AS query_id, {_NORMAL.format(t="text")} AS t FROM benchmark),
         v AS (SELECT query_id, list_filter(list_append(string_split(t, ' '), replace(t, ' ', '')), lambda w: w <> '') AS ws FROM n),
         w AS (SELECT query_id, k, '^' || ws[k] || '$' AS w FROM v, unnest(range(1, len(ws) + 1)) AS u(k)),
         g AS (SELECT query_id, substring(w, i, 3) AS gram, min(k * 100000 + i) AS place FROM w, unnest(range(1, greatest(length(w) - 2, 1) + 1)) AS u(i) GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS n FROM g)
         SELECT query_id, string_agg(gram, ' ' ORDER BY place) AS grams FROM r WHERE n <= 768 GROUP BY 1""",
-    "text_quality": r"""WITH t AS (SELECT doc_id, text, length(text) AS n, length(text) - length(regexp_replace(text, '\s', '', 'g')) AS blank,
-          length(text) - length(regexp_replace(text, '[\x00\x{FFFD}]', '', 'g')) AS odd, length(text) - length(regexp_replace(text, '\p{L}', '', 'g')) AS letters,
-          list_transform(regexp_split_to_array(text, '\s+'), lambda w: length(w)) AS runs FROM documents),
-        q AS (SELECT *, coalesce(list_max(runs), 0) AS longest, coalesce(list_sum(list_filter(runs, lambda k: k >= 24)), 0) AS in_long FROM t)
-        SELECT doc_id, CASE WHEN length(trim(text)) < 50 THEN 'sparse' WHEN odd >= 3 AND odd >= n * 0.005 THEN 'unmapped'
-          WHEN letters >= 50 AND blank < n * 0.06 AND (in_long >= n * 0.2 OR longest >= 64) THEN 'joined' ELSE 'usable' END AS quality FROM q""",
+    "text_quality": r"""WITH t AS (SELECT doc_id, regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS t FROM documents),
+        q AS (SELECT doc_id, length(t) AS n, len(regexp_extract_all(t, '\p{L}')) AS letters, len(regexp_extract_all(t, '[\s\p{Z}]')) AS blank,
+          len(regexp_extract_all(t, '[\x{0000}\x{FFFD}]')) AS odd, len(regexp_extract_all(t, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]')) AS unspaced,
+          list_transform(regexp_extract_all(t, '\p{L}{24,}'), lambda w: length(w)) AS runs FROM t)
+        SELECT doc_id, CASE WHEN n < 50 THEN 'sparse' WHEN odd >= 3 AND odd >= n * 0.005 THEN 'unmapped'
+          WHEN letters >= 50 AND unspaced / letters < 0.2 AND blank < n * 0.06
+            AND (coalesce(list_sum(runs), 0) >= letters * 0.2 OR coalesce(list_max(runs), 0) >= 64) THEN 'joined' ELSE 'usable' END AS quality FROM q""",
     "retrieval_metrics": f"""{_COSINE}, g AS (SELECT query_id, list(vec_id ORDER BY rank) AS got FROM near WHERE rank <= 10 GROUP BY 1),
         l AS (SELECT label, list(vec_id) AS want FROM embeddings GROUP BY 1),
         j AS (SELECT got, want, e.label > 0 AS ok FROM g JOIN embeddings e ON e.vec_id = g.query_id JOIN l USING (label)),
@@ -121,7 +134,7 @@ ORACLES: dict[str, str] = {
     "documents_replaced": "SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN 'review' ELSE source END AS source FROM documents",
     "documents_deleted": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
     "neighbors_radius1": f"""{_MESSAGES} SELECT DISTINCT c.document_id, c.seq FROM m c JOIN m a ON c.document_id = a.document_id AND c.seq BETWEEN a.seq - 1 AND a.seq + 1
-        WHERE a.role = 'user' AND a.seq % 4 = 0""",
+        WHERE a.role = 'user'""",
     "nearest_anchor": f"""{_MESSAGES}, r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY length(text) DESC, seq) AS rank FROM m),
         j AS (SELECT c.document_id, c.seq, a.seq AS anchor_seq, a.rank AS anchor_rank, row_number() OVER (PARTITION BY c.document_id, c.seq ORDER BY a.rank, a.seq) AS k
           FROM m c JOIN r a ON c.document_id = a.document_id AND abs(c.seq - a.seq) <= 2 AND a.rank <= 2)
@@ -133,7 +146,7 @@ ORACLES: dict[str, str] = {
         g AS (SELECT document_id, island, min(char_start) AS lo, max(char_end) AS hi FROM k GROUP BY ALL)
         SELECT document_id, sum(hi - lo)::BIGINT AS covered, count(*) AS islands FROM g GROUP BY 1""",
     "page_leads": f"{_MESSAGES} SELECT document_id, role, min(seq) AS seq FROM m GROUP BY 1, 2",
-    "facts_left_chunks": "SELECT o_orderkey, l_linenumber FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_quantity > 45",
+    "facts_left_chunks": "SELECT o_orderkey, l_linenumber FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey",
     "egress_citations": """SELECT DISTINCT l_partkey, event_type AS destination FROM events JOIN orders ON user_id = o_custkey JOIN lineitem ON o_orderkey = l_orderkey
         WHERE event_type <> 'view'""",
     "scope_semi": "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
@@ -157,9 +170,9 @@ ORACLES: dict[str, str] = {
         FROM m WINDOW w AS (PARTITION BY document_id ORDER BY seq)""",
     "dedup_sha256": "SELECT sha256(text) AS hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
     "normalize_text": f"SELECT doc_id, sha256({_NORMAL.format(t='text')}) AS normalized FROM documents",
-    "language_detect": f"""WITH w AS (SELECT doc_id, list_filter(string_split({_NORMAL.format(t="substring(text, 1, 2500)")}, ' '), lambda x: length(x) >= 1) AS ws FROM documents),
-        s AS (SELECT doc_id, len(ws) AS n, len(list_filter(ws, lambda x: x IN ({_stops(FRENCH_STOPS)}))) / len(ws) AS fr, len(list_filter(ws, lambda x: x IN ({_stops(ENGLISH_STOPS)}))) / len(ws) AS en FROM w)
-        SELECT doc_id, CASE WHEN n < 10 THEN NULL WHEN fr >= 0.05 AND fr >= en * 1.3 THEN 'fr' WHEN en >= 0.05 AND en >= fr * 1.3 THEN 'en' END AS detected FROM s""",
+    "language_detect": f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(substring(text, 1, 2500)), '[^\\p{{L}}'']+'), lambda x: x <> '') AS ws FROM documents),
+        s AS (SELECT doc_id, len(ws) AS n, len(list_filter(ws, lambda x: x IN ({_stops(_FR)}))) AS fr, len(list_filter(ws, lambda x: x IN ({_stops(_EN)}))) AS en FROM w)
+        SELECT doc_id, CASE WHEN n < 10 OR fr + en < n * 0.05 THEN NULL WHEN fr > en * 1.3 THEN 'fr' WHEN en > fr * 1.3 THEN 'en' END AS detected FROM s""",
     "byte_counts": "SELECT source, sum(strlen(text))::BIGINT AS bytes, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1",
     "identifiers": f"""{_INVOICES} SELECT document_id, record_id || ',' || strftime(record_date::DATE, '%d/%m/%Y') AS found FROM i""",
     "overlap_near_dup": """WITH t AS (SELECT p_partkey, p_brand, list_distinct(string_split(lower(p_name), ' ')) AS ts FROM part),
@@ -168,19 +181,37 @@ ORACLES: dict[str, str] = {
         SELECT p_partkey, twin, round(overlap, 6) AS overlap FROM o WHERE overlap >= 0.85""",
     "repeated_lines": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
         SELECT doc_id, count(line) AS items, count(DISTINCT line) AS kinds, round(1 - count(DISTINCT line) / greatest(count(line), 1), 6) AS repeated FROM l GROUP BY 1""",
-    "token_df1": """WITH t AS (SELECT p_brand, unnest(string_split(lower(p_name), ' ')) AS token FROM part)
-        SELECT token, min(p_brand) AS brand FROM t GROUP BY 1 HAVING count(DISTINCT p_brand) = 1""",
+    "token_df1": """WITH t AS (SELECT DISTINCT c_custkey AS document_id, unnest(string_split(lower(replace(c_name, '#', '') || ' ' || c_mktsegment), ' ')) AS token FROM customer)
+        SELECT token, min(document_id) AS document_id FROM t WHERE length(token) >= 3 AND NOT regexp_full_match(token, '[0-9]+') GROUP BY 1 HAVING count(*) = 1""",
+    "referenced_documents": """SELECT o_orderkey AS query_id, o_custkey AS document_id FROM orders JOIN customer ON o_custkey = c_custkey""",
+    "hybrid_search": f"""{_CHANNELS}, f AS (SELECT query_id, l_partkey, round(sum(1.0 / (60 + rank)), 8) AS score, count(*) AS channels
+        FROM ch WHERE rank <= 60 AND k IN ('a', 'b') GROUP BY 1, 2),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, l_partkey) AS rank FROM f) SELECT query_id, l_partkey, score, channels, rank FROM r WHERE rank <= 8""",
+    "channel_ablation": f"""{_CHANNELS}, v(without) AS (VALUES (''), ('a'), ('b'), ('c')),
+        f AS (SELECT without, query_id, l_partkey, round(sum(1.0 / (60 + rank)), 8) AS score, count(*) AS channels FROM ch, v WHERE rank <= 60 AND k <> without GROUP BY 1, 2, 3),
+        r AS (SELECT *, row_number() OVER (PARTITION BY without, query_id ORDER BY score DESC, l_partkey) AS rank FROM f)
+        SELECT without, query_id, l_partkey, score, channels, rank FROM r WHERE rank <= 16""",
+    "coverage_features": f"""WITH c AS (SELECT doc_id AS id, list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: t <> '') AS ts FROM documents),
+        q AS (SELECT item_id AS query_id, list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: t <> '') AS ts FROM benchmark)
+        {_BM25}, h AS (SELECT r.query_id, r.id, list_filter(q.ts, lambda t: length(t) >= 3) AS a, list_filter(c.ts, lambda t: length(t) >= 3) AS b
+          FROM r JOIN q USING (query_id) JOIN c USING (id) WHERE rank <= 3),
+        g AS (SELECT *, list_distinct(a) AS w, list_distinct(list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1])) AS ap,
+          list_distinct(list_transform(range(1, len(b)), lambda i: b[i] || ' ' || b[i + 1])) AS bp FROM h),
+        x AS (SELECT *, list_transform(w, lambda t: CASE WHEN regexp_matches(t, '[0-9]') OR length(t) >= 6 THEN 2 ELSE 1 END) AS weights,
+          list_transform(w, lambda t: CASE WHEN NOT list_contains(b, t) THEN 0 WHEN regexp_matches(t, '[0-9]') OR length(t) >= 6 THEN 2 ELSE 1 END) AS got FROM g)
+        SELECT query_id, id AS doc_id, round(coalesce(list_sum(got) / list_sum(weights), 0), 6) AS coverage,
+          round(coalesce(len(list_intersect(ap, bp)) / nullif(len(ap), 0), 0), 6) AS bigrams FROM x""",
     "source_labels": f"""{_MESSAGES}, f AS (SELECT document_id, role, min(seq) AS first FROM m GROUP BY ALL)
         SELECT document_id, role, 'Document ' || dense_rank() OVER (PARTITION BY document_id ORDER BY first, role) AS label FROM f""",
     "markdown_export": f"""{_MESSAGES} SELECT document_id, sha256(string_agg('**' || role || '**' || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY seq, role, text)) AS markdown
         FROM m GROUP BY 1""",
     "event_props": "SELECT json_extract_string(props, '$.k') AS k, count(*) AS events FROM events GROUP BY 1",
     "topk_bm25": f"""WITH c AS (SELECT doc_id AS id, list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: t <> '') AS ts FROM documents),
-        q AS (SELECT item_id AS query_id, list_filter(string_split(trim(regexp_replace(lower(substring(text, 1, 80)), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: t <> '') AS ts FROM benchmark)
+        q AS (SELECT item_id AS query_id, list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: t <> '') AS ts FROM benchmark)
         {_BM25} SELECT query_id, id AS doc_id, score, rank FROM r WHERE rank <= 10""",
     "topk_gram": f"""WITH x AS (SELECT p_partkey AS id, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS t FROM part),
         c AS (SELECT id, list_transform(range(1, greatest(length(t) - 2, 1) + 1), lambda i: substring(t, i, 3)) AS ts FROM x),
-        y AS (SELECT p_partkey AS query_id, regexp_replace(lower(substring(p_name, 1, 3) || 'x' || substring(p_name, 5, 60)), '[^a-z0-9]+', '', 'g') AS t FROM part WHERE p_partkey % 20 = 0),
+        y AS (SELECT p_partkey AS query_id, regexp_replace(lower(substring(p_name, 1, 3) || 'x' || substring(p_name, 5)), '[^a-z0-9]+', '', 'g') AS t FROM part WHERE p_partkey % 20 = 0),
         q AS (SELECT query_id, list_transform(range(1, greatest(length(t) - 2, 1) + 1), lambda i: substring(t, i, 3)) AS ts FROM y)
         {_BM25} SELECT query_id, id AS p_partkey, score, rank FROM r WHERE rank <= 10""",
     "topk_cosine": f"{_COSINE} SELECT query_id, vec_id, score, rank FROM near WHERE rank <= 10",

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliospark.functions import features, numbers, text
-from foliospark.operators import evidence, facts, ledger, metrics, relational, retrieval
+from foliospark.functions import features, numbers, relevance, text
+from foliospark.operators import evidence, facts, ledger, metrics, refine, relational, retrieval
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,7 +65,7 @@ def messages(spark, sf_dir) -> DataFrame:
 
 def questions(spark, sf_dir) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
-    return b.select(F.col("item_id").alias("query_id"), F.substring("text", 1, 80).alias("text"))
+    return b.select(F.col("item_id").alias("query_id"), "text")
 
 
 def corpus(spark, sf_dir) -> DataFrame:
@@ -140,7 +140,7 @@ def documents_deleted(spark, sf_dir):
 
 def neighbors_radius1(spark, sf_dir):
     m = messages(spark, sf_dir)
-    anchors = m.filter((F.col("role") == "user") & (F.col("seq") % 4 == 0))
+    anchors = m.filter(F.col("role") == "user")
     return relational.neighbours(m, anchors, 1).select("document_id", "seq")
 
 
@@ -175,7 +175,7 @@ def page_leads(spark, sf_dir):
 
 
 def facts_left_chunks(spark, sf_dir):
-    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").filter("l_quantity > 45")
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     return o.join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "l_linenumber")
 
 
@@ -296,10 +296,18 @@ def repeated_lines(spark, sf_dir):
 
 
 def token_df1(spark, sf_dir):
-    """Names of parts' tokens that belong to one brand only."""
-    p = table(spark, sf_dir, "part").select("p_brand", F.explode(F.split(F.lower("p_name"), " ")).alias("token"))
-    once = p.groupBy("token").agg(F.countDistinct("p_brand").alias("brands"), F.min("p_brand").alias("brand"))
-    return once.filter("brands = 1").select("token", "brand")
+    """Tokens that one document's name has alone: customers' names and market segments as names of documents."""
+    c = table(spark, sf_dir, "customer")
+    names = c.select(F.col("c_custkey").alias("document_id"), F.concat_ws(" ", F.translate("c_name", "#", ""), "c_mktsegment").alias("name"))
+    return relational.unique_tokens(names)
+
+
+def referenced_documents(spark, sf_dir):
+    """Documents that a question names by a token of theirs alone: one question for each order, which names its customer."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    names = c.select(F.col("c_custkey").alias("document_id"), F.concat_ws(" ", F.translate("c_name", "#", ""), "c_mktsegment", F.concat(F.lit("dossier"), F.col("c_custkey").cast("string"))).alias("name"))
+    asked = o.select(F.col("o_orderkey").alias("query_id"), F.concat(F.lit("Que dit le dossier"), F.col("o_custkey").cast("string"), F.lit(" du segment building ?")).alias("text"))
+    return relational.referenced(asked, names)
 
 
 def source_labels(spark, sf_dir):
@@ -324,11 +332,13 @@ def event_props(spark, sf_dir):
 # Search
 
 
+def _words():
+    return F.filter(F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), " "), lambda t: t != "")
+
+
 def topk_bm25(spark, sf_dir, top: int = 10):
-    c = corpus(spark, sf_dir)
-    terms = F.filter(F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), " "), lambda t: t != "")
-    q = retrieval.query_terms(questions(spark, sf_dir), terms)
-    return retrieval.bm25(retrieval.postings(c, "doc_id", terms), q, "doc_id", retrieval.corpus_size(c, terms), top)
+    index, size = retrieval.index(corpus(spark, sf_dir), "doc_id", _words())
+    return retrieval.bm25(index, retrieval.query_terms(questions(spark, sf_dir), _words()), "doc_id", size, top)
 
 
 def _grams():
@@ -337,9 +347,12 @@ def _grams():
 
 
 def topk_gram(spark, sf_dir, top: int = 10):
+    """Names with their fourth letter mistyped, against all names."""
     c = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("text"))
-    q = c.filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), F.concat(F.substring("text", 1, 3), F.lit("x"), F.substring("text", 5, 60)).alias("text"))
-    return retrieval.bm25(retrieval.postings(c, "p_partkey", _grams()), retrieval.query_terms(q, _grams()), "p_partkey", retrieval.corpus_size(c, _grams()), top)
+    mistyped = F.concat(F.substring("text", 1, 3), F.lit("x"), F.expr("substring(text, 5)"))
+    q = c.filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), mistyped.alias("text"))
+    index, size = retrieval.index(c, "p_partkey", _grams())
+    return retrieval.bm25(index, retrieval.query_terms(q, _grams()), "p_partkey", size, top)
 
 
 def topk_cosine(spark, sf_dir, top: int = 10):
@@ -380,26 +393,52 @@ def prototype_classes(spark, sf_dir):
     """Label by the mean of the two nearest labelled vectors of each class, and its margin over the next."""
     e = table(spark, sf_dir, "embeddings")
     held = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    proto = e.filter("vec_id % 20 <> 0")
-    near = retrieval.nearest(proto, held, "vec_id", 1 << 30).join(proto.select("vec_id", "label"), "vec_id")
-    w = Window.partitionBy("query_id", "label").orderBy(F.desc("score"), "vec_id")
-    top2 = near.withColumn("n", F.row_number().over(w)).filter("n <= 2").groupBy("query_id", "label").agg(F.round(F.avg("score") + 1e-9, 6).alias("score"))
-    r = Window.partitionBy("query_id").orderBy(F.desc("score"), "label")
-    made = top2.withColumns({"n": F.row_number().over(r), "next": F.lead("score").over(r)}).filter("n = 1")
-    return made.select("query_id", "label", "score", F.round(F.col("score") - F.col("next"), 6).alias("margin"))
+    return retrieval.prototypes(e.filter("vec_id % 20 <> 0"), held, "vec_id", "label")
+
+
+def hybrid_search(spark, sf_dir, top: int = 8):
+    """Fusion of two channels, the best eight."""
+    a, b, _ = _three_channels(spark, sf_dir)
+    return retrieval.hybrid(a, b, "l_partkey", top)
+
+
+def channel_ablation(spark, sf_dir, top: int = 16):
+    a, b, c = _three_channels(spark, sf_dir)
+    return retrieval.ablated({"a": a, "b": b, "c": c}, "l_partkey", top)
+
+
+def _hits(spark, sf_dir, top: int = 3):
+    """The best documents of each benchmark question, with both texts."""
+    d = corpus(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("passage"))
+    q = questions(spark, sf_dir).select("query_id", F.col("text").alias("query"))
+    return topk_bm25(spark, sf_dir, top).join(q, "query_id").join(d, "doc_id")
 
 
 def coverage_features(spark, sf_dir):
-    """Features of benchmark questions against the documents of the same number."""
-    q = questions(spark, sf_dir).withColumnRenamed("text", "query")
-    d = corpus(spark, sf_dir).select(F.col("doc_id").alias("query_id"), F.col("text").alias("passage"))
-    pairs = q.join(d, "query_id")
-    return pairs.select(
-        "query_id", F.round(features.query_coverage(F.col("query"), F.col("passage")), 6).alias("coverage"),
-        F.round(features.bigram_coverage(F.col("query"), F.col("passage")), 6).alias("bigrams"),
+    """Word and bigram coverage of benchmark questions by the three documents that match them best, whole texts."""
+    terms = lambda c: F.filter(F.split(F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")), " "), lambda t: F.length(t) >= 3)
+    pairs = lambda t: F.transform(F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", F.get(t, i), x))
+    hits = _hits(spark, sf_dir).withColumns({"q": terms(F.col("query")), "p": terms(F.col("passage"))})
+    share = lambda a, b: F.round(features.share(F.size(F.array_intersect(a, b)), F.size(F.array_distinct(a))), 6)
+    return hits.select(
+        "query_id", "doc_id", F.round(features.weighted_share(F.col("q"), F.col("p")), 6).alias("coverage"),
+        text.let(pairs(F.col("q")), lambda a: share(a, pairs(F.col("p")))).alias("bigrams"),
     )
 
 
+def relevance_features(spark, sf_dir):
+    """Every relevance feature of benchmark questions and the three documents that match them best."""
+    made = _hits(spark, sf_dir).select("query_id", "doc_id", relevance.feature_columns(F.col("query"), F.lit(""), F.lit(""), F.col("passage")).alias("f"))
+    return made.select("query_id", "doc_id", "f.*")
+
+
+def refined_order(spark, sf_dir):
+    """The refined order of the ten best documents of each question."""
+    hits = _hits(spark, sf_dir, 10).select("query_id", "query", F.col("doc_id").alias("chunk_id"), F.lit("").alias("document_name"), F.lit("").alias("heading"),
+                                           F.col("passage").alias("text"), "score", "rank", F.lit("words").alias("channel"))
+    return refine.refined(hits).select("query_id", "chunk_id", "refined", "place")
+
+
 def weak_matches(spark, sf_dir):
     made = rrf_fusion(spark, sf_dir)
     return retrieval.gate(made, 0.04)
@@ -488,13 +527,11 @@ def identifier_conflicts(spark, sf_dir):
 
 def retrieval_metrics(spark, sf_dir):
     """Nearest vectors judged by label; queries of label 0 count as unanswerable."""
-    e = table(spark, sf_dir, "embeddings")
-    found = topk_cosine(spark, sf_dir).groupBy("query_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda r: r["vec_id"]).alias("retrieved")
-    )
-    labels = e.groupBy("label").agg(F.collect_set("vec_id").alias("expected"))
-    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label").join(labels, "label")
-    return metrics.retrieval_metrics(q.join(found, "query_id").select("query_id", "expected", "retrieved", (F.col("label") > 0).alias("answerable")))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    queries = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", (F.col("label") > 0).alias("answerable"))
+    judged = topk_cosine(spark, sf_dir).select("query_id", "vec_id", "rank").join(e, "vec_id").select("query_id", "rank", F.col("label").alias("found"))
+    wanted = e.groupBy("label").agg(F.count("*").alias("n_expected"))
+    return metrics.judged_metrics(queries.join(wanted, "label"), judged.join(queries.select("query_id", "label"), "query_id").select("query_id", "rank", (F.col("found") == F.col("label")).alias("right")))
 
 
 def wilson(spark, sf_dir):

@@ -4,25 +4,42 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def write_version(tables: dict[str, DataFrame], root: str) -> str:
-    """Writes all tables under a new version and then its pointer, so that readers see all of them or none."""
+    """Writes all tables under a new version and then its pointer, so that readers see all of them or none.
+
+    Versions are numbered; the current one is that of the largest number (of two writers at once, of the larger id).
+    """
     version = uuid.uuid4().hex
     spark = None
     for name, df in tables.items():
         df.write.parquet(f"{root}/versions/{version}/{name}")
         spark = df.sparkSession
     if spark is not None:
-        spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").parquet(f"{root}/pointer")
+        number = (_newest(spark, root) or (0, ""))[0] + 1
+        spark.createDataFrame([(number, version)], "number long, version string").coalesce(1).write.mode("append").parquet(f"{root}/pointer")
     return version
 
 
-def current(spark: SparkSession, root: str) -> str:
-    newest = spark.read.parquet(f"{root}/pointer").select("version", F.col("_metadata.file_modification_time").alias("at"))
-    return newest.orderBy(F.desc("at"), F.desc("version")).first().version
+def _newest(spark: SparkSession, root: str) -> tuple[int, str] | None:
+    try:
+        pointers = spark.read.schema("number long, version string").parquet(f"{root}/pointer")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    row = pointers.agg(F.max(F.struct("number", "version")).alias("m")).first().m
+    return (row.number, row.version) if row else None
+
+
+def current(spark: SparkSession, root: str) -> str | None:
+    """The current version; None before the first."""
+    newest = _newest(spark, root)
+    return newest[1] if newest else None
 
 
 def read_version(spark: SparkSession, root: str, name: str) -> DataFrame:

@@ -55,18 +55,21 @@ def lifecycle(changes: DataFrame) -> DataFrame:
 
 
 def keep_current(path: str, merge):
-    """A foreachBatch function that merges each batch into a table: read, ``merge(state, batch)``, write a new version."""
+    """A foreachBatch function that merges each batch into a table: read, ``merge(state, batch)``, write a new version.
+
+    The last epoch is written with the state; a batch that is replayed after a failure is merged once.
+    """
 
     def step(batch: DataFrame, epoch: int) -> None:
         from foliospark.sources import exports
 
         spark = batch.sparkSession
-        try:
-            state = exports.read_version(spark, path, "state")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        if exports.current(spark, path) is None:
             state = spark.createDataFrame([], batch.schema)
-        exports.write_version({"state": merge(state, batch)}, path)
+        else:
+            if exports.read_version(spark, path, "epoch").first().epoch >= epoch:
+                return
+            state = exports.read_version(spark, path, "state")
+        exports.write_version({"state": merge(state, batch), "epoch": spark.createDataFrame([(int(epoch),)], "epoch long")}, path)
 
     return step
