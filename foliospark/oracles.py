@@ -170,6 +170,41 @@ ORACLES: dict[str, str] = {
         FROM m WINDOW w AS (PARTITION BY document_id ORDER BY seq)""",
     "dedup_sha256": "SELECT sha256(text) AS hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
     "normalize_text": f"SELECT doc_id, sha256({_NORMAL.format(t='text')}) AS normalized FROM documents",
+    "scoped_chunks": """WITH d AS (SELECT DISTINCT conv_id FROM conversations WHERE length(conv_id::VARCHAR) % 2 = 1 AND conv_id IN (SELECT conv_id FROM conversations WHERE role = 'assistant'))
+        SELECT conv_id AS document_id, conv_id || '-' || turn AS chunk_id, 'doc ' || conv_id AS document_name, row_number() OVER (PARTITION BY conv_id ORDER BY turn, conv_id || '-' || turn) AS place
+        FROM conversations JOIN d USING (conv_id)""",
+    "citable_page_firsts": """SELECT conv_id AS document_id, floor(turn / 2)::BIGINT AS page, conv_id || '-' || min(turn) AS chunk_id FROM conversations WHERE turn % 5 <> 4 GROUP BY 1, 2""",
+    "talk_messages": "SELECT event_id, nullif(event_type, 'click') AS mode FROM events WHERE event_type <> 'view'",
+    "settings_prefix": "SELECT p_partkey::VARCHAR AS key, p_brand AS value FROM part WHERE p_size > 25 AND p_brand IS NOT NULL",
+    "attached_documents": """SELECT DISTINCT c_custkey AS chat_id, n_nationkey AS document_id, c_name AS title, n_name AS name, o_orderstatus = 'O' AS enabled
+        FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey""",
+    "library_detail": """WITH e AS (SELECT DISTINCT l_suppkey, l_shipdate, l_returnflag FROM lineitem WHERE l_returnflag <> 'N'),
+        r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate DESC, l_returnflag) AS n FROM e),
+        c AS (SELECT l_suppkey, count(DISTINCT l_orderkey) AS chats, count(DISTINCT l_partkey) AS versions FROM lineitem GROUP BY 1)
+        SELECT s_suppkey AS document_id, coalesce(chats, 0) AS chats, coalesce(versions, 0) AS versions, (SELECT count(*) FROM r WHERE l_suppkey = s_suppkey AND n <= 20) AS n_sent,
+          strftime(l_shipdate, '%Y-%m-%d') AS last_sent, l_returnflag AS destination FROM supplier LEFT JOIN c ON c.l_suppkey = s_suppkey LEFT JOIN r ON r.l_suppkey = s_suppkey AND n = 1""",
+    "merged_confidence": "SELECT l_orderkey, round(min(CASE WHEN l_linenumber > 1 THEN 1 - l_discount END), 4) AS ocr_confidence, count(*) AS blocks FROM lineitem GROUP BY 1",
+    "evidence_texts": "SELECT p_partkey, CASE WHEN p_type = p_name THEN p_type ELSE p_type || chr(10) || p_name END AS evidence FROM part",
+    "method_summaries": "SELECT o_orderkey AS message_id, o_orderstatus AS route, (o_custkey % 7)::INT AS passages, o_orderkey % 2 = 0 AS cloud FROM orders",
+    "retrieval_payloads": """SELECT l_orderkey AS message_id, 'order ' || l_orderkey AS query, array_to_string(list_sort(list(DISTINCT l_partkey)), ',') AS chunk_ids
+        FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY 1""",
+    "universal_search": """WITH r AS (SELECT l_suppkey AS q, l_orderkey, l_linenumber, l_returnflag, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM lineitem),
+        m AS (SELECT q, l_orderkey, row_number() OVER (PARTITION BY q ORDER BY rank) AS n FROM r WHERE l_returnflag <> 'R'),
+        c AS (SELECT q AS query_id, 'chat' AS kind, l_orderkey::VARCHAR AS id, min(n) AS n FROM m WHERE n <= 24 GROUP BY 1, 3
+          UNION ALL SELECT q, 'document', l_orderkey || '-' || l_linenumber, rank FROM r),
+        p AS (SELECT query_id, kind, id, row_number() OVER (PARTITION BY query_id, kind ORDER BY n, id) AS place FROM c) SELECT * FROM p WHERE place <= 8""",
+    "repaired_views": """SELECT p_partkey AS chunk_id, CASE WHEN p_size > 25 THEN upper(p_brand) || ' ' || p_name ELSE p_brand || chr(10) || p_name END AS search_text FROM part""",
+    "evidence_recall": """WITH w AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), g AS (SELECT DISTINCT l_orderkey, l_partkey, 1 AS got FROM lineitem WHERE l_returnflag <> 'N'),
+        s AS (SELECT l_orderkey, count(got) / count(*) AS share FROM w LEFT JOIN g USING (l_orderkey, l_partkey) GROUP BY 1)
+        SELECT count(*) AS cases, round(avg(share), 6) AS evidence_recall, round(avg((share = 1)::INT), 6) AS complete FROM s""",
+    "label_value_facts": f"""{_LINES}, c AS (SELECT l_orderkey, l_linenumber, floor(l_extendedprice * 100 + 0.5)::BIGINT AS c FROM li)
+        SELECT l_orderkey AS query_id, 'Position ' || l_linenumber AS label, (c // 100) || ',' || lpad((c % 100)::VARCHAR, 2, '0') || ' €' AS value FROM c""",
+    "extractive_answers": f"""{_LINES}, c AS (SELECT l_orderkey, l_linenumber, floor(l_extendedprice * 100 + 0.5)::BIGINT AS c, count(*) OVER (PARTITION BY l_orderkey) AS n FROM li)
+        SELECT l_orderkey AS query_id, 'all_limits' AS shape, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1)::INT AS line,
+          'Position ' || l_linenumber || ': ' || (c // 100) || ',' || lpad((c % 100)::VARCHAR, 2, '0') || ' €' AS text, '1' AS places FROM c WHERE n >= 4""",
+    "grounding_verdicts": """SELECT o_orderkey AS answer_id, o_orderkey % 2 = 0 AS grounded, (o_orderkey % 2)::INT AS n_unsupported, o_orderkey % 2 = 1 AS refused FROM orders""",
+    "schedule_records": f"""{_LINES}, r AS (SELECT o_custkey, strftime(l_shipdate, '%Y-%m-%d') AS d FROM li JOIN orders ON l_orderkey = o_orderkey)
+        SELECT o_custkey AS document_id, count(*) AS instalments, 6939 AS least, 6939 AS most, min(d) AS first_date FROM r GROUP BY 1 HAVING count(*) >= 12""",
     "language_detect": f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(substring(text, 1, 2500)), '[^\\p{{L}}'']+'), lambda x: x <> '') AS ws FROM documents),
         s AS (SELECT doc_id, len(ws) AS n, len(list_filter(ws, lambda x: x IN ({_stops(_FR)}))) AS fr, len(list_filter(ws, lambda x: x IN ({_stops(_EN)}))) AS en FROM w)
         SELECT doc_id, CASE WHEN n < 10 OR fr + en < n * 0.05 THEN NULL WHEN fr > en * 1.3 THEN 'fr' WHEN en > fr * 1.3 THEN 'en' END AS detected FROM s""",

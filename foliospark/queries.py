@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliospark.functions import features, numbers, relevance, text
-from foliospark.operators import evidence, facts, ledger, metrics, refine, relational, retrieval
+from foliospark.operators import evidence, extract, facts, grounding, ledger, metrics, refine, relational, retrieval, workspace
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -522,6 +522,165 @@ def identifier_conflicts(spark, sf_dir):
     return evidence.context_conflicts(claims).select("identifier", F.array_join("values", ",").alias("values"))
 
 
+# The workspace: conversations as chunked documents, orders and customers as chats and documents
+
+
+def _chunked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(chunks, documents): turns as chunks of their conversation, every fifth a parent; not all documents are ready."""
+    c = table(spark, sf_dir, "conversations")
+    chunks = c.select(
+        F.col("conv_id").alias("document_id"), F.concat_ws("-", "conv_id", "turn").alias("chunk_id"), F.col("turn").alias("seq"),
+        F.floor(F.col("turn") / 2).alias("page"), F.when(F.col("turn") % 5 == 4, -1).when(F.col("turn") % 5 == 3, F.col("turn")).alias("para_index"), "text",
+    )
+    ready = F.when(F.length(F.col("conv_id").cast("string")) % 2 == 1, "ready").otherwise("parsing")
+    names = c.select("conv_id").distinct().select(F.col("conv_id").alias("document_id"), F.concat(F.lit("doc "), F.col("conv_id").cast("string")).alias("name"), ready.alias("status"))
+    return chunks, names
+
+
+def scoped_chunks(spark, sf_dir):
+    chunks, documents = _chunked(spark, sf_dir)
+    scope = table(spark, sf_dir, "conversations").filter("role = 'assistant'").select(F.col("conv_id").alias("document_id"))
+    return workspace.scoped_chunks(chunks, documents, scope).select("document_id", "chunk_id", "document_name", "place")
+
+
+def citable_page_firsts(spark, sf_dir):
+    chunks, _ = _chunked(spark, sf_dir)
+    return workspace.page_firsts(chunks).select("document_id", "page", "chunk_id")
+
+
+def talk_messages(spark, sf_dir):
+    """Messages that belong to the talk: event types stand for modes, null ones among them."""
+    e = table(spark, sf_dir, "events")
+    mode = F.when(F.col("event_type") == "view", "retrieval").when(F.col("event_type") == "click", F.lit(None).cast("string")).otherwise(F.col("event_type"))
+    return e.withColumn("mode", mode).filter(workspace.answering()).select("event_id", "mode")
+
+
+def settings_prefix(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    key = F.when(F.col("p_size") > 25, F.concat(F.lit("setting:"), F.col("p_partkey").cast("string"))).otherwise(F.concat(F.lit("other:setting:"), F.col("p_partkey").cast("string")))
+    return workspace.settings(p.select(key.alias("key"), F.col("p_brand").alias("value")))
+
+
+def attached_documents(spark, sf_dir):
+    """Customers as chats, orders as what is attached, nations as documents."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    chats = c.select(F.col("c_custkey").alias("chat_id"), F.col("c_name").alias("title"))
+    documents = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("document_id"), F.col("n_name").alias("name"))
+    links = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_custkey").alias("chat_id"), F.col("c_nationkey").alias("document_id"), (F.col("o_orderstatus") == "O").alias("enabled"))
+    return workspace.attached(chats, links.distinct(), documents)
+
+
+def library_detail(spark, sf_dir):
+    """Suppliers as documents: chats of nations, egress by line items, versions by parts."""
+    li = table(spark, sf_dir, "lineitem")
+    documents = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("document_id"))
+    of = lambda *more: li.select(F.col("l_suppkey").alias("document_id"), *more)
+    egress = of(F.col("l_shipdate").alias("created_at"), F.when(F.col("l_returnflag") == "N", "device").otherwise(F.col("l_returnflag")).alias("destination"))
+    made = workspace.document_detail(documents, of("l_orderkey").distinct(), egress, of("l_partkey").distinct())
+    newest = F.get("sent", F.lit(0))
+    return made.select("document_id", "chats", "versions", "n_sent", F.date_format(newest["created_at"], "yyyy-MM-dd").alias("last_sent"), newest["destination"].alias("destination"))
+
+
+def merged_confidence(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").withColumn("ocr_confidence", F.when(F.col("l_linenumber") > 1, 1 - F.col("l_discount")))
+    made = workspace.merged_confidence(li, ["l_orderkey"])
+    return made.select("l_orderkey", F.round("ocr_confidence", 4).alias("ocr_confidence"), "blocks")
+
+
+def evidence_texts(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    made = workspace.evidence_text(F.col("p_type"), F.when(F.col("p_size") > 25, F.col("p_type")), F.col("p_name"))
+    return p.select("p_partkey", made.alias("evidence"))
+
+
+def method_summaries(spark, sf_dir):
+    """Summaries as JSON and back."""
+    o = table(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_orderkey").alias("message_id"), F.col("o_orderstatus").alias("route"), (F.col("o_custkey") % 7).cast("int").alias("passages"), (F.col("o_orderkey") % 2 == 0).alias("cloud"))
+    return workspace.decoded_methods(workspace.encoded_methods(rows))
+
+
+def retrieval_payloads(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    hits = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("parts"))
+    content = F.concat(F.lit('{"query":"order '), F.col("l_orderkey").cast("string"), F.lit('","hits":['), F.array_join(F.transform("parts", lambda x: F.concat(F.lit('{"chunkId":'), x.cast("string"), F.lit("}"))), ","), F.lit("]}"))
+    rows = hits.select(F.col("l_orderkey").alias("message_id"), F.when(F.col("l_orderkey") % 3 == 0, "local").otherwise("retrieval").alias("mode"), content.alias("content"))
+    made = workspace.retrieval_payload(rows)
+    return made.select("message_id", "query", F.array_join(F.transform("chunk_ids", lambda x: x.cast("string")), ",").alias("chunk_ids"))
+
+
+def universal_search(spark, sf_dir):
+    """Suppliers as queries: line items as messages of chats (orders), parts as chunks."""
+    li = table(spark, sf_dir, "lineitem")
+    w = Window.partitionBy("l_suppkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber")
+    mode = F.when(F.col("l_returnflag") == "R", "retrieval").when(F.col("l_returnflag") == "A", "local")
+    ranked = li.withColumns({"rank": F.row_number().over(w), "mode": mode})
+    message = F.concat_ws("-", F.lpad(F.col("l_orderkey").cast("string"), 10, "0"), "l_linenumber")
+    chats = ranked.select(F.col("l_suppkey").alias("query_id"), F.col("l_orderkey").alias("chat_id"), message.alias("message_id"), "mode", "rank")
+    documents = ranked.select(F.col("l_suppkey").alias("query_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("chunk_id"), "rank")
+    return workspace.universal_search(chats, documents)
+
+
+def repaired_views(spark, sf_dir):
+    """Parts as chunks of documents named by brand; half of them name it already."""
+    p = table(spark, sf_dir, "part")
+    chunks = p.select(F.col("p_partkey").alias("chunk_id"), F.col("p_brand").alias("document_id"), F.col("p_name").alias("text"),
+                      F.when(F.col("p_size") > 25, F.concat_ws(" ", F.upper("p_brand"), "p_name")).alias("search_text"))
+    documents = p.select(F.col("p_brand").alias("document_id"), F.concat(F.lit(" "), F.col("p_brand")).alias("name")).distinct()
+    return workspace.repaired_views(chunks, documents).select("chunk_id", "search_text")
+
+
+def evidence_recall(spark, sf_dir):
+    """Parts of an order's lines that were returned against all of them."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("document_id"), "l_returnflag")
+    return metrics.evidence_recall(li, li.filter("l_returnflag <> 'N'"))
+
+
+# Answers from evidence
+
+
+def _forms(spark, sf_dir) -> DataFrame:
+    """One passage for each order: its lines as labels and amounts."""
+    li = table(spark, sf_dir, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber"])
+    cents = F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("long")
+    line = F.concat(F.lit("Position "), F.col("l_linenumber").cast("string"), F.lit(" : "), F.floor(cents / 100).cast("string"), F.lit(","), F.lpad((cents % 100).cast("string"), 2, "0"), F.lit(" €"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("line")))), lambda r: r["line"]), "\n")
+    return li.groupBy("l_orderkey").agg(body.alias("text")).select(
+        F.col("l_orderkey").alias("query_id"), F.lit("What are all the amounts?").alias("question"), F.lit(1).alias("position"), F.col("l_orderkey").alias("document_id"),
+        F.lit(1).alias("page"), F.lit(1).alias("seq"), F.lit(1.0).alias("score"), "text",
+    )
+
+
+def label_value_facts(spark, sf_dir):
+    return extract.facts(_forms(spark, sf_dir)).select("query_id", "label", "value")
+
+
+def extractive_answers(spark, sf_dir):
+    made = extract.answers(_forms(spark, sf_dir))
+    return made.select("query_id", "shape", "line", "text", F.array_join(F.transform("places", lambda x: x.cast("string")), ",").alias("places"))
+
+
+def grounding_verdicts(spark, sf_dir):
+    """Answers that show a subtraction, right for even orders and off for odd ones, and write the date another way."""
+    o = table(spark, sf_dir, "orders")
+    total = F.floor(F.col("o_totalprice") * 100 + 0.5).cast("long") % 29_999 + 70_000
+    o = o.select(F.col("o_orderkey").alias("answer_id"), "o_orderdate", total.alias("total")).withColumn("tax", F.floor(F.col("total") / 5).cast("long"))
+    money = lambda c, point: F.concat(F.floor(c / 100).cast("string"), F.lit(point), F.lpad((c % 100).cast("string"), 2, "0"))
+    net = F.col("total") - F.col("tax") + F.when(F.col("answer_id") % 2 == 1, 37).otherwise(0)
+    answer = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(": "), money(F.col("total"), "."), F.lit(" - "), money(F.col("tax"), "."), F.lit(" = "), money(net, "."))
+    passage = F.concat(F.lit("Date: "), F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit("\nTVA: "), money(F.col("tax"), ","), F.lit(" EUR\nTotal TTC: "), money(F.col("total"), ","), F.lit(" EUR"))
+    made = grounding.verdicts(o.select("answer_id", answer.alias("answer"), F.array(passage).alias("evidence")), "I can't tell.")
+    return made.select("answer_id", "grounded", F.size("unsupported").alias("n_unsupported"), (F.col("text") == "I can't tell.").alias("refused"))
+
+
+def schedule_records(spark, sf_dir):
+    """Instalments of orders' schedules; every text names the euro, and schedules of 12 rows or more are joined by customer."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), "o_custkey")
+    texts = schedules(spark, sf_dir).withColumnRenamed("document_id", "order_id").join(o, "order_id")
+    made = facts.schedule_records(texts.select(F.col("o_custkey").alias("document_id"), F.col("order_id").alias("chunk_id"), F.concat(F.lit("en euros\n"), "text").alias("text")))
+    return made.groupBy("document_id").agg(F.count("*").alias("instalments"), F.min("value_minor").alias("least"), F.max("value_minor").alias("most"), F.min("record_date").alias("first_date"))
+
+
 # Evaluation
 
 

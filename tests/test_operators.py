@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.operators import chunking, evidence, facts, ledger, metrics, relational, retrieval
+from foliospark.functions import numbers
+from foliospark.operators import chunking, evidence, facts, ledger, metrics, relational, retrieval, workspace
 from foliospark.plans import compiler, questions
 from foliospark.sources import exports, parsers
 from foliospark.streaming import incremental
@@ -148,10 +149,10 @@ def test_parsers_and_chunks(spark, tmp_path):
 
 
 def test_versions(spark, tmp_path):
-    df = spark.range(3)
-    exports.write_version({"a": df}, str(tmp_path))
-    exports.write_version({"a": spark.range(5)}, str(tmp_path))
-    assert exports.read_version(spark, str(tmp_path), "a").count() in (3, 5)
+    assert exports.current(spark, str(tmp_path)) is None
+    for n in (3, 5, 4, 7):  # close together: the number decides, not the clock
+        exports.write_version({"a": spark.range(n)}, str(tmp_path))
+        assert exports.read_version(spark, str(tmp_path), "a").count() == n
     lines = spark.createDataFrame([('data: {"choices":[{"delta":{"content":"hi"}}]}',), ("data: [DONE]",), ("data: {bro",), (": x",)], "value string")
     assert [r.delta for r in exports.event_stream_deltas(lines).collect()] == ["hi"]
 
@@ -180,3 +181,64 @@ def test_near_duplicates_meet_by_their_rarest_tokens(spark):
     assert {(r.id, *r.prefix) for r in got} == {(i, f"z{i // 2}", f"zz{i // 2}") for i in range(20)}
     pairs = evidence.near_duplicates(rows, "g", "id", "t", 0.75).collect()
     assert {tuple(r) for r in pairs} == {(i, i + 1, 1.0) for i in range(0, 20, 2)}
+
+
+def test_replayed_batches_are_merged_once(spark, tmp_path):
+    step = incremental.keep_current(str(tmp_path), lambda state, batch: state.unionByName(batch))
+    for epoch, n in ((0, 2), (1, 3), (1, 3), (0, 2), (2, 1)):
+        step(spark.range(n), epoch)
+    assert exports.read_version(spark, str(tmp_path), "state").count() == 6
+
+
+def test_unversioned_messages_and_nearest_rank(spark):
+    m = spark.createDataFrame([(1, None, 5), (2, None, 4), (3, "g", 1), (4, "g", 2)], "id long, version_group string, created_at long")
+    assert sorted(r.id for r in relational.active_versions(m).collect()) == [1, 2, 4]
+    rng = __import__("random").Random(3)
+    rows = [("a", float(rng.randint(0, 50))) for _ in range(301)] + [("b", 2.0)] * 7 + [("c", None)] + [("d", -1.5), ("d", 1e9)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for share in (0.01, 0.5, 0.95, 1.0):
+        got = {r.g: r.p for r in relational.nearest_rank(df, ["g"], "v", share, "p", blocks=8).collect()}
+        values = {g: sorted(v for h, v in rows if h == g and v is not None) for g in "abd"}
+        assert got == {g: v[-int(-(share * len(v)) // 1) - 1] for g, v in values.items()}
+
+
+def test_wrapped_received_amounts_and_months(spark):
+    df = spark.createDataFrame([("Montant reçu par le\nTaux 1 EUR\nbénéficiaire 12,50 EUR",), ("Total TTC: 10,00 EUR, TVA 2,00 EUR",), ("x 5 EUR",), (None,)], "part string")
+    got = sorted((r.kind, r.value_minor) for r in numbers.money_rows(df, "part").collect())
+    assert got == [("received", 100), ("tax", 200), ("total_ttc", 1000)]
+    dates = spark.createDataFrame([("le 3 mars 2024 puis 4 janvier 2023",), ("4/13/2023",), ("7 may 2021",)], "t string").select(numbers.record_date(F.col("t")).alias("d"))
+    assert [r.d for r in dates.collect()] == ["2023-01-04", None, "2021-05-07"]
+    d = spark.createDataFrame([("deux mois et 10 jours, trois ans",)], "t string").select(numbers.durations(F.col("t")).alias("d")).first().d
+    assert d == ["10 day", "2 month", "3 year"]
+
+
+def test_amounts_and_dates_as_written():
+    assert [numbers.canonical_amounts(x) for x in ("1 234,50 €", "12.00", "1.234,05", "none", "20 00 €")] == [["1234.5"], ["12"], ["1234.05"], [], ["2000"]]
+    assert numbers.joined_amounts("soit 20 00 € HT et 1 234,50 € TTC") == "soit 2000 € HT et 1 234,50 € TTC"
+    found = numbers.calendar_dates("le 03/04/2024, 3 avril 2024, April 5, 2024 et 2024-04-06; 40/40/2024")
+    assert [k for _, _, k in found] == [("2024-04-03", "2024-03-04"), ("2024-04-06",), ("2024-04-03",), ("2024-04-05",)]
+
+
+def test_schedule_records_need_rows_and_the_euro(spark):
+    row = lambda i: f"{i} {i % 27 + 1:02d}.{i % 12 + 1:02d}.2024 {i},00 69,39 1 000,00"
+    texts = [(1, 1, "en euros\n" + "\n".join(map(row, range(1, 8))), None), (1, 2, "\n".join(map(row, range(8, 15))), None),
+             (2, 3, "\n".join(map(row, range(1, 15))), None), (3, 4, "€\n" + "\n".join(map(row, range(1, 5))), None), (4, 5, "€\n" + "\n".join(map(row, range(1, 15))), 0.1)]
+    chunks = spark.createDataFrame(texts, "document_id long, chunk_id long, text string, ocr_confidence double")
+    got = facts.schedule_records(chunks).collect()
+    assert {r.document_id for r in got} == {1} and len(got) == 14 and {(r.value_minor, r.currency, r.kind) for r in got} == {(6939, "EUR", "amount")}
+    rows = spark.createDataFrame([(1, "2024-02-03")], "document_id long, date string")
+    context = spark.createDataFrame([(1, "Date: 03.02.2024 | Principal: 50,00 | Solde: 1 000,50 €"), (1, "Date: 04.02.2024 | Principal: 60,00")], "document_id long, line string")
+    assert {(r.label, r.value_minor) for r in facts.labelled_schedule(rows, context).collect()} == {("Principal", 5000), ("Solde", 100050)}
+
+
+def test_wipe_needs_its_path(spark, tmp_path):
+    (tmp_path / "w").mkdir()
+    try:
+        workspace.wipe(spark, f"{tmp_path}/w", "yes")
+        raise AssertionError
+    except ValueError:
+        pass
+    assert workspace.wipe(spark, f"{tmp_path}/w", f"{tmp_path}/w") and not (tmp_path / "w").exists()
+    spark.range(5).write.parquet(f"{tmp_path}/t")
+    row = workspace.stored_bytes({"t": spark.read.parquet(f"{tmp_path}/t")}).first()
+    assert row.files >= 1 and row.bytes > 0
