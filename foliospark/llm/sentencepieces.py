@@ -317,10 +317,11 @@ class Lattice:
             self.runs.give(numbers[several], ids, np.add.reduceat(size, np.cumsum(counts) - counts))
 
     def rest(self) -> None:
-        """Between tasks a worker, which may then wait for other stages, keeps the most frequent runs only."""
-        self.memo.clear()
-        if self.runs is not None and self.runs.n > _RUNS // 16:
-            self._keep(_RUNS // 16)
+        """Between tasks a worker that is to remember less than ``CACHE`` keeps that many of the most frequent runs."""
+        if self.cache < CACHE:
+            self.memo.clear()
+            if self.runs is not None and self.runs.n > self.cache:
+                self._keep(self.cache)
         give_back()
 
     def _keep(self, most: int) -> None:
