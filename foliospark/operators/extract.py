@@ -325,22 +325,17 @@ SHAPES = (
 _COLUMNS = ("query_id", "question", "position", "document_id", "page", "seq", "score", "text")
 
 
-def _by_question(hits: DataFrame, schema: str, of) -> DataFrame:
-    """``of(query_id, question, passages)``, rows without the id, for each question, its passages in one task and in order."""
-    kind = dict(hits.dtypes)["query_id"]
-    dealt = hits.select(*_COLUMNS).repartition("query_id").sortWithinPartitions("query_id", "position")
-    full = T.StructType([T.StructField("query_id", hits.schema["query_id"].dataType), *T._parse_datatype_string(schema).fields])
+def by_question(rows: DataFrame, order: str, kind: T.StructType, of) -> DataFrame:
+    """``of(question, rows)``, as rows of ``kind``, for each query_id: its rows, as dictionaries, in one task and in order."""
+    dealt = rows.repartition("query_id").sortWithinPartitions("query_id", order)
+    full = T.StructType([rows.schema["query_id"], *kind.fields])
     arrow = to_arrow_schema(full)
 
     def run(batches):
         now, held = None, []
 
         def made():
-            question = held[0]["question"] or ""
-            passages = [
-                Passage(r["position"], str(r["document_id"]), r["page"], r["seq"], float(r["score"] or 0), r["text"] or "") for r in held
-            ]
-            return [(now[0], *row) for row in of(question, passages)]
+            return [dict(zip(arrow.names, (now[0], *row))) for row in of(held[0]["question"] or "", held)]
 
         for batch in batches:
             out = []
@@ -349,11 +344,19 @@ def _by_question(hits: DataFrame, schema: str, of) -> DataFrame:
                     out += made() if held else []
                     now, held = (r["query_id"],), []
                 held.append(r)
-            yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, row)) for row in out], schema=arrow)
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
         if held:
-            yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, row)) for row in made()], schema=arrow)
+            yield pa.RecordBatch.from_pylist(made(), schema=arrow)
 
-    return dealt.mapInArrow(run, f"query_id {kind}, {schema}")
+    return dealt.mapInArrow(run, full)
+
+
+def _passages(rows: list[dict]) -> list[Passage]:
+    return [Passage(r["position"], str(r["document_id"]), r["page"], r["seq"], float(r["score"] or 0), r["text"] or "") for r in rows]
+
+
+def _kind(schema: str) -> T.StructType:
+    return T._parse_datatype_string(schema)
 
 
 def answers(hits: DataFrame, shapes: tuple = SHAPES) -> DataFrame:
@@ -363,15 +366,17 @@ def answers(hits: DataFrame, shapes: tuple = SHAPES) -> DataFrame:
     question. Questions that no shape fits give no rows; null texts are empty.
     """
 
-    def of(question, passages):
+    def of(question, rows):
+        passages = _passages(rows)
         for shape in shapes:
             if made := shape(question, passages):
                 return [(shape.__name__, i, text, list(places)) for i, (text, places) in enumerate(made)]
         return []
 
-    return _by_question(hits, "shape string, line int, text string, places array<int>", of)
+    return by_question(hits.select(*_COLUMNS), "position", _kind("shape string, line int, text string, places array<int>"), of)
 
 
 def facts(hits: DataFrame) -> DataFrame:
     """query_id, position, label, value: the label facts of each question's passages."""
-    return _by_question(hits, "position int, label string, value string", lambda _, passages: [(f.passage.place, f.label, f.value) for f in label_facts(passages)])
+    of = lambda _, rows: [(f.passage.place, f.label, f.value) for f in label_facts(_passages(rows))]
+    return by_question(hits.select(*_COLUMNS), "position", _kind("position int, label string, value string"), of)

@@ -197,6 +197,15 @@ ORACLES: dict[str, str] = {
     "evidence_recall": """WITH w AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), g AS (SELECT DISTINCT l_orderkey, l_partkey, 1 AS got FROM lineitem WHERE l_returnflag <> 'N'),
         s AS (SELECT l_orderkey, count(got) / count(*) AS share FROM w LEFT JOIN g USING (l_orderkey, l_partkey) GROUP BY 1)
         SELECT count(*) AS cases, round(avg(share), 6) AS evidence_recall, round(avg((share = 1)::INT), 6) AS complete FROM s""",
+    "markdown_router": f"{_LINES} SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R') * 5 >= count(*) AS as_table FROM li GROUP BY 1",
+    "neighbour_lists": f"""{_MESSAGES}, c AS (SELECT *, document_id * 1000 + seq AS chunk_id FROM m),
+        r AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY length(text) DESC, chunk_id) AS rank FROM c),
+        h AS (SELECT role AS query_id, chunk_id, 1.0 / (60 + rank) AS score, rank, -1.0 AS ord, false AS neighbour FROM r WHERE rank <= 60
+          UNION ALL SELECT r.role, c.chunk_id, 0.45 / (60 + rank) + 0.01, rank, 0.5, true FROM r JOIN c ON c.document_id = r.document_id AND c.seq IN (r.seq - 1, r.seq + 1)
+            WHERE rank <= 48 AND length(c.text) % 2 = 0),
+        f AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY rank, ord, chunk_id) AS n FROM h),
+        k AS (SELECT *, row_number() OVER (PARTITION BY query_id, neighbour ORDER BY rank, ord, chunk_id) AS k FROM f WHERE n = 1)
+        SELECT query_id, chunk_id, round(score, 8) AS score, row_number() OVER (PARTITION BY query_id ORDER BY rank, ord, chunk_id) AS place, neighbour FROM k WHERE NOT neighbour OR k <= 24""",
     "label_value_facts": f"""{_LINES}, c AS (SELECT l_orderkey, l_linenumber, floor(l_extendedprice * 100 + 0.5)::BIGINT AS c FROM li)
         SELECT l_orderkey AS query_id, 'Position ' || l_linenumber AS label, (c // 100) || ',' || lpad((c % 100)::VARCHAR, 2, '0') || ' €' AS value FROM c""",
     "extractive_answers": f"""{_LINES}, c AS (SELECT l_orderkey, l_linenumber, floor(l_extendedprice * 100 + 0.5)::BIGINT AS c, count(*) OVER (PARTITION BY l_orderkey) AS n FROM li)

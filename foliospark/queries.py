@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliospark.functions import features, numbers, relevance, text
-from foliospark.operators import evidence, extract, facts, grounding, ledger, metrics, refine, relational, retrieval, workspace
+from foliospark.operators import evidence, extract, facts, grounding, layout, ledger, metrics, packing, refine, relational, retrieval, workspace
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -651,6 +651,36 @@ def _forms(spark, sf_dir) -> DataFrame:
     )
 
 
+def packed_evidence(spark, sf_dir):
+    """The evidence of benchmark questions, of their ten best documents."""
+    hits = _hits(spark, sf_dir, 10)
+    rows = hits.select(
+        "query_id", F.col("query").alias("question"), F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("document_name"),
+        F.lit(None).cast("string").alias("heading"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("int").alias("seq"), "score", "rank", F.lit(False).alias("is_parent"),
+        F.lit(None).cast("string").alias("structure"), F.col("passage").alias("text"),
+    )
+    return packing.packed_evidence(rows)
+
+
+def markdown_router(spark, sf_dir):
+    """Orders' lines as Markdown tables: returned lines end in a price, the others in words."""
+    li = table(spark, sf_dir, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber"])
+    last = F.when(F.col("l_returnflag") == "R", F.concat(F.floor("l_extendedprice").cast("string"), F.lit(" EUR"))).otherwise("on request")
+    row = F.concat(F.lit("| "), F.col("l_linenumber").cast("string"), F.lit(" | "), last, F.lit(" |"))
+    pages = li.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", row.alias("row")))), lambda r: r["row"]), "\n").alias("page"))
+    return pages.select("l_orderkey", layout.prefers_markdown(F.col("page")).alias("as_table"))
+
+
+def neighbour_lists(spark, sf_dir):
+    """Turns by length as a channel's hits, with the turns before and after them whose length is even."""
+    m = messages(spark, sf_dir).withColumn("chunk_id", F.col("document_id") * 1000 + F.col("seq"))
+    w = Window.partitionBy("role").orderBy(F.desc(F.length("text")), "chunk_id")
+    hits = m.withColumn("rank", F.row_number().over(w)).filter("rank <= 60")
+    ranked = hits.select(F.col("role").alias("query_id"), F.lit("").alias("query"), "chunk_id", "document_id", "seq", (1.0 / (60 + F.col("rank"))).alias("score"), "rank")
+    utility = lambda q, h, t: F.when(F.length(t) % 2 == 0, 0.5).otherwise(0.0)
+    return retrieval.with_neighbours(ranked, m.select("chunk_id", "document_id", "seq", F.lit("").alias("heading"), "text"), utility)
+
+
 def label_value_facts(spark, sf_dir):
     return extract.facts(_forms(spark, sf_dir)).select("query_id", "label", "value")
 

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark.functions import numbers
-from foliospark.operators import chunking, evidence, facts, ledger, metrics, relational, retrieval, workspace
+from foliospark.operators import chunking, evidence, facts, layout, ledger, metrics, relational, retrieval, workspace
 from foliospark.plans import compiler, questions
 from foliospark.sources import exports, parsers
 from foliospark.streaming import incremental
@@ -242,3 +242,28 @@ def test_wipe_needs_its_path(spark, tmp_path):
     spark.range(5).write.parquet(f"{tmp_path}/t")
     row = workspace.stored_bytes({"t": spark.read.parquet(f"{tmp_path}/t")}).first()
     assert row.files >= 1 and row.bytes > 0
+
+
+def test_columns_within_columns():
+    words = lambda x, y, t: {"text": t, "x": float(x), "y": float(y), "width": 90.0}
+    items = [words(x, 10 * k, f"{c} {chr(97 + k)}") for k in range(12) for x, c in ((0, "a"), (150, "b"), (400, "c"))]
+    got = [t for t, _ in layout.ordered(items, 500.0)]
+    assert got == [f"{c} {chr(97 + k)}" for c in "abc" for k in range(12)]
+
+
+def test_form_marks_and_markdown_router(spark):
+    rows = [("d", 1, 1, "☐", 10.0, 100.0, 8.0), ("d", 1, 2, "x", 12.0, 102.0, 4.0), ("d", 1, 3, "□", 10.0, 150.0, 0.0), ("d", 1, 4, "\ue001", 10.0, 200.0, 8.0),
+            ("d", 1, 5, "X", 11.0, 200.0, 3.0), ("d", 1, 6, "\ue001", 10.0, 300.0, 8.0), ("d", 1, 7, "\ue002", 10.0, 400.0, 8.0), ("d", 1, 8, "✓", 50.0, 400.0, 8.0),
+            ("d", 1, 9, "Oui", 20.0, 100.0, 20.0), ("e", 1, 1, "\ue001", 10.0, 300.0, 8.0), ("d", 2, 2, "ab", 10.0, 100.0, 8.0)]
+    df = spark.createDataFrame(rows, "document_id string, page int, item_id int, text string, x double, y double, width double")
+    got = {(r.document_id, r.page, r.item_id): r.text for r in layout.form_marks(df).collect()}
+    assert got == {("d", 1, 1): "☑", ("d", 1, 3): "☐", ("d", 1, 4): "☑", ("d", 1, 6): "☐", ("d", 1, 7): "\ue002", ("d", 1, 8): "☑", ("d", 1, 9): "Oui", ("e", 1, 1): "\ue001", ("d", 2, 2): "ab"}
+    pages = ["| a | 12 € |\n| b | text |\n| c | more |\n|---|---|\n| d | x |", "| a | x |\n" * 5 + "| b | 3 |", "no table", "| 12 |"]
+    made = spark.createDataFrame([(t,) for t in pages], "t string").select(layout.prefers_markdown(F.col("t")).alias("m"))
+    assert [r.m for r in made.collect()] == [True, False, False, False]
+
+
+def test_page_chrome(spark):
+    items = spark.createDataFrame([(1, 1, 0.1, 0.05, 0.2, 0.02), (1, 2, 0.1, 0.5, 0.8, 0.3), (1, 3, 0.1, 0.95, 0.2, 0.02)], "page_id int, item_id int, x double, y double, width double, height double")
+    regions = spark.createDataFrame([(1, 1, "header", 0.9, 0.0, 0.0, 1.0, 0.1), (1, 2, "footer", 0.4, 0.0, 0.9, 1.0, 1.0), (1, 3, "header", 0.9, 0.0, 0.4, 1.0, 0.9)], "page_id int, region_id int, kind string, score double, left double, top double, right double, bottom double")
+    assert {r.item_id: r.chrome for r in layout.page_chrome(items, regions).collect()} == {1: "header", 2: None, 3: None}

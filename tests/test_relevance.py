@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from foliospark.functions import relevance as R
 from foliospark.functions import stems
 from foliospark.functions.text import osa
-from foliospark.operators import extract, grounding, refine, retrieval
+from foliospark.operators import extract, grounding, packing, refine, retrieval
 
 
 def test_published_stems():
@@ -131,3 +131,42 @@ def test_grounding_of_dates_steps_and_chains(spark):
     assert [(r.clauses, r.covered, r.complete) for r in grounding.completeness(q).orderBy("answer_id").collect()] == [(2, 1, False), (1, 1, True)]
     s = spark.createDataFrame([(1, k, "the same words over again. ") for k in range(9)] + [(2, 0, "fine")], "stream_id long, seq long, delta string")
     assert {r.stream_id: (r.looped, len(r.text)) for r in grounding.stopped_streams(s).collect()} == {1: (True, 81), 2: (False, 4)}
+
+
+def hit(chunk, text, document="d", page=1, seq=None, score=1.0, rank=1, parent=False, question="q", structure=""):
+    return packing.Hit(question, chunk, document, document, "", page, chunk if seq is None else seq, score, rank, parent, structure, text)
+
+
+def packed(question, ranked, beside=(), **more):
+    at = lambda hits: [packing.replace(h, question=question) for h in hits]
+    return [(name, h.chunk) for name, h in packing.pack(question, at(ranked), at(beside), **more)]
+
+
+def test_packing_families_and_bounds():
+    q = "Quelle est l'adresse mail du service ?"
+    got = packed(q, [hit(1, "l'adresse mail du service est donnée", rank=1), hit(2, "écrire à a.b@c.fr", score=0.1, rank=2), hit(3, "parent", rank=3, parent=True)])
+    assert got[0] == ("contact", 2) and {c for _, c in got} == {1, 2}
+    # Repeats within a document go, in another they stay; a place has its share; the budget skips and goes on.
+    same = [hit(1, "mots très pareils du texte"), hit(2, "mots très pareils du texte", seq=9, rank=2, score=0.9), hit(3, "mots très pareils du texte", document="e", rank=3)]
+    assert {c for _, c in packed("mots", same)} == {1, 3}
+    many = [hit(i, f"unique{i} texte{i} parole{i}.", rank=i, score=1 / i) for i in range(1, 9)]
+    assert len(packed("question simple", many)) == 4 and len(packed("question simple", many, top=2)) == 2
+    sized = [hit(1, "a" * 900 + ".", page=1), hit(2, "b" * 900 + ".", page=2, rank=2, score=0.5), hit(3, "c.", page=3, rank=3, score=0.2)]
+    assert [c for _, c in packed("x", sized, budget=1200)] == [1, 3]
+    # The passage after one that is cut within a sentence comes along.
+    cut = [hit(1, "la garantie vol couvre les biens qui sont", seq=4, question="garantie vol")]
+    beside = [hit(2, "dans le logement assuré.", seq=5, rank=None, score=0.0), hit(9, "loin d'ici", seq=40, rank=None)]
+    assert sorted(c for _, c in packed("garantie vol", cut, beside)) == [1, 2]
+    first = [hit(1, "01/05/2024 et 01/06/2024", page=1), hit(2, "01/03/2024 et 01/04/2024", page=2, rank=2, score=0.2)]
+    assert packed("Quelle est la première échéance ?", first)[0] == ("series", 2)
+    assert packed("x", []) == []
+
+
+def test_packed_evidence_rows(spark):
+    kind = "query_id long, question string, chunk_id long, document_id long, document_name string, heading string, page int, seq int, score double, rank int, is_parent boolean, structure string, text string"
+    rows = [(q, "garantie vol", 10 * q + k, q, "doc", None, k, k, 1.0 / k, k, False, None, f"garantie vol numéro {k} {q} mot{k}") for q in range(20) for k in range(1, 4)]
+    rows += [rows[0], (50, None, 500, None, None, None, None, None, None, 1, None, None, None)]
+    got = packing.packed_evidence(spark.createDataFrame(rows, kind)).collect()
+    assert sorted((r.query_id, r.chunk_id) for r in got) == sorted({(r[0], r[2]) for r in rows})
+    assert all(sorted(r.position for r in got if r.query_id == q) == [1, 2, 3] for q in range(20))
+    assert packing.packed_evidence(spark.createDataFrame([], kind)).count() == 0
