@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import fold_accents, normalize_question
+from foliospark.functions.text import fold_accents, let, normalize_question
 
 #: Blanks that separate thousands; the grammar of number runs, dates and times; currencies and amounts.
 GAP = "[   ]"
@@ -71,21 +71,18 @@ def numeric_values(text: Column) -> Column:
 
 
 def currency_code(token: Column) -> Column:
-    up = F.upper(token)
-    return F.when(up == "€", "EUR").when(up == "$", "USD").when(up == "£", "GBP").otherwise(up)
+    named = F.create_map(*[F.lit(x) for x in ("€", "EUR", "$", "USD", "£", "GBP")])
+    return F.coalesce(F.element_at(named, token), F.upper(token))
 
 
 def minor_units(raw: Column, currency: Column) -> Column:
     """Minor units of an amount literal. Two digits after the last separator are a fraction, but not for GNF."""
-    negative = raw.rlike(r"[-−(]")
-    value = F.regexp_replace(raw, r"[^0-9.,]", "")
-    cents = F.concat(F.regexp_replace(value, r"[.,](\d\d)$", ""), F.regexp_extract(value, r"[.,](\d\d)$", 1))
-    whole = F.regexp_replace(value, "[.,]", "").cast("long")
-    amount = (
-        F.when(currency == "GNF", whole)
-        .when(value.rlike(r"[.,]\d\d$"), F.regexp_replace(cents, "[.,]", "").cast("long"))
-        .otherwise(whole * 100)
-    )
+    return let(F.regexp_replace(raw, r"[^0-9.,]", ""), lambda value: _minor(value, raw.rlike(r"[-−(]"), currency))
+
+
+def _minor(value: Column, negative: Column, currency: Column) -> Column:
+    digits = F.regexp_replace(value, "[.,]", "").cast("long")
+    amount = F.when((currency == "GNF") | value.rlike(r"[.,]\d\d$"), digits).otherwise(digits * 100)
     return F.when(negative, -amount).otherwise(amount)
 
 
@@ -134,21 +131,30 @@ def money_rows(df: DataFrame, text: str, at: str = "place") -> DataFrame:
     lines = df.withColumn("_lines", F.split(text, "\n")).select("*", F.posexplode("_lines").alias("_line_no", "_line"))
     lines = lines.filter(F.col("_line").rlike(MONEY))
     around = lambda k: F.coalesce(F.get("_lines", F.col("_line_no") + k), F.lit(""))
-    lines = lines.withColumns({"_before": around(-1), "_after": around(1)}).drop("_lines")
     labels = F.split(F.regexp_replace("_line", MONEY, "\x01"), "\x01")
-    found = F.arrays_zip(F.regexp_extract_all("_line", F.lit(MONEY), F.lit(1)).alias("raw"), labels.alias("label"))
-    each = lines.withColumn("_found", found).select("*", F.posexplode("_found").alias("_no", "_m")).drop("_found", "_line")
-    each = each.withColumns({"raw": F.col("_m.raw"), "label": F.right(F.trim("_m.label"), F.lit(80))}).drop("_m").filter("raw IS NOT NULL")
-    code = currency_code(F.regexp_extract("raw", rf"(?i)({CURRENCY})", 1))
-    each = each.withColumns({"currency": code, "_amount": F.trim(F.regexp_replace("raw", rf"(?i)(?:{CURRENCY})", "")), "_q": normalize_question(F.col("label"))})
-    wrapped = normalize_question(F.trim(F.concat_ws(" ", "_before", "label", "_after"))).rlike(RECEIVED)
-    own = _role_of(F.col("_q"))
-    each = each.withColumn("kind", own).withColumn("kind", F.coalesce("kind", F.when(F.col("kind").isNull() & wrapped, "received")))
-    each = each.withColumn("value_minor", minor_units(F.col("_amount"), F.col("currency"))).filter("kind IS NOT NULL AND value_minor IS NOT NULL")
-    sure = F.when(F.col("kind") == "total_ttc", 0.98).when(F.col("kind") == "amount", 0.85).otherwise(0.92)
-    return each.withColumns({"confidence": sure, at: F.struct(F.col("_line_no").alias("line"), F.col("_no").alias("number"))}).drop(
-        "_line_no", "_no", "_before", "_after", "_amount", "_q"
-    )
+
+    # All that regular expressions make of an amount is made before it is exploded: a filter on plain columns of the
+    # rows would be pushed down with the expressions in it, and work them out again.
+    def amount(raw, i):
+        code = currency_code(F.regexp_extract(raw, rf"(?i)({CURRENCY})", 1))
+        label = F.right(F.trim(F.get(labels, i)), F.lit(80))
+        digits = F.regexp_replace(raw, rf"(?i)(?:{CURRENCY})", "")
+        value = let(F.regexp_replace(digits, r"[^0-9.,]", ""), lambda v: _minor(v, digits.rlike(r"[-−(]"), code))
+        return let(normalize_question(label), lambda q: F.struct(
+            raw.alias("raw"), label.alias("label"), code.alias("currency"), value.alias("value_minor"), _role_of(q).alias("kind")))
+
+    def roles(m):
+        near = normalize_question(F.trim(F.concat_ws(" ", around(-1), m["label"], around(1))))
+        return m.withField("kind", F.coalesce(m["kind"], F.when(m["kind"].isNull() & near.rlike(RECEIVED), "received")))
+
+    raws = F.regexp_extract_all("_line", F.lit(MONEY), F.lit(1))
+    found = F.filter(F.transform(F.transform(raws, amount), roles), lambda m: m["kind"].isNotNull() & m["value_minor"].isNotNull())
+    each = lines.select(*df.columns, "_line_no", F.posexplode(found).alias("_no", "_m"))
+    sure = F.when(F.col("_m.kind") == "total_ttc", 0.98).when(F.col("_m.kind") == "amount", 0.85).otherwise(0.92)
+    return each.select(
+        *df.columns, "_m.value_minor", "_m.currency", "_m.kind", "_m.label", sure.alias("confidence"), "_m.raw",
+        F.struct(F.col("_line_no").alias("line"), F.col("_no").alias("number")).alias(at),
+    )
 
 
 def _role_of(question: Column) -> Column:
@@ -164,11 +170,15 @@ def _iso(day: Column, month: Column, year: Column) -> Column:
 
 
 def record_date(text: Column) -> Column:
-    """The first numeric date, day first, as an ISO string; if it isn't valid, null. Else the first date with a month's name."""
-    q = normalize_question(text)
+    """The first numeric date, day first, as an ISO string; if it isn't valid, null. Else a date with a month's name."""
+    return let(normalize_question(text), _record_date)
+
+
+def _record_date(q: Column) -> Column:
     numeric = r"\b(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})\b"
     part = lambda pattern, k: F.regexp_extract(q, pattern, k).try_cast("int")
-    out = F.when(q.rlike(numeric), _iso(part(numeric, 1), part(numeric, 2), part(numeric, 3)))
+    any_named = r"\b\d{1,2}\s+(?:" + "|".join(MONTHS) + r")\s+\d{4}\b"
+    out = F.when(q.rlike(numeric), _iso(part(numeric, 1), part(numeric, 2), part(numeric, 3))).when(~q.rlike(any_named), F.lit(None).cast("string"))
     # Of several dates with a month's name, the one whose month comes first in the table of months.
     for name, month in MONTHS.items():
         named = rf"\b(\d{{1,2}})\s+{name}\s+(\d{{4}})\b"
