@@ -219,10 +219,16 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, CASE WHEN n < 10 OR fr + en < n * 0.05 THEN NULL WHEN fr > en * 1.3 THEN 'fr' WHEN en > fr * 1.3 THEN 'en' END AS detected FROM s""",
     "byte_counts": "SELECT source, sum(strlen(text))::BIGINT AS bytes, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1",
     "identifiers": f"""{_INVOICES} SELECT document_id, record_id || ',' || strftime(record_date::DATE, '%d/%m/%Y') AS found FROM i""",
-    "overlap_near_dup": """WITH t AS (SELECT p_partkey, p_brand, list_distinct(string_split(lower(p_name), ' ')) AS ts FROM part),
-        o AS (SELECT a.p_partkey, b.p_partkey AS twin, len(list_intersect(a.ts, b.ts)) / least(len(a.ts), len(b.ts)) AS overlap
-          FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey)
-        SELECT p_partkey, twin, round(overlap, 6) AS overlap FROM o WHERE overlap >= 0.85""",
+    "overlap_near_dup": """WITH t AS (SELECT p_partkey, p_brand, list_sort(list_distinct(string_split(lower(p_name), ' '))) AS ts FROM part),
+        c AS (SELECT p_brand, ts, min(p_partkey) AS k FROM t GROUP BY ALL),
+        o AS (SELECT a.k AS p_partkey, b.k AS twin, len(list_intersect(a.ts, b.ts)) / least(len(a.ts), len(b.ts)) AS overlap FROM c a JOIN c b ON a.p_brand = b.p_brand AND a.k < b.k)
+        SELECT p_partkey, twin, round(overlap, 6) AS overlap FROM o WHERE overlap >= 0.5""",
+    "overlap_members": """WITH t AS (SELECT p_partkey, p_brand, list_sort(list_distinct(string_split(lower(p_name), ' '))) AS ts FROM part)
+        SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, ts) AS representative FROM t""",
+    "overlap_documents": r"""WITH t AS (SELECT doc_id, source, list_sort(list_distinct(regexp_split_to_array(lower(coalesce(text, '')), '\s+'))) AS ts FROM documents),
+        c AS (SELECT source, ts, min(doc_id) AS k FROM t GROUP BY ALL),
+        o AS (SELECT a.k AS doc_id, b.k AS twin, len(list_intersect(a.ts, b.ts)) / least(len(a.ts), len(b.ts)) AS overlap FROM c a JOIN c b ON a.source = b.source AND a.k < b.k)
+        SELECT doc_id, twin, round(overlap, 6) AS overlap FROM o WHERE overlap >= 0.85""",
     "repeated_lines": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
         SELECT doc_id, count(line) AS items, count(DISTINCT line) AS kinds, round(1 - count(DISTINCT line) / greatest(count(line), 1), 6) AS repeated FROM l GROUP BY 1""",
     "token_df1": """WITH t AS (SELECT DISTINCT c_custkey AS document_id, unnest(string_split(lower(replace(c_name, '#', '') || ' ' || c_mktsegment), ' ')) AS token FROM customer)

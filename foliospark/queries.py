@@ -284,10 +284,24 @@ def byte_counts(spark, sf_dir):
     return d.groupBy("source").agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.length("text")).alias("chars"))
 
 
-def overlap_near_dup(spark, sf_dir):
+def _part_tokens(spark, sf_dir) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    rows = p.select("p_partkey", "p_brand", F.split(F.lower("p_name"), " ").alias("tokens"))
-    return evidence.near_duplicates(rows, "p_brand", "p_partkey", "tokens")
+    return p.select("p_partkey", "p_brand", F.split(F.lower("p_name"), " ").alias("tokens"))
+
+
+def overlap_near_dup(spark, sf_dir):
+    """Names of a brand's parts that share half of the smaller one's words: names are too short for 0.85."""
+    return evidence.near_duplicates(_part_tokens(spark, sf_dir), "p_brand", "p_partkey", "tokens", 0.5)
+
+
+def overlap_members(spark, sf_dir):
+    return evidence.set_members(_part_tokens(spark, sf_dir), "p_brand", "p_partkey", "tokens")
+
+
+def overlap_documents(spark, sf_dir):
+    """Whole documents of a source whose different words overlap by 0.85 or more, between representatives."""
+    d = table(spark, sf_dir, "documents")
+    return evidence.near_duplicates(d.select("doc_id", "source", F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+").alias("tokens")), "source", "doc_id", "tokens")
 
 
 def repeated_lines(spark, sf_dir):
