@@ -21,10 +21,9 @@ from foliospark.operators.extract import by_question
 from foliospark.operators.grounding import canonical, runs
 from foliospark.plans.questions import analyze, folded
 
-#: Words that go on from a sentence before; of coverage; of explanations; of first and last in a series.
+#: Words that go on from a sentence before; of coverage; of first and last in a series.
 CONTINUES = r"^(?:ce|cet|cette|ces|seulement|si|lorsque|apres|avant|toutefois|mais|oui|non)\b"
 COVERS = r"\b(?:couvert\w*|assure\w*|eligible|autorise\w*|permis|covered|insured|allowed)\b"
-EXPLAINS = r"\b(?:explique\w*|pourquoi|comment|explain|why|how does|how do)\b"
 FIRST, LAST = r"\b(?:premier|premiere|first)\b", r"\b(?:dernier|derniere|last|final)\b"
 SERIES = r"\b(?:echeance|mensualite|versement|paiement|payment|instal?lment)\w*\b"
 LONG = 140
@@ -111,10 +110,6 @@ class Hit:
         return regex.match(CONTINUES, " ".join(R.folded_words(self.text))) is not None
 
 
-def shape(question: str) -> str:
-    return "explanation" if regex.search(EXPLAINS, folded(question)) else "fact"
-
-
 def with_scores(question: str, ranked: list[Hit], beside: list[Hit], reach: int) -> list[Hit]:
     """Ranked hits and the neighbours within reach of one, scored by it, its distance and what they cover; best first."""
     out = {h.chunk: h for h in ranked}
@@ -238,7 +233,7 @@ def repeats(a: Hit, b: Hit, route: str) -> bool:
 
 def pack(question: str, ranked: list[Hit], beside: list[Hit], top: int = 16, budget: int = BUDGET, route: str | None = None) -> list[tuple[str, Hit]]:
     """(family, passage) of the evidence, in order."""
-    route, kind = route or analyze(question).route, shape(question)
+    route, kind = route or analyze(question).route, analyze(question).shape
     reach = 8 if kind == "explanation" or route == "synthesis" else 1
     share = 6 if kind == "explanation" or route == "synthesis" else 4
     hits = with_scores(question, ranked, beside, reach)

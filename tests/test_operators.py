@@ -32,21 +32,35 @@ def test_aggregates(receipts):
 
 
 @pytest.mark.parametrize(
-    "question, route, operation, role",
-    [("Quelle est la somme TTC de toutes les factures ?", "aggregate", "list", "total_ttc"), ("What is the average VAT of all invoices?", "aggregate", "average", "tax"),
-     ("How many receipts in March 2024?", "aggregate", "count", None), ("Who signed the contract?", "targeted", None, None),
-     ("Résume le document", "synthesis", None, None), ("What is the total of INV-0001?", "targeted", "sum", None)],
+    "question, route, operation, role, scope",
+    [("Quelle est la somme TTC de toutes les factures ?", "aggregate", "sum", "total_ttc", "collection"), ("What is the average VAT of all invoices?", "aggregate", "average", "tax", "collection"),
+     ("How many receipts in March 2024?", "aggregate", "count", None, "temporal"), ("Who signed the contract?", "targeted", None, None, "unspecified"),
+     ("Résume le document", "synthesis", "list", None, "collection"), ("What is the total of INV-0001?", "targeted", "sum", None, "record"),
+     ("what are the fees", "aggregate", "list", "fee", "unspecified"), ("add up all amounts", "aggregate", "sum", None, "collection"), ("Détaille les frais", "aggregate", "list", "fee", "unspecified"),
+     ("Qui est le vendeur et quel est le prix ?", "synthesis", None, None, "unspecified"), ("Combien de temps dure la garantie ?", "targeted", None, None, "unspecified"),
+     ("Quel est le montant de cette facture ?", "targeted", None, None, "record"), ("Que dit la page 3 ?", "targeted", None, None, "page"), ("Combien de factres ?", "aggregate", "count", None, "collection")],
 )
-def test_frames(question, route, operation, role):
+def test_frames(question, route, operation, role, scope):
     frame = questions.analyze(question)
-    assert (frame.route, frame.role) == (route, role) and (operation == "list" or frame.operation == operation)
-    assert questions.analyze(question.upper()).route == route or "INV" in question
+    assert (frame.route, frame.operation, frame.role, frame.scope) == (route, operation, role, scope)
+
+
+def test_references_and_clarifications():
+    assert [questions.reference(q) for q in ("Et pour juin ?", "Quelle est sa date ?", "Que contient-il ?", "Quel est le prix ?", "Qui signe et où ?")] == ["continuation", "anaphoric", None, None, None]
+    total = questions.analyze("Quel est le total ?")
+    assert total.clarification == "scope" and [questions.clarified(total, n) for n in (1, 2)] == [None, "scope"]
+    assert questions.clarified(questions.analyze("Quel est le total du RAPO ?"), 5) is None
+    assert questions.analyze("frais et montant reçu du transfert").clarification == "financial_role"
+    assert questions.contextual("Et pour juin ?", ["a", "b"]) == "Et pour juin ?\nPrevious question: b\nPrevious question: a" and questions.contextual("Quel prix ?", ["a"]) == "Quel prix ?"
+    assert questions.anchored_clauses("Quel est le prix du contrat Alpha ? quelle est la durée ?") == ["Quel est le prix du contrat Alpha", "quelle est la durée ? (Alpha)"]
+    assert [questions.calibrated(*x) for x in ((0.5, 0.05, 256), (0.5, 0.01, 256), (0.4, 0.5, 256), (0.9, 0.9, 384), (0.9, None, 256))] == [True, False, False, False, True]
+    assert [questions.locale(q) for q in ("What is the price?", "Quel est le prix ?", "prix")] == ["en", "fr", "fr"]
 
 
 def test_time_scopes():
-    assert questions.temporal("du 01/02/2024 au 5 mars 2024") == questions.Temporal(start="2024-02-01", end="2024-03-05")
-    assert questions.temporal("in March 2023") == questions.Temporal(year=2023, month=3)
-    assert questions.temporal("you may ask") is None and questions.temporal("en 2021").year == 2021
+    assert questions.temporal("du 01/02/2024 au 05/03/2024") == questions.Temporal(start="2024-02-01", end="2024-03-05")
+    assert questions.temporal("in March 2023") == questions.Temporal(year=2023, month=3) and questions.temporal("le 3/4/2024").start == "2024-04-03"
+    assert questions.temporal("en 2021").year == 2021 and questions.temporal("rien") is None and questions.temporal("juin puis mai").month == 6
 
 
 def test_question_to_rows(receipts):

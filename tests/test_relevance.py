@@ -150,7 +150,7 @@ def test_packing_families_and_bounds():
     same = [hit(1, "mots très pareils du texte"), hit(2, "mots très pareils du texte", seq=9, rank=2, score=0.9), hit(3, "mots très pareils du texte", document="e", rank=3)]
     assert {c for _, c in packed("mots", same)} == {1, 3}
     many = [hit(i, f"unique{i} texte{i} parole{i}.", rank=i, score=1 / i) for i in range(1, 9)]
-    assert len(packed("question simple", many)) == 4 and len(packed("question simple", many, top=2)) == 2
+    assert len(packed("Quelle question ?", many)) == 4 and len(packed("expliquer", many)) == 6 and len(packed("Quelle question ?", many, top=2)) == 2
     sized = [hit(1, "a" * 900 + ".", page=1), hit(2, "b" * 900 + ".", page=2, rank=2, score=0.5), hit(3, "c.", page=3, rank=3, score=0.2)]
     assert [c for _, c in packed("x", sized, budget=1200)] == [1, 3]
     # The passage after one that is cut within a sentence comes along.
