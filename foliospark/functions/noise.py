@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from foliospark.functions.text import ACCENTED, BASE
 
 
+_CAPITAL = [(c.upper(), b.upper()) for c, b in zip(ACCENTED, BASE) if len(c.upper()) == 1 and c.upper() != c]
+
+
 def without_accents(text: Column) -> Column:
-    return F.translate(text, ACCENTED + ACCENTED.upper(), BASE + BASE.upper())
+    return F.translate(text, ACCENTED + "".join(c for c, _ in _CAPITAL), BASE + "".join(b for _, b in _CAPITAL))
 
 
 def _long_words(text: Column, change) -> Column:

@@ -206,6 +206,34 @@ ORACLES: dict[str, str] = {
         f AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY rank, ord, chunk_id) AS n FROM h),
         k AS (SELECT *, row_number() OVER (PARTITION BY query_id, neighbour ORDER BY rank, ord, chunk_id) AS k FROM f WHERE n = 1)
         SELECT query_id, chunk_id, round(score, 8) AS score, row_number() OVER (PARTITION BY query_id ORDER BY rank, ord, chunk_id) AS place, neighbour FROM k WHERE NOT neighbour OR k <= 24""",
+    "identifier_agreement": """SELECT o_orderkey AS document_id, CASE WHEN o_orderkey % 3 = 2 THEN 1.0 WHEN o_orderkey % 5 = 0 THEN 0.25 WHEN o_orderkey % 3 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS compatibility FROM orders""",
+    "ocr_triage": "SELECT p_partkey, p_size / 50.0 >= 0.8 AND (p_partkey % 20) / 100.0 < 0.08 AS needs_ocr FROM part",
+    "file_formats": """SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'markdown' WHEN 2 THEN 'docx' WHEN 3 THEN 'text' ELSE 'unsupported' END AS format FROM part""",
+    "context_fit": """WITH s AS (SELECT conv_id AS query_id, turn AS position, sum(ceil(length(coalesce(text, '')) / 3)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS so_far FROM conversations)
+        SELECT * FROM s WHERE so_far <= 3900""",
+    "derived_values": f"{_LINES} SELECT l_orderkey || '-' || l_linenumber AS answer_id, l_linenumber % 2 = 0 AS derived FROM li",
+    "citation_markers": """SELECT o_orderkey AS answer_id, CASE WHEN o_orderkey % 3 = 0 THEN '' WHEN o_custkey % 5 = 1 THEN '1' WHEN o_custkey % 5 = 0 THEN '0,1' ELSE '1,' || (o_custkey % 5) END AS markers,
+        o_orderkey % 3 <> 0 AND o_custkey % 5 BETWEEN 1 AND 3 AS valid FROM orders""",
+    "copied_passages": f"""WITH c AS (SELECT doc_id AS id, list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: t <> '') AS ts, text FROM documents),
+        q AS (SELECT item_id AS query_id, list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: t <> '') AS ts, text FROM benchmark)
+        {_BM25}, h AS (SELECT r.query_id || '-' || r.id AS answer_id, string_split(trim(regexp_replace(lower(q.text), '\\s+', ' ', 'g')), ' ') AS a,
+          string_split(trim(regexp_replace(lower(c.text), '\\s+', ' ', 'g')), ' ') AS b FROM r JOIN q USING (query_id) JOIN c USING (id) WHERE rank <= 3),
+        g AS (SELECT answer_id, list_transform(range(1, len(a) - 16), lambda i: array_to_string(a[i:i + 17], ' ')) AS ga, list_transform(range(1, len(b) - 16), lambda i: array_to_string(b[i:i + 17], ' ')) AS gb FROM h)
+        SELECT answer_id, list_has_any(ga, gb) AS copied FROM g""",
+    "amount_terms": f"""{_LINES} SELECT l_orderkey || '-' || l_linenumber AS line_id, CASE WHEN abs(l_suppkey % 40 - 10) <= abs(l_suppkey % 40 - 30) THEN 'a' ELSE 'b' END AS term,
+        l_quantity::BIGINT AS value_minor, least(abs(l_suppkey % 40 - 10), abs(l_suppkey % 40 - 30))::INT AS distance FROM li""",
+    "aggregate_accuracy": """SELECT count(*) AS cases, count(*) FILTER (o_orderkey % 7 <> 0) AS matched, round(count(*) FILTER (o_orderkey % 7 <> 0) / count(*), 6) AS share FROM orders""",
+    "mistyped_names": r"""SELECT p_partkey, regexp_replace(p_name, '\b(\p{L}\p{L})(\p{L})(\p{L})(\p{L}+)', '\1\3\2\4', 'g') AS swapped, regexp_replace(p_name, '\b(\p{L}\p{L})\p{L}(\p{L}\p{L}+)', '\1\2', 'g') AS dropped,
+        strip_accents(p_type) AS plain FROM part""",
+    "stream_quota": """SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, sum(floor(value)::BIGINT)::BIGINT AS used, greatest(0, 3000 - sum(floor(value)::BIGINT))::BIGINT AS remaining FROM events GROUP BY 1, 2""",
+    "stream_egress": """SELECT strftime(date_trunc('day', ts) - k * INTERVAL 1 DAY, '%Y-%m-%d') AS first_day, event_type AS destination, count(*) AS requests, sum(floor(value)::BIGINT)::BIGINT AS bytes
+        FROM events, range(7) AS u(k) GROUP BY 1, 2""",
+    "stream_lifecycle": """SELECT user_id::VARCHAR AS document_id, ['received', 'parsing', 'chunking', 'embedding'][max(CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 4 ELSE 3 END)] AS status
+        FROM events GROUP BY 1""",
+    "html_lengths": r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '<script\b.*?</script>', ' ', 'gis'), '<style\b.*?</style>', ' ', 'gis') AS t FROM pages),
+        b AS (SELECT page_id, regexp_replace(regexp_replace(t, '<(?:br|/p|/div|/li|/tr|/h[1-6])\b[^>]*>', chr(10), 'gi'), '<[^>]*>', ' ', 'g') AS t FROM a),
+        c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS t FROM b)
+        SELECT page_id, sha256(regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS plain FROM c""",
     "label_value_facts": f"""{_LINES}, c AS (SELECT l_orderkey, l_linenumber, floor(l_extendedprice * 100 + 0.5)::BIGINT AS c FROM li)
         SELECT l_orderkey AS query_id, 'Position ' || l_linenumber AS label, (c // 100) || ',' || lpad((c % 100)::VARCHAR, 2, '0') || ' €' AS value FROM c""",
     "extractive_answers": f"""{_LINES}, c AS (SELECT l_orderkey, l_linenumber, floor(l_extendedprice * 100 + 0.5)::BIGINT AS c, count(*) OVER (PARTITION BY l_orderkey) AS n FROM li)

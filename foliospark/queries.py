@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliospark.functions import features, numbers, relevance, text
+from foliospark.functions import features, noise, numbers, relevance, text
 from foliospark.operators import evidence, extract, facts, grounding, layout, ledger, metrics, packing, refine, relational, retrieval, workspace
+from foliospark.sources import parsers
+from foliospark.streaming import incremental
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -725,6 +729,119 @@ def schedule_records(spark, sf_dir):
     return made.groupBy("document_id").agg(F.count("*").alias("instalments"), F.min("value_minor").alias("least"), F.max("value_minor").alias("most"), F.min("record_date").alias("first_date"))
 
 
+# Text, evidence and evaluation helpers over whole tables
+
+
+def mistyped_names(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", noise.swapped(F.col("p_name")).alias("swapped"), noise.dropped(F.col("p_name")).alias("dropped"), noise.without_accents(F.col("p_type")).alias("plain"))
+
+
+def identifier_agreement(spark, sf_dir):
+    """Invoices asked for by their own number, by another one, and by none; every fifth text has no number."""
+    i = invoices(spark, sf_dir)
+    number = lambda k: F.concat(F.lit("INV-"), F.lpad(k.cast("string"), 8, "0"))
+    k = F.col("document_id")
+    query = F.when(k % 3 == 0, F.concat(F.lit("total of "), number(k))).when(k % 3 == 1, F.concat(F.lit("total of "), number(k + 1))).otherwise("total")
+    passage = F.when(k % 5 == 0, "no number at all").otherwise(F.col("text"))
+    return i.select("document_id", text.identifier_compatibility(query, passage).alias("compatibility"))
+
+
+def ocr_triage(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", parsers.needs_ocr(F.col("p_size") / 50.0, (F.col("p_partkey") % 20) / 100.0).alias("needs_ocr"))
+
+
+def file_formats(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    ending = F.when(F.col("p_size") % 5 == 0, ".PDF").when(F.col("p_size") % 5 == 1, ".md").when(F.col("p_size") % 5 == 2, ".docx").when(F.col("p_size") % 5 == 3, ".txt").otherwise(".bin")
+    return p.select("p_partkey", parsers.format_of(F.concat("p_name", ending), F.lit(None).cast("string")).alias("format"))
+
+
+def context_fit(spark, sf_dir):
+    """Turns that fit a context of 3,900 tokens, conversation by conversation."""
+    m = messages(spark, sf_dir).select(F.col("document_id").alias("query_id"), F.col("seq").alias("position"), F.coalesce("text", F.lit("")).alias("text"))
+    return evidence.fit_context(m).select("query_id", "position", "so_far")
+
+
+def derived_values(spark, sf_dir):
+    """Sums of two numbers of the evidence, half a unit off for odd lines."""
+    li = table(spark, sf_dir, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber"])
+    a, b = F.col("l_quantity").cast("long"), F.col("l_linenumber").cast("long") + 100
+    value = (a + b).cast("double") + F.when(F.col("l_linenumber") % 2 == 1, 0.37).otherwise(0.0)
+    rows = li.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("answer_id"), F.concat_ws(" and ", a.cast("string"), b.cast("string")).alias("evidence"), value.alias("value"))
+    return evidence.derivable(rows).select("answer_id", "derived")
+
+
+def citation_markers(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    answer = F.when(F.col("o_orderkey") % 3 == 0, "no marker").otherwise(F.concat(F.lit("so [1] and [") , (F.col("o_custkey") % 5).cast("string"), F.lit("]")))
+    made = evidence.valid_markers(o.select(F.col("o_orderkey").alias("answer_id"), answer.alias("answer"), F.lit(3).alias("n_evidence")))
+    return made.select("answer_id", F.array_join(F.transform("markers", lambda m: m.cast("string")), ",").alias("markers"), "valid")
+
+
+def copied_passages(spark, sf_dir):
+    """Whether one of a benchmark question's three best documents holds 18 words of it in a row."""
+    pairs = _hits(spark, sf_dir).select(F.concat_ws("-", "query_id", "doc_id").alias("answer_id"), F.col("query").alias("answer"), F.col("passage").alias("evidence"))
+    return evidence.copied(pairs)
+
+
+def amount_terms(spark, sf_dir):
+    """Amounts of a line and their closest terms: supplier and part stand at places of their own."""
+    li = table(spark, sf_dir, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber"])
+    line = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    lines = li.select(line.alias("line_id"), F.array(F.struct((F.col("l_suppkey") % 40).cast("int").alias("at"), F.col("l_quantity").cast("long").alias("value_minor"))).alias("amounts"))
+    terms = li.select(line.alias("line_id"), F.lit("a").alias("term"), F.lit(10).alias("at")).unionByName(li.select(line.alias("line_id"), F.lit("b").alias("term"), F.lit(30).alias("at")))
+    return facts.bound_amounts(lines, terms)
+
+
+def aggregate_accuracy(spark, sf_dir):
+    """Invoice totals as extracted against the orders they were made from; ambiguous invoices don't match."""
+    i = invoices(spark, sf_dir)
+    found = facts.chosen_facts(facts.records(i), "total_ttc").filter("value_minor IS NOT NULL")
+    key = F.concat(F.col("document_id").cast("string"), F.lit(":id:INV-"), F.lpad(F.col("document_id").cast("string"), 8, "0"))
+    wanted = i.select(key.alias("record_key"), F.col("cents").alias("value_minor"))
+    return metrics.aggregate_match(wanted, found.select("record_key", "value_minor"), ["record_key"], "value_minor")
+
+
+# Streams, run to their end
+
+
+def _ran(stream: DataFrame, mode: str) -> DataFrame:
+    """The result of a stream over all files that are there, from a table of the session's memory."""
+    name = f"stream_{uuid.uuid4().hex}"
+    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.table(name)
+
+
+def _event_stream(spark, sf_dir) -> DataFrame:
+    schema = table(spark, sf_dir, "events").schema
+    e = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    return e.select("user_id", F.floor("value").cast("long").alias("cost"), F.col("ts").cast("timestamp").alias("ts"), "event_type", "event_id")
+
+
+def stream_quota(spark, sf_dir):
+    made = _ran(incremental.daily_quota(_event_stream(spark, sf_dir), 3000), "complete")
+    return made.select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "used", "remaining")
+
+
+def stream_egress(spark, sf_dir):
+    e = _event_stream(spark, sf_dir).select(F.col("event_type").alias("destination"), F.col("cost").alias("bytes_sent"), "ts")
+    made = _ran(incremental.rolling_egress(e), "complete")
+    return made.select(F.date_format("window.start", "yyyy-MM-dd").alias("first_day"), "destination", "requests", "bytes")
+
+
+def stream_lifecycle(spark, sf_dir):
+    """The furthest status of each user as a document: kinds of events stand for statuses."""
+    e = _event_stream(spark, sf_dir)
+    status = F.when(F.col("event_type") == "view", "received").when(F.col("event_type") == "click", "parsing").when(F.col("event_type") == "purchase", "embedding").otherwise("chunking")
+    made = _ran(incremental.lifecycle(e.select(F.col("user_id").cast("string").alias("document_id"), status.alias("status"))), "update")
+    order = F.array(*[F.lit(x) for x in ("received", "parsing", "chunking", "embedding", "ready", "error")])
+    furthest = made.groupBy("document_id").agg(F.max(F.array_position(order, F.col("status"))).alias("n"))
+    return furthest.select("document_id", F.get(order, (F.col("n") - 1).cast("int")).alias("status"))
+
+
 # Evaluation
 
 
