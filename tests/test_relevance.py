@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from foliospark.functions import relevance as R
 from foliospark.functions import stems
 from foliospark.functions.text import osa
-from foliospark.operators import extract, grounding, packing, refine, retrieval
+from foliospark.operators import extract, gates, grounding, packing, refine, retrieval
 
 
 def test_published_stems():
@@ -170,3 +170,21 @@ def test_packed_evidence_rows(spark):
     assert sorted((r.query_id, r.chunk_id) for r in got) == sorted({(r[0], r[2]) for r in rows})
     assert all(sorted(r.position for r in got if r.query_id == q) == [1, 2, 3] for q in range(20))
     assert packing.packed_evidence(spark.createDataFrame([], kind)).count() == 0
+
+
+def test_answer_bearing_gate(spark):
+    b = lambda q, *texts: gates.bears(q, [("doc", t) for t in texts])
+    assert b("Quel est le prix de la maison ?", "Le bien est vendu 200 000 €") and not b("Quel est le prix de la maison ?", "Le chat dort")
+    assert not b("Que dit FR-123 ?", "rien") and b("Que dit FR-123 ?", "le dossier FR-123 dit oui")
+    assert not b("Quand expire le RAPO ?", "expire le 3 mars 2024") and b("Quand expire le RAPO ?", "le RAPO expire le 3 mars 2024")
+    assert not b("Quand expire le contrat ?", "il expire") and b("Combien coûte la franchise du bris ?", "franchise bris de glace 100 €")
+    assert not b("Quel est le numéro de telephone du service ?", "le telephone du service sonne") and b("Quel est le numéro de telephone du service ?", "Service, numero de telephone : 01 23 45 67 89")
+    assert b("Qui est le vendeur ?", "Le vendeur : Monsieur Jean Dupont") and not b("Qui est le vendeur ?", "Le vendeur signe")
+    assert not b("Quel est le numéro de passeport ?", "numero : 12345") and not b("x") and not b("Quoi ?")
+    assert gates.person_of_role("Qui est le directeur de l'agence ?", "Agence de Lyon\nDirecteur\nJean Dupont") == "Jean Dupont"
+    assert gates.person_of_role("Qui est le directeur ?", "Banque de France") is None
+    got = gates.missing_duration("Quel délai pour payer, quel délai pour contester ?", "2 mois pour payer", passages("payer sous 2 mois", "contester sous 30 jours"))
+    assert got == (2, "30 jours")
+    rows = [(1, "Qui est le directeur ?", 1, "d", "Directeur : Jean Dupont"), (2, "Quel est le prix de la maison ?", 1, None, None), (3, None, 1, None, "x")]
+    made = gates.answerable(spark.createDataFrame(rows, "query_id long, question string, position int, name string, text string")).collect()
+    assert {r.query_id: (r.bears, r.person) for r in made} == {1: (True, "Jean Dupont"), 2: (False, None), 3: (False, None)}
