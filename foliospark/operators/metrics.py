@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def retrieval_metrics(rows: DataFrame) -> DataFrame:
@@ -93,3 +94,26 @@ def held_out(df: DataFrame, key: str, buckets: int = 5, held: int = 0) -> DataFr
     """Rows with a stable bucket of their key and whether it is held out."""
     bucket = F.conv(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 8), 16, 10).cast("long") % buckets
     return df.withColumn("bucket", bucket.cast("int")).withColumn("held_out", F.col("bucket") == held)
+
+
+def parser_metrics(expected: DataFrame, parsed: DataFrame) -> DataFrame:
+    """adapter, pairs, bound, orphans, in_order: how well parsers keep labels with their values.
+
+    expected: document_id, place, label, value, in reading order; parsed: adapter, document_id, line, text. A pair is bound
+    if one line has its label and, after it, its value; a value that stands on lines without its label alone is an orphan;
+    ``in_order`` is the share of neighbouring bound pairs of a document that stand on lines in their order.
+    """
+    lines = parsed.select("adapter", F.col("document_id").alias("_d"), "line", F.lower("text").alias("_t"))
+    label, value = F.lower("label"), F.lower("value")
+    met = expected.join(lines, F.col("document_id") == F.col("_d")).filter(F.contains("_t", value))
+    has = F.contains("_t", label) & (F.expr("locate(lower(value), _t, locate(lower(label), _t) + length(label))") > 0)
+    best = met.groupBy("adapter", "document_id", "place").agg(F.bool_or(has).alias("bound"), F.min(F.when(has, F.col("line"))).alias("line"))
+    # Adapters are parsers, named in code.
+    names = sorted(r.adapter for r in parsed.select("adapter").distinct().collect())
+    each = expected.withColumn("adapter", F.explode(F.array(*[F.lit(n) for n in names]).cast("array<string>")))
+    every = each.join(best, ["adapter", "document_id", "place"], "left")
+    w = Window.partitionBy("adapter", "document_id").orderBy("place")
+    bound = best.filter("bound").withColumn("before", F.lag("line").over(w)).filter("before IS NOT NULL")
+    order = bound.groupBy("adapter").agg(F.avg((F.col("line") > F.col("before")).cast("double")).alias("in_order"))
+    counted = every.groupBy("adapter").agg(F.count("*").alias("pairs"), F.count_if("bound").alias("bound"), F.count_if(~F.col("bound")).alias("orphans"))
+    return counted.join(order, "adapter", "left").select("adapter", "pairs", "bound", "orphans", F.round(F.coalesce("in_order", F.lit(0.0)), 6).alias("in_order"))

@@ -88,3 +88,71 @@ def prototypes(vectors: DataFrame, labelled: DataFrame, floor: float = 0.62, mar
     first = best.withColumns({"n": F.row_number().over(w), "next": F.lead("score").over(w)}).filter("n = 1")
     sure = (F.col("score") >= floor) & (F.coalesce(F.col("score") - F.col("next"), F.lit(1.0)) >= margin)
     return first.select("query_id", F.when(sure, F.col("label")).alias("label"), "score")
+
+
+def recognised(pages: DataFrame, recognise: Callable[[list[bytes | None]], list[list[tuple[str, float]]]], batch: int = 8) -> DataFrame:
+    """document_id, page, line, text, confidence: what a recogniser reads on images of pages, ``batch`` at a time.
+
+    The callback returns a list of (text, confidence) for each image; another number of lists fails the job.
+    """
+    kind = pa.schema([("document_id", pa.string()), ("page", pa.int32()), ("line", pa.int32()), ("text", pa.string()), ("confidence", pa.float64())])
+
+    def run(batches):
+        for b in batches:
+            rows = b.to_pylist()
+            for lo in range(0, len(rows), batch):
+                part = rows[lo : lo + batch]
+                found = recognise([r["image"] for r in part])
+                if len(found) != len(part):
+                    raise ValueError(f"the recogniser returned {len(found)} lists for {len(part)} images")
+                out = [(str(r["document_id"]), r["page"], k, text, float(c)) for r, lines in zip(part, found) for k, (text, c) in enumerate(lines)]
+                yield pa.RecordBatch.from_pylist([dict(zip(kind.names, x)) for x in out], schema=kind)
+
+    return pages.select("document_id", "page", "image").mapInArrow(run, "document_id string, page int, line int, text string, confidence double")
+
+
+def harness(cases: DataFrame, **steps: Callable[[str], object]) -> DataFrame:
+    """case_id, kind, result (JSON), seconds: each case run by the callable of its kind: retrieve, aggregate or generate.
+
+    cases: case_id, question, kind; a kind without a callable fails the job, a null question is empty.
+    """
+    kind = dict(cases.dtypes)["case_id"]
+
+    def run(batches):
+        import json
+        import time
+
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                began = time.perf_counter()
+                result = json.dumps(steps[r["kind"]](r["question"] or ""), ensure_ascii=False)
+                out.append((r["case_id"], r["kind"], result, time.perf_counter() - began))
+            columns = list(zip(*out)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], b.schema.field("case_id").type), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.float64())],
+                names=["case_id", "kind", "result", "seconds"],
+            )
+
+    return cases.select("case_id", "question", "kind").mapInArrow(run, f"case_id {kind}, kind string, result string, seconds double")
+
+
+def parsed_by(files: DataFrame, adapters: dict[str, Callable[[bytes], list[str]]]) -> DataFrame:
+    """adapter, document_id, line, text, error: every file by every adapter, so that parsers can be compared.
+
+    A file that an adapter can't read is a row with the error; it doesn't fail the job.
+    """
+    kind = pa.schema([("adapter", pa.string()), ("document_id", pa.string()), ("line", pa.int32()), ("text", pa.string()), ("error", pa.string())])
+
+    def run(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                out = []
+                for name, parse in adapters.items():
+                    try:
+                        out += [(name, str(r["document_id"]), k, text, None) for k, text in enumerate(parse(bytes(r["content"] or b"")))]
+                    except Exception as e:  # an adapter's failure is its result
+                        out.append((name, str(r["document_id"]), None, None, f"{type(e).__name__}: {e}"))
+                yield pa.RecordBatch.from_pylist([dict(zip(kind.names, x)) for x in out], schema=kind)
+
+    return files.select("document_id", "content").mapInArrow(run, "adapter string, document_id string, line int, text string, error string")
