@@ -18,17 +18,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark.functions import stems
-from foliospark.functions.text import ENGLISH_STOPS, FRENCH_STOPS, fold_full, osa
+from foliospark.functions.text import ENGLISH_STOPS, FRENCH_STOPS, fold_accents, fold_full, osa
 from foliospark.plans.questions import analyze
 
 STOPS = frozenset(FRENCH_STOPS) | frozenset(ENGLISH_STOPS)
 
-#: Weights of the linear model over a fused score.
+#: All constants from here to the first function are fixed values. Weights of the linear model over a fused score:
 WEIGHTS = {
     "exact": 0.008, "phrase": 0.04, "heading": 0.02, "approximate": 0.03, "names": 0.08, "party": 0.04, "identity": 0.08,
     "temporal": 0.08, "enumeration_scoped": 0.1, "numeric": 0.08, "label": 0.08, "proximity": 0.16, "constraint": 0.12, "clauses": 0.08,
 }
-#: Question words and value shapes by kind of number; the shapes are looked for in the text as written.
+#: Question words and value shapes by kind of number; the shapes are looked for in the text as written:
 KINDS = {
     "duration": r"\b(?:combien de temps|pendant combien|how long|duree|duration|delai|deadline|prescription)\b"
     r"|\bcombien de [a-z]{2,6}\s+(?:gard|conserv|dur|rest|maint)|\bhow [a-z]{2,6}\s+(?:keep|retain|last|remain)",
@@ -336,13 +336,6 @@ def _plain(text: str) -> str:
     return regex.sub(r"\s+", " ", regex.sub("[’']", " ", fold_accents(text)))
 
 
-@lru_cache(20_000)
-def fold_accents(text: str) -> str:
-    import unicodedata
-
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
-
-
 def identity_coverage(query: str, text: Held) -> float:
     """Share of what an identity question asks for, a person's name or a companion, that the text has."""
     if not asks_identity(query):

@@ -19,7 +19,7 @@ from foliospark.functions import relevance
 from foliospark.functions.numbers import NUMBER_WORDS
 from foliospark.plans.questions import analyze, folded
 
-#: Least coverages, and words that tell what a question or a passage is about.
+#: All constants from here to the first class are fixed values: words that tell what a question or a passage is about.
 BULLET = r"[-•●✓✗!]"
 YES_NO = r"(?:oui|non|yes|no)"
 COMPARES = r"\b(?:coherent|coherence|difference|ecart|contradiction|compare)\w*\b"

@@ -11,7 +11,7 @@ from foliospark.functions.text import fold_accents, osa
 from foliospark.operators.extract import Passage, by_question
 from foliospark.plans.questions import identifiers
 
-#: Words that ask but say nothing of the subject; that wrap a request; words that stand for each other.
+#: All constants from here to the first function are fixed values. Words that ask but say nothing of the subject; that wrap a request; words that stand for each other.
 FILLER = frozenset(
     "quel quelle quels quelles est sont etait etre qui que quoi dans pour avec sans les des une leur leurs tout tous toute toutes elle et le la de du "
     "who what which where when how tell answer about has have that this the and document documents reponse resoudre savoir artificiellement".split()
