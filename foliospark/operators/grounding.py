@@ -6,12 +6,13 @@ import re
 from itertools import product
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark.functions import relevance
 from foliospark.functions.numbers import DATE_OR_TIME, NUMBER_RUN, calendar_dates
+from foliospark.plans.questions import folded, locale
 
 #: Signs of a computation in an answer; integers that need no evidence; rounding.
 SHOWS_WORK = r"[×÷*=]|(?:^|[^\W\d_]*\W)(?:diff[ée]rence|[ée]cart|gap)(?=$|\W)"
@@ -139,6 +140,56 @@ def completeness(pairs: DataFrame, least: float = 0.2) -> DataFrame:
     return pairs.withColumn("c", of("question", "answer")).select("answer_id", "c.*", (F.col("c.covered") == F.col("c.clauses")).alias("complete"))
 
 
+def follows_grammar(text: Column, excerpts: Column, refusal: str) -> Column:
+    """Whether an answer is the refusal, or sentences that each end in markers of its excerpts and a full stop."""
+    sentence = r"[^\[\]\n]+\[\d+\](?: ?\[\d+\])*\."
+    plain = F.trim(text)
+    marks = F.transform(F.regexp_extract_all(plain, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda m: m.try_cast("int"))
+    cited = plain.rlike(rf"^{sentence}(?:[ \n]{sentence})*$") & F.forall(marks, lambda m: F.coalesce(m.between(1, excerpts), F.lit(False)))
+    return F.coalesce((plain == refusal.strip()) | cited, F.lit(False))
+
+
+#: What a model may leave in its answer, and words of a gap, of agreement, of a but, and of the asker's own.
+LEAKED = r"(?:^|\n+)\s*(?:Structured evidence inventory|Internal evidence facts)[^:\n]*:.*"
+THOUGHT = r"<think>.*?(?:</think>|$)|\s*</?answer>\s*$"
+GAP = r"(?:[ée]cart|difference|diff[ée]rence)\s+(?:est|is|:)?\s*(?:de|of)?\s*([-−]?\d+(?:[.,]\d+)?)"
+AGREES, BUT = r"\b(?:coherent\w*|coherence|consistent|consistency)\b", r"\b(?:cependant|toutefois|or|however|but)\b"
+DISAGREES = r"\b(?:ecart|contradiction|incoherent|discrepancy|inconsistent|non ajoute\w*|not selected)\b"
+OWN = (("Mon|Ma", "Votre"), ("Mes", "Vos"), ("My", "Your"))
+
+
+def with_invariants(question: str | None, answer: str | None) -> str | None:
+    """An answer without what a model left in it, and without contradicting itself.
+
+    Thoughts, answer tags and listed evidence go; a stated gap other than zero doesn't follow a yes; ``(a - b)`` after a gap
+    stands in the order that gives it; what is said to agree and then not to doesn't agree; the asker's own is theirs.
+    """
+    if answer is None:
+        return None
+    question, text = question or "", re.sub(THOUGHT, "", answer, flags=re.S | re.I)
+    text = re.sub(LEAKED, "", text, flags=re.S | re.I).strip()
+    number = lambda x: float(x.replace(",", ".").replace("−", "-"))
+    if (gap := re.search(GAP, text, re.I)) and abs(number(gap[1])) > 1e-9:
+        no = "No" if locale(question) == "en" else "Non"
+        text = re.sub(r"^(\s*(?:\d+[.)]\s*)?)(?:oui|yes)\b", rf"\g<1>{no}", text, flags=re.I)
+        formula = r"\(\s*(\d+(?:[.,]\d+)?)\s*([-−])\s*(\d+(?:[.,]\d+)?)\s*\)"
+
+        def turned(m):
+            a, b = number(m[1]), number(m[3])
+            swap = abs(b - a - number(gap[1])) < 1e-9 <= abs(a - b - number(gap[1]))
+            return f"({m[3]} {m[2]} {m[1]})" if swap else m[0]
+
+        text = re.sub(formula, turned, text, count=1)
+    said = folded(text)
+    if re.search(AGREES, folded(question)) and re.search(BUT, said) and re.search(DISAGREES, said):
+        text = re.sub(r"\best coh[ée]rent(e)?\b", r"n'est pas cohérent\1", text, flags=re.I)
+        text = re.sub(r"\bis consistent\b", "is not consistent", text, flags=re.I)
+    if re.search(r"\b(?:mon|ma|mes|my)\b", folded(question)):
+        for own, yours in OWN:
+            text = re.sub(rf"(^|[.!?]\s+|\n)(?:{own})(?=\s+[^\W\dA-ZÀ-Þ_])", rf"\g<1>{yours}", text)
+    return text
+
+
 def looping(text: str, span: int = 24, times: int = 3) -> bool:
     """Whether a text ends in the same ``span`` characters or more, ``times`` in a row: a stream that has gone into a loop."""
     tail = text[-2000:]

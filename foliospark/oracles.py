@@ -234,6 +234,7 @@ ORACLES: dict[str, str] = {
         b AS (SELECT page_id, regexp_replace(regexp_replace(t, '<(?:br|/p|/div|/li|/tr|/h[1-6])\b[^>]*>', chr(10), 'gi'), '<[^>]*>', ' ', 'g') AS t FROM a),
         c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS t FROM b)
         SELECT page_id, sha256(regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS plain FROM c""",
+    "answer_grammar": "SELECT o_orderkey AS answer_id, o_orderkey % 4 = 0 OR (o_orderkey % 4 > 1 AND o_custkey % 5 BETWEEN 1 AND 3) AS follows FROM orders",
     "label_value_facts": f"""{_LINES}, c AS (SELECT l_orderkey, l_linenumber, floor(l_extendedprice * 100 + 0.5)::BIGINT AS c FROM li)
         SELECT l_orderkey AS query_id, 'Position ' || l_linenumber AS label, (c // 100) || ',' || lpad((c % 100)::VARCHAR, 2, '0') || ' €' AS value FROM c""",
     "extractive_answers": f"""{_LINES}, c AS (SELECT l_orderkey, l_linenumber, floor(l_extendedprice * 100 + 0.5)::BIGINT AS c, count(*) OVER (PARTITION BY l_orderkey) AS n FROM li)

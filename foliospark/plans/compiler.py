@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import search_terms
-from foliospark.operators import evidence, facts, retrieval
+from foliospark.operators import facts, packing, refine, retrieval
 from foliospark.plans.questions import Frame, analyze
 
 
@@ -23,21 +23,39 @@ def aggregate(frame: Frame, chunks: DataFrame) -> DataFrame:
     return facts.aggregate(facts.records(chunks), frame.operation or "sum", frame.role, **scope)
 
 
-def retrieve(frame: Frame, chunks: DataFrame, top: int = 60) -> DataFrame:
-    """query_id, chunk_id, position of evidence: words fused with grams, bounded at each stage."""
-    spark = chunks.sparkSession
+def retrieve(frame: Frame, chunks: DataFrame, top: int = 60, fused: int = 48) -> DataFrame:
+    """query_id, position, chunk_id, family of evidence: channels of words and grams, their neighbours, fusion, refinement
+    by relevance, and packing, each stage bounded.
+
+    chunks: chunk_id, document_id, text, and page, seq, heading, document_name, para_index, structural_context if known.
+    """
+    spark, have = chunks.sparkSession, set(chunks.columns)
+    col = lambda c, kind: F.col(c).cast(kind) if c in have else F.lit(None).cast(kind)
+    full = chunks.select(
+        "chunk_id", "document_id", "text", col("page", "int").alias("page"), col("seq", "int").alias("seq"), col("heading", "string").alias("heading"),
+        col("document_name", "string").alias("document_name"), F.coalesce(col("para_index", "int") == -1, F.lit(False)).alias("is_parent"),
+        col("structural_context", "string").alias("structure"),
+    )
     q = spark.createDataFrame([(0, frame.question)], "query_id long, text string")
-    made = None
-    for terms in (search_terms(F.col("text"), 4096), _grams(F.col("text"))):
-        index = retrieval.postings(chunks, "chunk_id", terms)
-        hits = retrieval.bm25(index, retrieval.query_terms(q, terms), "chunk_id", retrieval.corpus_size(chunks, terms), top)
-        ranked = retrieval.channel(hits, "chunk_id")
-        made = ranked if made is None else made.unionByName(ranked)
-    fused = retrieval.fused(made, "chunk_id", 48)
-    ready = fused.join(chunks, "chunk_id").select(
-        "query_id", "rank", "chunk_id", "document_id", F.coalesce(F.col("page").cast("string"), F.lit("")).alias("place"), "text", F.lit(False).alias("is_parent")
-    )
-    return evidence.packed(ready, per_place=6 if frame.route == "synthesis" else 4)
+    channels = None
+    for name, terms in (("words", search_terms(F.col("text"), 4096)), ("grams", _grams(F.col("text")))):
+        index, size = retrieval.index(full, "chunk_id", terms)
+        hits = retrieval.bm25(index, retrieval.query_terms(q, terms), "chunk_id", size, top).withColumn("channel", F.lit(name))
+        channels = hits if channels is None else channels.unionByName(hits)
+    best = retrieval.fused(retrieval.channel(channels, "chunk_id"), "chunk_id", fused)
+    found = channels.select("query_id", "chunk_id", "channel").distinct().join(best.select("query_id", "chunk_id", "score", "rank"), ["query_id", "chunk_id"])
+    named = found.join(full, "chunk_id").withColumn("query", F.lit(frame.question))
+    order = refine.refined(named.select("query_id", "query", "chunk_id", "document_name", "heading", "text", "score", "channel", "rank"), 32)
+    ranked = order.select("query_id", "chunk_id", F.col("refined").alias("score"), F.col("place").alias("rank")).join(full, "chunk_id")
+    reach = 8 if frame.route == "synthesis" or frame.shape == "explanation" else 1
+    near = full.alias("n").join(
+        ranked.select(F.col("document_id").alias("d"), F.col("seq").alias("s"), "query_id").filter("s IS NOT NULL"),
+        F.expr(f"n.document_id = d AND abs(n.seq - s) <= {reach}"),
+    ).select("query_id", "n.*").dropDuplicates(["query_id", "chunk_id"])
+    beside = near.join(ranked.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    beside = beside.withColumns({"score": F.lit(0.0), "rank": F.lit(None).cast("int")})
+    every = ranked.unionByName(beside).withColumn("question", F.lit(frame.question))
+    return packing.packed_evidence(every)
 
 
 def _grams(text):

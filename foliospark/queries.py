@@ -780,6 +780,14 @@ def citation_markers(spark, sf_dir):
     return made.select("answer_id", F.array_join(F.transform("markers", lambda m: m.cast("string")), ",").alias("markers"), "valid")
 
 
+def answer_grammar(spark, sf_dir):
+    """Refusals, answers with a marker, without one, and with one that there is no excerpt for."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_custkey") % 5
+    answer = F.when(F.col("o_orderkey") % 4 == 0, "I can't tell.").when(F.col("o_orderkey") % 4 == 1, "no marker.").otherwise(F.concat(F.lit("so it is ["), k.cast("string"), F.lit("].")))
+    return o.select(F.col("o_orderkey").alias("answer_id"), grounding.follows_grammar(answer, F.lit(3), "I can't tell.").alias("follows"))
+
+
 def copied_passages(spark, sf_dir):
     """Whether one of a benchmark question's three best documents holds 18 words of it in a row."""
     pairs = _hits(spark, sf_dir).select(F.concat_ws("-", "query_id", "doc_id").alias("answer_id"), F.col("query").alias("answer"), F.col("passage").alias("evidence"))

@@ -188,3 +188,23 @@ def test_answer_bearing_gate(spark):
     rows = [(1, "Qui est le directeur ?", 1, "d", "Directeur : Jean Dupont"), (2, "Quel est le prix de la maison ?", 1, None, None), (3, None, 1, None, "x")]
     made = gates.answerable(spark.createDataFrame(rows, "query_id long, question string, position int, name string, text string")).collect()
     assert {r.query_id: (r.bears, r.person) for r in made} == {1: (True, "Jean Dupont"), 2: (False, None), 3: (False, None)}
+
+
+def test_grammar_and_invariants(spark):
+    rows = [("Yes it is [1].", 1), ("A [1][2].\nB [2].", 2), ("A [3].", 2), ("A.", 2), ("I can't tell.", 2), (None, 1), ("[1].", 1)]
+    df = spark.createDataFrame(rows, "t string, n int").select(grounding.follows_grammar(F.col("t"), F.col("n"), "I can't tell.").alias("f"))
+    assert [r.f for r in df.collect()] == [True, True, False, False, True, False, False]
+    w = grounding.with_invariants
+    assert w("Is it the same?", "Yes, the difference is 5 (10 - 15).") == "No, the difference is 5 (15 - 10)."
+    assert w("Est-ce égal ?", "Oui, l'écart est de 0.") == "Oui, l'écart est de 0." and w(None, None) is None
+    assert w("Est-ce cohérent ?", "Le tout est cohérent. Cependant une contradiction existe.").startswith("Le tout n'est pas cohérent")
+    assert w("Quel est mon prix ?", "Mon prix est 3.</answer>") == "Votre prix est 3." and w("x", "<think>hm</think>ok\nInternal evidence facts: 1") == "ok"
+
+
+def test_whole_path_from_question_to_evidence(spark):
+    from foliospark.plans import compiler
+
+    texts = ["La garantie vol couvre les bijoux jusqu'à 5 000 €.", "Le contrat est signé à Lyon.", "Pour le service client, écrire à aide@exemple.fr.", "L'adresse mail du service client figure ci-après."]
+    chunks = spark.createDataFrame([(i, 1, i, "Titre", t) for i, t in enumerate(texts)], "chunk_id long, document_id long, seq int, heading string, text string")
+    got = compiler.answer("Quelle est l'adresse mail du service client ?", chunks).orderBy("position").collect()
+    assert (got[0].chunk_id, got[0].family) == (2, "contact") and {r.chunk_id for r in got} >= {2, 3}
