@@ -108,3 +108,21 @@ def test_training_sample_is_bounded(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
     made = [sorted(r.text for r in labelled_rows.training_sample(docs, labels, "toxic", F.lit(True), n).collect()) for n in (10, 10, 100)]
     assert len(made[0]) == 10 and made[0] == made[1] and len(made[2]) == 51
+
+
+def test_factorisation_machine_learns_interactions():
+    """A label that is one word or the other but not both: no weights of single words can tell it, pairs can."""
+    rng = np.random.default_rng(1)
+    width = len(quality_model.features("", None)[2])
+
+    def row():
+        a, b = rng.integers(0, 2, 2)
+        return np.array([10 + a, 20 + b]), np.full(2, 2**-0.5), rng.normal(0, 0.01, width), int(a != b)
+
+    model = quality_model.fit([row() for _ in range(3000)])
+    right = 0
+    for at, x, dense, y in (row() for _ in range(300)):
+        at, x = np.r_[at, quality_model.BUCKETS + np.arange(width)], np.r_[x, np.clip((dense - model.mean) / model.spread, -4, 4) / 2]
+        pairs = sum(model.factors[i] @ model.factors[j] * x[p] * x[q] for p, i in enumerate(at) for q, j in enumerate(at) if p < q)
+        right += (model.bias + model.weights[at] @ x + pairs > 0) == bool(y)
+    assert right > 285
