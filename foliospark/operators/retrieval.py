@@ -12,13 +12,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-RRF_K = 60
-
+from foliospark.sources.storage import stored
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once: a checkpoint in the session's folder, where it names one; else as it is."""
-    context = df.sparkSession.sparkContext
-    return df.checkpoint() if context.getCheckpointDir() else df
+RRF_K = 60
 
 
 def postings(corpus: DataFrame, key: str, terms: Column) -> DataFrame:
@@ -32,11 +28,11 @@ def postings(corpus: DataFrame, key: str, terms: Column) -> DataFrame:
 def index(corpus: DataFrame, key: str, terms: Column) -> tuple[DataFrame, DataFrame]:
     """Postings and the corpus' size, of one pass over the texts: a row without terms has one of its own (term null).
 
-    The postings are written to the session's checkpoint folder, where later queries read them.
+    The postings are written to the session's shared folder, as they are read twice.
     """
     made = corpus.select(key, terms.alias("_terms"))
     each = made.select(key, F.size("_terms").alias("len"), F.explode_outer("_terms").alias("term"))
-    counted = stored(each.groupBy(key, "term", "len").agg(F.count("*").alias("tf")))
+    counted = stored(each.groupBy(key, "term", "len").agg(F.count("*").alias("tf")), "postings")
     rows = counted.groupBy(key, "len").agg(F.sum("tf").alias("tf"))
     # A row that is repeated has its terms as often; its size is that of one.
     times = F.when(F.col("len") > 0, F.col("tf") / F.col("len")).otherwise(F.col("tf"))

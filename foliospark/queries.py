@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliospark.functions import features, noise, numbers, relevance, text
 from foliospark.operators import evidence, extract, facts, grounding, layout, ledger, metrics, packing, refine, relational, retrieval, workspace
-from foliospark.sources import parsers
+from foliospark.sources import parsers, storage
 from foliospark.streaming import incremental
 
 
@@ -816,11 +814,16 @@ def aggregate_accuracy(spark, sf_dir):
 
 
 def _ran(stream: DataFrame, mode: str) -> DataFrame:
-    """The result of a stream over all files that are there, from a table of the session's memory."""
-    name = f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """The result of a stream over all files that are there, written by each batch: all of it, or what it changed."""
+    spark, path = stream.sparkSession, storage.scratch(stream.sparkSession, "stream")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+
+    spark.createDataFrame([], stream.schema).write.parquet(path)
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", storage.scratch(spark, "progress")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 def _event_stream(spark, sf_dir) -> DataFrame:
