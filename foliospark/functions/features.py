@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliospark.functions import numbers
 from foliospark.functions.text import let, significant_tokens, tokens
 
 
@@ -48,34 +47,6 @@ def bigram_coverage(query: Column, passage: Column) -> Column:
     return let(pairs(query), lambda wanted: _share(F.size(F.array_intersect(wanted, pairs(passage))), F.size(wanted)))
 
 
-def number_coverage(query: Column, passage: Column) -> Column:
-    """0 unless the passage has all numbers of the query (1), or there are none (0)."""
-    wanted = F.array_distinct(numbers.canonical_numbers(query))
-    missing = F.array_except(wanted, numbers.canonical_numbers(passage))
-    return F.when((F.size(wanted) > 0) & (F.size(missing) == 0), 1.0).otherwise(0.0)
-
-
-def name_coverage(query: Column, passage: Column) -> Column:
-    """Share of the query's capitalised names (not its first word) that the passage has, if there are two or more."""
-    names = F.array_distinct(F.regexp_extract_all(F.regexp_replace(query, r"^\S+\s*", ""), F.lit(r"\b(\p{Lu}\p{Ll}{2,})\b"), F.lit(1)))
-    found = F.filter(names, lambda n: F.contains(passage, n))
-    return F.when(F.size(names) >= 2, _share(F.size(found), F.size(names))).otherwise(0.0)
-
-
-def enumeration_coverage(passage: Column) -> Column:
-    """How list-like a passage is: its numbered lines, bullets and semicolons, five or more being all."""
-    items = F.greatest(
-        F.regexp_count(passage, F.lit(r"(?m)^\s*\d+[.)]\s")), F.regexp_count(passage, F.lit(r"(?m)^\s*[-*•]\s")), F.regexp_count(passage, F.lit(";"))
-    )
-    return F.least(items / 5.0, F.lit(1.0))
-
-
-def contact_coverage(passage: Column) -> Column:
-    """1 with a mail address, link, phone number or reference, else 0."""
-    shapes = r"[\w.+-]+@[\w-]+\.[\w.]+|https?://\S+|\b(?:\+\d{1,3}[ .-]?)?(?:\(?\d{2,4}\)?[ .-]?){3,5}\d{2,4}\b|\b[A-Z]{2,5}-\d{4,}\b"
-    return F.when(passage.rlike(shapes), 1.0).otherwise(0.0)
-
-
 def similarity(distance: Column) -> Column:
     """Cosine of two unit vectors from their Euclidean distance."""
     return 1 - distance * distance / 2

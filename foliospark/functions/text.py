@@ -269,23 +269,21 @@ def search_terms(text: Column, most: int = 24) -> Column:
     return F.slice(F.array_distinct(tokens(text)), 1, most)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stem_tokens(words: pd.Series) -> pd.Series:
-    """Both languages' stems of an array of tokens, marked by language, where they differ from the token."""
+def stemmed(text: str) -> list[str]:
+    """Both languages' stems of a text's significant words, marked by language, where they differ from the word."""
     from foliospark.functions import stems
+    from foliospark.functions.relevance import significant
 
-    def one(ws):
-        out = {}
-        for w in () if ws is None else ws:
-            for mark, stem in (("frstem", stems.french), ("enstem", stems.english)):
-                s = fold_full(stem(w))
-                if len(s) >= 3 and s != w:
-                    out[mark + s] = None
-        return list(out)
+    out = {}
+    for w in significant(text):
+        for mark, stem in (("frstem", stems.french), ("enstem", stems.english)):
+            s = fold_full(stem(w))
+            if len(s) >= 3 and s != w:
+                out[mark + s] = None
+    return list(out)
 
-    return words.map(one)
 
-
-def lexical_index_text(text: Column) -> Column:
-    stems = stem_tokens(significant_tokens(text, 3))
-    return F.when(F.size(stems) > 0, F.concat_ws("\n", text, F.array_join(stems, " "))).otherwise(text)
+@F.pandas_udf(T.StringType())
+def lexical_index_text(texts: pd.Series) -> pd.Series:
+    """A text with its stems below, for an index of words; a null stays null."""
+    return texts.map(lambda t: None if t is None else "\n".join(x for x in (t, " ".join(stemmed(t))) if x))

@@ -165,14 +165,22 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def chosen_layers(native: DataFrame, ocr: DataFrame) -> DataFrame:
-    """Per page, the native text unless its layer is unusable and OCR has text; either side may be missing."""
+    """Per page, the native text unless its layer is unusable and OCR is better; either side may be missing.
+
+    OCR is better if its own text is usable at a confidence of half, or at 0.78 is not sparse and has a third of the native
+    characters (50 at most). Unusable native text that stays has confidence 0: it can be found, and no sum relies on it.
+    """
     n = native.select("document_id", "page", F.col("text").alias("native"))
     o = ocr.select("document_id", "page", F.col("text").alias("ocr"), "ocr_confidence")
-    both = n.join(o, ["document_id", "page"], "full")
-    use_ocr = F.col("ocr").isNotNull() & (F.col("native").isNull() | (text_quality(F.col("native")) != "usable"))
+    both = n.join(o, ["document_id", "page"], "full").withColumns({"n_class": text_quality(F.col("native")), "o_class": text_quality(F.col("ocr"))})
+    enough = F.length(F.trim("ocr")) >= F.least(F.lit(50.0), F.length("native") * 0.35)
+    sure = F.coalesce("ocr_confidence", F.lit(0.0))
+    better = ((F.col("o_class") == "usable") & (sure >= 0.5)) | ((sure >= 0.78) & (F.col("o_class") != "sparse") & enough)
+    unusable = F.col("native").isNotNull() & (F.col("n_class") != "usable")
+    use_ocr = F.coalesce((F.trim(F.coalesce("ocr", F.lit(""))) != "") & (F.col("native").isNull() | (unusable & better)), F.lit(False))
     return both.select(
         "document_id", "page", F.when(use_ocr, F.col("ocr")).otherwise(F.col("native")).alias("text"),
-        F.when(use_ocr, F.col("ocr_confidence")).alias("ocr_confidence"),
+        F.when(use_ocr, F.col("ocr_confidence")).when(unusable, 0.0).alias("ocr_confidence"),
     )
 
 

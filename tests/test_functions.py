@@ -81,6 +81,5 @@ def test_dates(spark):
 
 def test_features(spark):
     df = spark.createDataFrame([("contract termination notice 30", "a notice of termination within 30 days of contract")], "q string, p string")
-    r = df.select(features.query_coverage(F.col("q"), F.col("p")).alias("c"), features.number_coverage(F.col("q"), F.col("p")).alias("n"), features.bigram_coverage(F.col("q"), F.col("p")).alias("b")).first()
-    assert (r.c, r.n, r.b) == (1.0, 1.0, 0.0)
-    assert one(spark, "write to a.b@c.org", features.contact_coverage) == 1.0
+    r = df.select(features.query_coverage(F.col("q"), F.col("p")).alias("c"), features.bigram_coverage(F.col("q"), F.col("p")).alias("b")).first()
+    assert (r.c, r.b) == (1.0, 0.0)
