@@ -61,8 +61,9 @@ def slices(batches, rows: int):
             yield batch.slice(lo, rows)
 
 
-#: Bytes of input, by the estimate of the plan, for each partition of a shuffle whose number of partitions is given.
-PARTITION_BYTES = 32 << 20
+#: Bytes of input, by the estimate of the plan, for each partition of a shuffle whose number of partitions is given; and
+#: the most partitions, as a shuffle's bookkeeping grows with their number (larger ones are sorted on disk).
+PARTITION_BYTES, MOST_PARTITIONS = 128 << 20, 200_000
 
 
 def partitions_of(df: DataFrame) -> int:
@@ -70,7 +71,7 @@ def partitions_of(df: DataFrame) -> int:
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # A plan without statistics claims the largest size there is.
-    return max(least, -(-estimate // PARTITION_BYTES)) if estimate < 1 << 60 else least
+    return max(least, min(MOST_PARTITIONS, -(-estimate // PARTITION_BYTES))) if estimate < 1 << 60 else least
 
 
 def per_process(key: tuple, make):
