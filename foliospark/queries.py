@@ -887,7 +887,7 @@ def percentile_95(spark, sf_dir):
     return relational.nearest_rank(table(spark, sf_dir, "events"), ["event_type"], "value", 0.95, "p95")
 
 
-# Time windows (an extension: the reference has no event time)
+# Time windows over event time (an extension)
 
 
 def events_tumbling(spark, sf_dir):
