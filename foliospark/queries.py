@@ -37,6 +37,18 @@ def invoices(spark, sf_dir) -> DataFrame:
     )
 
 
+def lines(spark, sf_dir) -> DataFrame:
+    """Line items, one for each order and line number: of several, the first in the order of the files and their rows.
+
+    Rows that share both differ, so which one stays must not hang on partitions. SQL's DISTINCT ON keeps the same one where
+    it reads in order: a table of one row group, or one thread.
+    """
+    li, key = table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"]
+    # The place in one file is a number, so that the rows are hashed; a path and a number would have them sorted.
+    at = F.col("_metadata.row_index") if len(li.inputFiles()) == 1 else F.struct("_metadata.file_path", "_metadata.row_index")
+    return li.groupBy(*key).agg(*(F.min_by(c, at).alias(c) for c in li.columns if c not in key))
+
+
 def schedules(spark, sf_dir) -> DataFrame:
     """One text for each order of line items as schedule rows: rank, date, quantity amount, a constant and a price."""
     li = table(spark, sf_dir, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber"])
@@ -518,7 +530,7 @@ def numeric_grounding(spark, sf_dir):
 
 
 def decomposed_totals(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber"])
+    li = lines(spark, sf_dir)
     amounts = li.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("at"), F.col("l_quantity").cast("double").alias("value"))
     return evidence.decomposed_totals(amounts).select("page", "at", "value", F.size("parts").alias("n_parts"))
 
