@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from foliospark import queries
 
 #: Queries over one row for each order and line number.
-NAMES = "decomposed_totals".split()
+NAMES = "decomposed_totals extractive_answers".split()
 
 
 def rows(seed: int, n: int) -> pd.DataFrame:
