@@ -806,11 +806,11 @@ def copied_passages(spark, sf_dir):
 
 def amount_terms(spark, sf_dir):
     """Amounts of a line and their closest terms: supplier and part stand at places of their own."""
-    li = table(spark, sf_dir, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber"])
+    li = lines(spark, sf_dir)
     line = F.concat_ws("-", "l_orderkey", "l_linenumber")
-    lines = li.select(line.alias("line_id"), F.array(F.struct((F.col("l_suppkey") % 40).cast("int").alias("at"), F.col("l_quantity").cast("long").alias("value_minor"))).alias("amounts"))
+    priced = li.select(line.alias("line_id"), F.array(F.struct((F.col("l_suppkey") % 40).cast("int").alias("at"), F.col("l_quantity").cast("long").alias("value_minor"))).alias("amounts"))
     terms = li.select(line.alias("line_id"), F.lit("a").alias("term"), F.lit(10).alias("at")).unionByName(li.select(line.alias("line_id"), F.lit("b").alias("term"), F.lit(30).alias("at")))
-    return facts.bound_amounts(lines, terms)
+    return facts.bound_amounts(priced, terms)
 
 
 def aggregate_accuracy(spark, sf_dir):
