@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from foliospark import queries
 
 #: Queries over one row for each order and line number.
-NAMES = "decomposed_totals extractive_answers installment_column label_value_facts markdown_router schedule_rows typical_value amount_terms extreme_rows period_change".split()
+NAMES = "decomposed_totals extractive_answers installment_column label_value_facts markdown_router schedule_rows typical_value amount_terms extreme_rows period_change schedule_records".split()
 
 
 def rows(seed: int, n: int) -> pd.DataFrame:
