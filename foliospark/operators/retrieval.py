@@ -50,11 +50,50 @@ def bm25(index: DataFrame, queries: DataFrame, key: str, corpus_size: DataFrame,
     wanted = index.join(queries.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     hits = wanted.join(df, "term").join(queries.select("query_id", "term"), "term").crossJoin(F.broadcast(corpus_size.limit(1)))
+    return ranked(hits.groupBy("query_id", key).agg(_score().alias("score")), key, top)
+
+
+def _score() -> Column:
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw > 0, raw).otherwise(F.lit(1e-6))
     gain = F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("avg_len")))
-    scored = hits.groupBy("query_id", key).agg(F.round(F.sum(idf * gain), 6).alias("score"))
-    return ranked(scored, key, top)
+    return F.round(F.sum(idf * gain), 6)
+
+
+def bm25_of_copies(corpus: DataFrame, queries: DataFrame, key: str, terms: Column, top: int) -> DataFrame:
+    """``bm25`` of rows of (key, text) for rows of (query_id, text), where many texts are copies; exact, ties by key.
+
+    Documents of the same texts have the same score and differ in their keys alone. So the different texts are indexed, with the
+    number of their documents, different queries meet them, and of each text the ``top`` first keys are enough. What is shuffled
+    follows the different texts that match, and the results. ``terms`` are made of the column ``text``.
+    """
+    # Rows that share a key are one document: its texts, each with the number of its rows.
+    rows = corpus.groupBy(key, "text").agg(F.count("*").alias("times"))
+    docs = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("text", "times"))).alias("texts"))
+    last = F.asc_nulls_last(key)
+    least = docs.withColumn("nth", F.row_number().over(Window.partitionBy("texts").orderBy(last))).filter(F.col("nth") <= top)
+    # The first key stands for its text; a null key is a document too, the last one.
+    firsts = least.groupBy("texts").agg(F.array_sort(F.collect_list(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key")))).alias("keys"))
+    counted = docs.groupBy("texts").agg(F.count("*").alias("docs"))
+    kinds = stored(counted.join(firsts, "texts").select("texts", "docs", "keys", F.get("keys", F.lit(0)).alias("kind")), "kinds")
+    each = kinds.select("kind", "docs", F.explode("texts").alias("t")).select("kind", "docs", "t.times", F.col("t.text").alias("text"))
+    made = each.select("kind", "docs", "times", terms.alias("_terms")).withColumn("len", F.size("_terms"))
+    weight = F.col("docs") * F.col("times")
+    size = made.agg(F.sum(weight).alias("n"), (F.sum(weight * F.greatest("len", F.lit(0))) / F.sum(weight)).alias("avg_len"))
+    postings = made.select("kind", "docs", "times", "len", F.explode("_terms").alias("term")).groupBy("kind", "docs", "term", "len").agg(F.sum("times").alias("tf"))
+    # Queries of the same texts, too, have the same results; the first one asks.
+    asked = queries.groupBy("query_id").agg(F.array_sort(F.collect_set("text")).alias("texts"))
+    first = asked.groupBy("texts").agg(F.min(F.struct(F.col("query_id").isNull().alias("none"), "query_id")).alias("query"))
+    words = first.select("query", F.explode("texts").alias("text")).select("query", F.explode(terms).alias("term")).distinct()
+    df = postings.groupBy("term").agg(F.sum("docs").alias("df"))
+    hits = postings.join(words, "term").join(df, "term").crossJoin(F.broadcast(size))
+    scored = hits.groupBy("query", "kind").agg(_score().alias("score"))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "kind")
+    best = scored.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= top)
+    every = best.join(kinds.select("kind", "keys"), "kind").select("query", "score", F.explode("keys").alias("kind"))
+    ranks = every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    lists = ranks.groupBy("query").agg(F.collect_list(F.struct("kind.key", "score", "rank")).alias("found"))
+    return asked.join(first.join(lists, "query"), "texts").select("query_id", F.explode("found").alias("f")).select("query_id", F.col("f.key").alias(key), "f.score", "f.rank")
 
 
 def corpus_size(corpus: DataFrame, terms: Column) -> DataFrame:
