@@ -33,15 +33,26 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Deletes the files of a table from ``stored`` that nothing reads any more."""
+    folders = {f.rsplit("/", 2)[1] for f in df.inputFiles()}
+    for spark, path in [w for w in _written if w[1].rsplit("/", 1)[1] in folders]:
+        _written.remove((spark, path))
+        _delete(spark, path)
+
+
 def forget() -> None:
     """Deletes what was written so far."""
     while _written:
-        spark, path = _written.pop()
-        if spark.sparkContext._jsc is None:
-            continue
-        try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception as error:  # the gateway may be gone when the interpreter ends
-            if "Py4J" not in type(error).__name__ and not isinstance(error, (ConnectionError, AttributeError)):
-                raise
+        _delete(*_written.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None:
+        return
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception as error:  # the gateway may be gone when the interpreter ends
+        if "Py4J" not in type(error).__name__ and not isinstance(error, (ConnectionError, AttributeError)):
+            raise

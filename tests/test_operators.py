@@ -322,3 +322,33 @@ def test_near_duplicates_in_blocks(spark):
     assert {(x.k, x.twin): x.overlap for x in made.collect()} == want and len(want) > 20
     exploded = evidence.near_duplicates(rows, "g", "k", "t")._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate explode" not in exploded
+
+
+def test_sets_of_tokens_of_their_own_arent_sent(spark, monkeypatch):
+    """Sets with more tokens that no other set has than may be missing are no smaller part of a pair, and meet no block."""
+    from foliospark.operators import evidence
+
+    sent, postings = [], evidence._postings
+    monkeypatch.setattr(evidence, "_postings", lambda table, *more: sent.append(table.num_rows) or postings(table, *more))
+    rows = [(k, "g", [f"c{i}" for i in range(10)] + [f"own{k}.{i}" for i in range(4)]) for k in range(200)]
+    rows += [(200, "g", ["x", "y", "z"]), (201, "g", ["x", "y", "z", "only"])]
+    made = evidence.near_duplicates(spark.createDataFrame(rows, "k int, g string, t array<string>"), "g", "k", "t")
+    assert [tuple(r) for r in made.collect()] == [(200, 201, 1.0)] and sum(sent) == 1
+
+
+def test_sets_meet_as_by_brute_force():
+    """Whatever the order of hashes and the size of a step; hashes that collide in a set only add."""
+    import numpy as np
+    import pyarrow as pa
+
+    from foliospark.operators import evidence
+
+    r = np.random.default_rng(3)
+    sets = [list(dict.fromkeys(r.integers(-40, 40, n).tolist())) for n in r.integers(1, 50, 150)]
+    sets += [[x for x in sets[k] if r.random() < 0.95] or [1] for k in range(60)]
+    table = pa.table({"_set": pa.array(range(len(sets)), pa.int64()), "hashes": pa.array(sets, pa.list_(pa.int32())), "alone": pa.array([0] * len(sets), pa.int32())})
+    want = {(a, b) for a, x in enumerate(sets) for b, y in enumerate(sets) if len(x) <= len(y) and len(set(x) & set(y)) >= 0.85 * len(x) - 1e-9}
+    block = evidence._postings(table, 0.85)
+    for most in (4, 300, 1 << 20):
+        met = [(int(block[0][a]), b) for small, large in evidence._met(block, *evidence._lists(table.column(1)), most) for a, b in zip(small, large.tolist())]
+        assert len(met) == len(set(met)) and set(met) == want and len(want) > 220
